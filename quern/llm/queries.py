@@ -17,5 +17,26 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts,)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    import public_tokenizers
+
+    from .scratch import Scratch
+    from .token_store import read_token_files, write_token_files
+
+    path = Scratch(spark, "op4").path("ids")
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(spark, path, "ids_crc32 long", lambda ids: (zlib.crc32(ids),))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts)}
 ORACLES: dict[str, str] = {}
