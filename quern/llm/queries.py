@@ -38,5 +38,21 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, "ids_crc32 long", lambda ids: (zlib.crc32(ids),))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts)}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read_warc
+
+    _, files = archive(spark, _table(spark, sf_dir, "pages"))
+    return read_warc(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts, op9_warc)}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
+        g AS (SELECT digest, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY digest)
+        SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN d.n >= 1000 AND d.page_id <> g.last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.n >= 1000 AND d.page_id <> g.last THEN g.last END AS refers_to
+        FROM d LEFT JOIN g ON d.digest = g.digest""",
+}
