@@ -45,7 +45,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts, op9_warc)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import bucket, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, allowed=bucket("doc_id", 4) != 2)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
