@@ -17,6 +17,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substrings import remove_repeats
+
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,8 +65,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_token_files, op7_token_counts, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op7_token_counts, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
+    "op2_repeats": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p+34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w)),
+        rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        cov AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT doc_id, p FROM win SEMI JOIN rep USING (h)), range(35) AS r(k)),
+        one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM one ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
