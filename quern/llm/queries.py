@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=80, words=2)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op7_token_counts, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
     "op2_repeats": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -76,6 +82,19 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM one ANTI JOIN cov USING (doc_id, i) GROUP BY doc_id)
         SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+    "op6_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+        n AS (SELECT doc_id, coalesce(len(sh), 0) AS n FROM s),
+        e AS (SELECT doc_id, unnest(sh) AS h FROM s),
+        k AS (SELECT h, row_number() OVER () AS i FROM (SELECT h FROM e GROUP BY h HAVING count(*) > 1)),
+        f AS (SELECT doc_id, i FROM e JOIN k USING (h)),
+        pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM f x JOIN f y ON x.i = y.i AND x.doc_id < y.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+        both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
