@@ -53,6 +53,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, "ids_crc32 long", lambda ids: (zlib.crc32(ids),))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    from pyspark.sql import functions as F
+
+    from .decontam import find_leaks
+
+    found = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive, read_warc
 
@@ -71,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
     "op2_repeats": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
