@@ -179,7 +179,7 @@ class Search:
     """Looks for the items of a block in documents."""
 
     def __init__(self, items: Items, space: np.ndarray, idf: np.ndarray):
-        self.items, self.space = items, space
+        self.items, self.space = items, np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
         unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         self.unit = unit
         self.queries = unit(np.array([space[p].sum(axis=0) for _, p in items.pieces], dtype=np.float32).reshape(len(items.pieces), -1))
@@ -201,12 +201,15 @@ class Search:
             return out
         block = _passages(per_row, STEP)
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums = np.zeros((len(first), self.space.shape[1]), np.float32)
-        known = np.flatnonzero(of >= 0)
-        for k in range(0, len(known), 1 << 14):
-            some = known[k : k + (1 << 14)]
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(block[some]) > 0]))
-            sums[block[some][begin]] += np.add.reduceat(self.space[of[some]], begin, axis=0)
+        sums = np.empty((len(first), self.space.shape[1]), np.float32)
+        last = np.append(first[1:], len(of))
+        for k in range(0, len(first), 2048):  # the n-th words of many blocks at once; words of no item, and none, are zeros
+            part = slice(k, k + 2048)
+            total = self.space[of[first[part]]]
+            for j in range(1, STEP):
+                place = first[part] + j
+                total += self.space[np.where(place < last[part], of[np.minimum(place, len(of) - 1)], -1)]
+            sums[part] = total
         parts = -(-per_row // STEP)
         row = np.repeat(np.arange(len(per_row)), parts)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
