@@ -23,6 +23,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import bucket
+    from .toxicity import score, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    channel, scorer = train(docs, labels, allowed=bucket("doc_id", 5) != 0)
+    held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return score(docs.select("doc_id", "text"), channel, scorer).select("doc_id", held_out, "score", "predicted")
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -81,7 +93,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
     "op2_repeats": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
