@@ -18,7 +18,7 @@ from .textcut import Memo, Words, raw, steps
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 
 #: Costs of the channel, in nats: a mark for a letter, a mark for nothing, another mark between letters for nothing, a blank for nothing, a letter once or twice for three or more.
-SWAP, DROP_LEET, DROP_MARK, DROP_BLANK, REPEAT = 1.5, 4.0, 0.3, 0.3, 0.5
+SWAP, DROP_LEET, DROP_MARK, DROP_BLANK, REPEAT = 1.0, 9.0, 0.3, 0.3, 0.5
 
 # Symbols of the language model: 0 for anything between words, 1 to 26 for a to z, 27 for a byte of any other letter.
 SYMBOLS = 28
@@ -31,7 +31,7 @@ FEATURES = 1 << 19
 
 _LETTER = "a-z\x80-\uffff"
 _DISGUISED = re.compile(rf"[{_LETTER}][^{_LETTER}]+[{_LETTER}]|(?:^|[^{_LETTER}])[@$!|+(0-9][{_LETTER}]|[{_LETTER}][0-9@$]|([{_LETTER}])\1\1")
-_EDGES = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|([^{_LETTER}0-9])\1+$|[^{_LETTER}0-9@$]+$")
+_EDGES = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|([^{_LETTER}0-9$@])\1+$|([$@])\2\2+$|[^{_LETTER}0-9@$]+$")
 
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
@@ -172,17 +172,23 @@ class Scorer:
         self.weights, self.bias = weights.astype(np.float32), bias
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 120, penalty: float = 2e-4, least: int = 3) -> Scorer:
-        """Full gradient steps (Adam) over the texts' feature counts; features of fewer than `least` texts are left out."""
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, penalty: float = 3e-4, least: int = 3, least_z: float = 5.0) -> Scorer:
+        """Full gradient steps (Adam) over the features that mark positive texts: in `least` texts or more, and in so much larger a share of positive ones that
+        the difference is `least_z` standard errors. Others would only tell single texts of the sample apart."""
         if not len(rows) or labels.min() == labels.max():
             share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.01
             return cls(np.zeros(FEATURES), math.log(share / (1 - share)))
         text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         key, count = np.unique(text * np.int64(FEATURES) + np.concatenate(rows), return_counts=True)
         text, feature = key // FEATURES, key % FEATURES
-        often = np.bincount(feature, minlength=FEATURES) >= least
+        positive = labels[text] > 0
+        n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
+        p1, p0 = (np.bincount(feature[mine], minlength=FEATURES) / max(1.0, n) for mine, n in ((positive, n1), (~positive, n0)))
+        p = (p1 * n1 + p0 * n0) / (n1 + n0)
+        z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        often = (p * (n1 + n0) >= least) & (z >= least_z)
         keep = often[feature]
-        text, feature, value = text[keep], feature[keep], count[keep].astype(np.float64)
+        text, feature, value = text[keep], feature[keep], np.ones(int(keep.sum()))
         names, feature = np.unique(feature, return_inverse=True)
         w, bias = np.zeros(len(names) + 1), math.log(labels.mean() / (1 - labels.mean()))
         w[-1] = bias
