@@ -9,6 +9,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+    import zlib
+
+    from .media import feature, read_media, store_media
+    from .scratch import Scratch
+
+    stored = Scratch(spark, "op5").table(store_media(_table(spark, sf_dir, "documents")), "media")
+
+    def told(file: bytes, samples) -> tuple:
+        payload = samples.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(samples)
+
+    return read_media(stored, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", told)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -93,7 +109,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_packing, op4_token_files, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_packing, op4_token_files, op5_media, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
 ORACLES: dict[str, str] = {
     "op2_repeats": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
