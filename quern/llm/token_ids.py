@@ -31,7 +31,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.size[i] = len(token) if blanks else token.endswith("</w>")
         self.glue = "" if blanks else " "
-        self.memo = Memo(self.encode)
+        self.memo = Memo(self.encode, 500_000)
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Identifiers of each piece. Plain pieces go to the library many in one text, whose tokens are told apart again afterwards."""
