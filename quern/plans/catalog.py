@@ -1,4 +1,6 @@
 """Every registered query of the library proper and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import fit_queries, ml_queries, source_queries, spatial_queries, table_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
