@@ -1 +1,108 @@
-"""Queries."""
+"""Queries on grouped transforms and fits."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..operators import fits
+from .registry import query
+from .tables import cte, table
+
+_RUNS = cte("runs")
+_ORDERED = f"{_RUNS}, o AS (SELECT run, v, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS j, count(*) OVER (PARTITION BY run) AS n FROM runs)"
+
+
+def _dft(freqs: str) -> str:
+    return f"{_ORDERED}, s AS (SELECT run, k AS freq, sum(v * cos(2 * pi() * j * k / n)) / sqrt(count(*)) AS re, -sum(v * sin(2 * pi() * j * k / n)) / sqrt(count(*)) AS im FROM o, (SELECT unnest({freqs}) AS k) GROUP BY run, k)"
+
+
+def _runs(spark, d):
+    return table(spark, d, "runs").select("run", "ts", "event_id", "v")
+
+
+def _angles(spark, d):
+    """Runs with an even angle in [0, 2 pi): theta = 2 pi j / n."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("run")
+    return _runs(spark, d).withColumn("theta", 2 * math.pi * (F.row_number().over(w.orderBy("ts", "event_id")) - 1) / F.count(F.lit(1)).over(w))
+
+
+@query(f"WITH {_dft('range(0, 10)')}, m AS (SELECT run, freq, re, im, sqrt(re * re + im * im) AS mag FROM s) SELECT run, cast(freq AS int) AS freq, round(re, 6) AS re, round(im, 6) AS im, round(mag, 6) AS mag FROM m QUALIFY row_number() OVER (PARTITION BY run ORDER BY mag DESC) <= 4")
+def fourier_by_group(spark, d):
+    rows = _runs(spark, d).withColumn("o", F.struct("ts", "event_id"))
+    order = rows.withColumn("o", F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000)
+    out = fits.fourier_by_group(order, ["run"], "o", "v", max_freq=10, n=4)
+    return out.select("run", "freq", *(F.round(c, 6).alias(c) for c in ("re", "im", "mag")))
+
+
+@query(f"WITH {_dft('[1, 2, 5]')} SELECT run, cast(freq AS int) AS freq, round(re, 7) AS re, round(im, 7) AS im, round(sqrt(re * re + im * im), 7) AS mag, round(CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END, 7) AS phase FROM s")
+def dft_at(spark, d):
+    out = fits.dft_at(_runs(spark, d), ["run"], ["ts", "event_id"], "v", [1, 2, 5])
+    return out.select("run", "freq", *(F.round(c, 7).alias(c) for c in ("re", "im", "mag", "phase")))
+
+
+@query(f"""WITH {_ORDERED}, s AS (SELECT run, avg(v) AS m, 2 * avg(v * sin(2 * 2 * pi() * j / n)) AS a2, 2 * avg(v * cos(2 * 2 * pi() * j / n)) AS b2, 2 * avg(v * sin(4 * 2 * pi() * j / n)) AS a4, 2 * avg(v * cos(4 * 2 * pi() * j / n)) AS b4 FROM o GROUP BY run)
+    SELECT run, round(m, 6) AS mean, round(sqrt(a2 * a2 + b2 * b2) / m, 6) AS amp_2, round(sqrt(a4 * a4 + b4 * b4) / m, 6) AS amp_4 FROM s""")
+def harmonic_fit(spark, d):
+    """On even angles the sines and cosines are orthogonal, so SQL can give the coefficients as means."""
+    out = fits.harmonic_fit(_angles(spark, d), ["run"], "theta", "v", (2, 4))
+    return out.select("run", *(F.round(c, 6).alias(c) for c in ("mean", "amp_2", "amp_4")))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY l_returnflag")
+def linear_trend(spark, d):
+    out = fits.linear_trend(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return out.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 8).alias("r2"))
+
+
+@query(f"WITH {_RUNS}, x AS (SELECT run, v AS rho, power((h + 0.5) / 4, 2) AS u FROM runs), s AS (SELECT run, max(rho) AS rho0, sum(u) AS su, sum(u * rho) AS sur, sum(u * u) AS suu FROM x GROUP BY run) SELECT run, rho0, round(greatest(0, (su - sur / rho0) / suu), 7) AS a FROM s")
+def majumdar_fit(spark, d):
+    rows = table(spark, d, "runs").select("run", F.col("v").alias("rho"), (F.col("h") + 0.5).alias("m"), F.lit(4.0).alias("m0"))
+    return fits.majumdar_fit(rows, ["run"]).withColumn("a", F.round("a", 7))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice / nullif(l_discount, 0), 4) AS ratio FROM lineitem")
+def ratio_check(spark, d):
+    out = fits.ratio_check(table(spark, d, "lineitem"), "l_extendedprice", "l_discount")
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", F.round("ratio", 4).alias("ratio"))
+
+
+def _cubic(spark, d):
+    """Points of a cubic per order status, from the orders' own keys."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 1009).cast("double").alias("x"))
+    return rows.withColumn("y", 2 + 0.5 * F.col("x") - 0.003 * F.col("x") ** 2 + 1e-6 * F.col("x") ** 3 + F.length("o_orderstatus"))
+
+
+@query("SELECT o_orderkey, round(3 + 0.5 * x - 0.003 * x * x + 1e-6 * x * x * x, 4) AS cheb FROM (SELECT o_orderkey, cast(o_orderkey % 1009 AS double) AS x FROM orders)")
+def cheb_fit_and_eval(spark, d):
+    """A fit of degree 15 to a cubic, read off at the points: the cubic itself."""
+    rows = _cubic(spark, d)
+    found = fits.cheb_fit(rows, ["o_orderstatus"], "x", "y", 15)
+    return fits.cheb_eval(rows, found, ["o_orderstatus"], "x").select("o_orderkey", F.round("cheb", 4).alias("cheb"))
+
+
+def _fields(spark, d):
+    """Fields and model parameters from the parts: four temperatures, both signs of H and H = 0."""
+    return table(spark, d, "part").selectExpr("p_partkey", "cast(array(2, 5, 10, 15)[p_partkey % 4] AS double) AS t", "cast((p_partkey % 21 - 10) * 7000 AS double) AS h", "0.3D AS d", "3.5D AS j", "0.0005D AS c", "1.2e22D AS n")
+
+
+@query()
+def solve_magnetization(spark, d):
+    return fits.solve_magnetization(_fields(spark, d))
+
+
+@query()
+def brillouin_fit(spark, d):
+    """Recovers J, C and n of magnetizations that the model made, with the varied parameters of each temperature, and the saturation."""
+    rules = {10.0: ["j"], 15.0: ["j"], 5.0: ["j", "c"], 2.0: ["j", "c", "n"]}
+    made = fits.solve_magnetization(_fields(spark, d))
+    return fits.saturation(fits.brillouin_fit(made, ["t"], rules, {"j": 3.4, "c": 0.0005, "n": 1.2e22}))
+
+
+@query()
+def extrapolate(spark, d):
+    params = _fields(spark, d).select("t", "d", "j", "c", "n").distinct().withColumns({"j_err": F.lit(0.05), "c_err": F.lit(1e-5), "n_err": F.lit(1e20)})
+    return fits.extrapolate(params)
