@@ -1 +1,102 @@
-"""Queries."""
+"""Queries on features and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggs, clean, joins, ml, windows
+from .registry import query
+from .tables import cte, table
+
+HOUSE_COLUMNS = ["months_listed", "bedrooms", "house_type", "year", "month", "log_area", *(f"city_City{k}" for k in range(5))]
+
+
+def _houses(spark, d):
+    return ml.house_features(clean.clean_houses(table(spark, d, "houses")), [f"City{k}" for k in range(5)])
+
+
+def _recipes(spark, d):
+    return ml.recipe_features(clean.clean_recipes(table(spark, d, "recipes")))
+
+
+@query("WITH q AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders) SELECT o_orderkey, round((o_totalprice - a) / (b - a), 9) AS scaled FROM orders, q")
+def scale_minmax(spark, d):
+    return ml.scale(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("scaled")), ["scaled"]).withColumn("scaled", F.round("scaled", 9))
+
+
+@query("WITH q AS (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS b FROM orders) SELECT o_orderkey, round((o_totalprice - a) / b, 7) AS scaled FROM orders, q")
+def scale_standard(spark, d):
+    return ml.scale(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("scaled")), ["scaled"], "standard").withColumn("scaled", F.round("scaled", 7))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def split_rows(spark, d):
+    """Every row is on one side of the split."""
+    train, test = ml.split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return train.union(test).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {cte('recipes')} SELECT recipe, calories, protein, cast(regexp_extract(servings, '^\\s*(\\d+)', 1) AS int) AS servings, CASE WHEN high_traffic = 'High' THEN 1 ELSE 0 END AS label,
+    {', '.join(f'''cast(coalesce(category = '{c}', false) {"OR category = 'Chicken Breast'" if c == 'Chicken' else ''} AS int) AS "category_{c}"''' for c in clean.RECIPE_CATEGORIES)} FROM recipes WHERE calories IS NOT NULL AND protein IS NOT NULL""")
+def recipe_features(spark, d):
+    return _recipes(spark, d)
+
+
+@query()
+def house_features(spark, d):
+    return _houses(spark, d)
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding AS v FROM embeddings), n AS (SELECT q.vec_id AS q, t.vec_id AS t, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v::double[], t.v::double[]), t.vec_id) AS k FROM e q, e t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),
+    c AS (SELECT q, label, count(*) AS w FROM n WHERE k <= 7 GROUP BY q, label) SELECT q AS vec_id, label AS vote FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY w DESC, label) = 1""")
+def knn_classify(spark, d):
+    """Stated queries: vectors whose id is divisible by 50, against all others."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return ml.knn_classify(rows.where("vec_id % 50 <> 0"), rows.where("vec_id % 50 = 0"), 7, "vec_id", "label")
+
+
+def _traffic(spark, d):
+    columns = ["calories", "protein", "servings", *(f"category_{c}" for c in clean.RECIPE_CATEGORIES)]
+    scaled = ml.scale(_recipes(spark, d), ["calories", "protein"])
+    return ml.assemble(scaled, columns), columns
+
+
+@query()
+def logistic_traffic(spark, d):
+    """Precision of a cross-validated logistic regression on held-out recipes, with the KPI flag."""
+    rows, _ = _traffic(spark, d)
+    train, test = ml.split(rows, "recipe")
+    model = ml.fit_logistic(train, c_values=(0.1, 1.0), folds=3)
+    return aggs.precision_kpi(model.transform(test).withColumn("hat", F.col("prediction").cast("int")), "label", "hat")
+
+
+@query()
+def svc_traffic_weights(spark, d):
+    """Feature weights of a cross-validated linear support vector machine."""
+    rows, columns = _traffic(spark, d)
+    return ml.feature_weights(ml.fit_linear_svc(rows, c_values=(0.1, 1.0), folds=3), columns, spark)
+
+
+@query()
+def forest_prices(spark, d):
+    """Predicted prices of held-out houses by a cross-validated forest."""
+    rows = ml.assemble(_houses(spark, d).withColumnRenamed("sale_price", "label"), HOUSE_COLUMNS)
+    train, test = ml.split(rows, "house_id")
+    model = ml.fit_random_forest(train, trees=(10,), depths=(4, 6), folds=3)
+    return joins.predictions(model.transform(test), "house_id")
+
+
+@query()
+def gbt_price_importance(spark, d):
+    """The ten most important features of boosted trees."""
+    rows = ml.assemble(_houses(spark, d).withColumnRenamed("sale_price", "label"), HOUSE_COLUMNS)
+    model = ml.fit_gbt(rows, trees=10, rate=0.1)
+    return windows.top_k(ml.feature_weights(model, HOUSE_COLUMNS, spark), "weight", 10, "feature")
+
+
+@query()
+def gbt_price_rmse(spark, d):
+    """RMSE on held-out houses of the best of random settings of boosted trees."""
+    rows = ml.assemble(_houses(spark, d).withColumnRenamed("sale_price", "label"), HOUSE_COLUMNS)
+    train, test = ml.split(rows, "house_id")
+    return aggs.rmse(ml.fit_gbt(train, draws=2, folds=2).transform(test), "label", "prediction")

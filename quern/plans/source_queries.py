@@ -1 +1,46 @@
-"""Queries."""
+"""Queries that write given tables as the files the readers are for, and read them back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import io
+from .registry import query
+from .tables import table
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one that the cluster names, or a local one where none is named."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-quern-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_round_trip(spark, d):
+    path = _folder(spark, "csv")
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    io.write_table(rows, path, "csv")
+    return io.read_csv(spark, path, rows.schema)
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def parquet_append(spark, d):
+    path = _folder(spark, "append")
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    io.write_table(rows, path)
+    io.write_table(rows.where("s_acctbal > 0"), path, mode="append")
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("SELECT event_type AS act, cast(user_id % 4 AS double) / 2 AS t, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tagged_files(spark, d):
+    """Runs written to files named by act and temperature (0_5 for 0.5), read in one scan and tagged from the names."""
+    path = _folder(spark, "tagged")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("a"), F.concat(F.lit("T"), F.translate(((F.col("user_id") % 4) / 2).cast("string"), ".", "_"), F.lit("K")).alias("k"), "event_id", "value")
+    rows.write.partitionBy("a", "k").option("header", True).csv(path)
+    named = spark.read.schema("event_id bigint, value double").options(header=True, enforceSchema=False, recursiveFileLookup=True).csv(path).withColumn("name", F.col("_metadata.file_path"))
+    tagged = named.select(F.regexp_extract("name", r"a=([^/]+)/", 1).alias("act"), io.name_number(F.regexp_extract("name", r"k=T([0-9_p]+)K", 1)).alias("t"), "value")
+    return tagged.groupBy("act", "t").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
