@@ -273,9 +273,9 @@ def predictions(spark, d):
 # --- aggregates
 
 
-@query("SELECT p_size AS bedrooms, round_even(avg(p_retailprice), 1) AS avg_price, round_even(var_samp(p_retailprice), 1) AS var_price FROM part GROUP BY p_size")
+@query("SELECT p_size AS bedrooms, round_even(avg(p_retailprice), 6) AS avg_price, round_even(var_samp(p_retailprice), 6) AS var_price FROM part GROUP BY p_size")
 def mean_var_by(spark, d):
-    return aggs.mean_var_by(table(spark, d, "part").withColumnRenamed("p_size", "bedrooms"), "bedrooms", "p_retailprice")
+    return aggs.mean_var_by(table(spark, d, "part").withColumnRenamed("p_size", "bedrooms"), "bedrooms", "p_retailprice", digits=6)
 
 
 @query("SELECT l_returnflag, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM lineitem GROUP BY l_returnflag")
