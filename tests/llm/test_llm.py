@@ -1,0 +1,390 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quern.llm import decontam, langid, media, neardup, packing, queries, simple8b, substrings, token_count, token_store, toxicity, warc, webp
+from quern.llm.graph import components
+from quern.llm.scratch import Scratch
+from quern.llm.token_ids import Encoder
+
+from ..oracle import assert_same
+
+BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def odd_texts():
+    rng = random.Random(5)
+    pool = ["alpha", "beta", "gamma", "delta", "Über", "naïve", "x", "0", "end."]
+    long = " ".join(rng.choice(pool) + str(rng.randint(0, 99)) for _ in range(30_000))
+    same = " ".join(f"w{i}" for i in range(60))
+    return [None, "", "  \n\t ", "one", "ONE", "a b", same, same, "zz " + same + " yy", long, "漢字 🎉  text", "<|endoftext|> inside", "a\x85b　c", "!!! ???", "idiot 1d10t"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, copies, a long text, a null id, a repeated row, and columns whose names the operators use inside."""
+    rows = [(i, t, "en", "s", 1, 2.0, "g") for i, t in enumerate(odd_texts())] + [(None, "no id", None, None, 3, None, None), (7, odd_texts()[7], "en", "s", 1, 2.0, "g")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, id int, score double, node string").repartition(3).cache()
+
+
+def docs_of(odd):
+    return [(r.doc_id, r.text) for r in odd.collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf, name):
+    assert_same(spark, sf, queries.QUERIES[name], queries.ORACLES[name])
+
+
+# 7: token counts
+
+
+def test_token_counts_equal_the_library(spark, odd):
+    tok = Tokenizer.from_file(BYTES)
+    want = sorted((str(i), len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in docs_of(odd))
+    got = token_count.token_counts(odd, BYTES, limit=2)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got.collect()) == want
+    assert all(r.over_limit == (r.n_tokens > 2) for r in got.collect())
+    assert token_count.token_counts(odd.limit(0), BYTES, 2).count() == 0
+
+
+@pytest.mark.parametrize(("path", "blanks"), [(BYTES, True), (WORDS, False)])
+def test_encoder_equals_the_library(path, blanks):
+    rng = random.Random(1)
+    letters = [*"abc XYZ 0123\n\t  　 é'’s!.漢İΣǅ\x85\x1c", "<|endoftext|>", "<|startoftext|>", "'ll", " the", "é"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    tok, (ids, per) = Tokenizer.from_file(path), Encoder(path, blanks).column(pa.array(texts), end=1)
+    at = 0
+    for t, n in zip(texts, per.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
+        at += n
+
+
+# 4: token files
+
+
+def test_simple8b_round_trip_with_escapes():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1023, 1024, 1025, 4000):
+        for top in (1, 2, 300, 60_000, 2**33, 2**62):
+            v = rng.integers(0, top, n).astype(np.uint64)
+            v[::7] = 0
+            if n > 9:
+                v[5] = 2**64 - 1
+            block = simple8b.encode(v)
+            assert (simple8b.decode(block) == v).all()
+            if n > 2100:
+                assert (simple8b.decode_groups(block, 1, 2) == v[1024:2048]).all()
+
+
+def test_token_files_round_trip(spark, odd):
+    path = Scratch(spark, "test").path("ids")
+    rows = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    token_store.write_token_files(rows, path, WORDS, end_id=1, shards=3)
+    got = {r.doc_id: r for r in token_store.read_token_files(spark, path, "crc long", lambda ids: (zlib.crc32(ids),)).collect()}
+    tok, at = Tokenizer.from_file(WORDS), 0
+    for i, t in sorted(docs_of(rows)):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (got[i].start, got[i].n_tokens, got[i].crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    empty = Scratch(spark, "test").path("ids")
+    token_store.write_token_files(odd.limit(0), empty, WORDS, end_id=1)
+    assert token_store.read_token_files(spark, empty, "crc long", lambda ids: (zlib.crc32(ids),)).count() == 0
+
+
+# 3: packing
+
+
+def test_differencing_is_even_and_whole():
+    rng = random.Random(2)
+    for n in (1, 3, 40, 300):
+        sizes = [rng.randint(1, 512) for _ in range(n)]
+        parts = packing.windows_of(sizes, 2048)
+        assert sorted(i for p in parts for i in p) == list(range(n))
+        sums = [sum(sizes[i] for i in p) for p in parts]
+        assert max(sums) <= 2048
+        if n == 300:
+            assert max(sums) - min(sums) < 64 and len(parts) <= -(-sum(sizes) // 2048) + 1
+    assert packing.windows_of([2000, 2000, 90], 2048) and len(packing.windows_of([2000, 2000, 90], 2048)) == 3  # capacity makes one more
+
+
+def test_packing_keeps_every_token_once(spark, odd):
+    rows = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = packing.pack(rows, BYTES, end_id=1, group=4).collect()
+    tok, by, windows = Tokenizer.from_file(BYTES), defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+        windows[r.sequence_id].append((r.offset, r.length))
+    for i, t in docs_of(rows):
+        ids, at = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(odd.limit(0), BYTES, end_id=1).count() == 0
+    assert packing.pack(odd, BYTES, end_id=1).agg(F.sum("length")).first()[0] > 0
+
+
+# 5: media
+
+
+def test_general_webp_streams():
+    rng = np.random.default_rng(1)
+    for trial in range(16):
+        h, w = int(rng.integers(1, 15)), int(rng.integers(1, 19))
+        colours = rng.integers(0, 256, ((1, 2, 4, 14)[trial % 4], 4))
+        pixels = colours[rng.integers(0, len(colours), (h, w))]
+        for transforms in ((), (webp.PREDICT,), (webp.CROSS,), (webp.SUBTRACT_GREEN, webp.PREDICT, webp.CROSS), (webp.INDEX,), (webp.INDEX, webp.PREDICT)):
+            stream = webp.write_stream(pixels, transforms, cache_bits=(0, 3)[trial % 2], copies=True, tile=(0, 2)[trial // 2 % 2], seed=trial)
+            assert (webp.read_stream(stream) == pixels).all()
+    assert len(set(webp.NEAR)) == 120
+
+
+def test_media_round_trip(spark, odd):
+    stored = Scratch(spark, "test").table(media.store_media(odd.select("doc_id", "text")), "media")
+    got = media.read_media(stored, "payload binary, file binary", lambda f, s: (s.tobytes(), f)).collect()
+    want = sorted((str(i), (t or "").encode()) for i, t in docs_of(odd))
+    assert sorted((str(r.doc_id), bytes(r.payload[: r.n_bytes])) for r in got) == want
+    assert all(len(r.payload) % 64 == 0 and r.payload and not any(r.payload[r.n_bytes :]) for r in got)
+    assert len({bytes(r.file) for r in got if r.doc_id in (6, 7)}) == 1  # equal texts
+    some = next(r for r in got if r.doc_id == 8)
+    pixels = webp.read_stream(webp.streams_of(bytes(some.file))[0])
+    assert (pixels[:, :, 1] == pixels[:, :, 2]).all() and pixels[:, :, 2].astype(np.uint8).tobytes() == bytes(some.payload)
+    assert media.store_media(odd.limit(0)).count() == 0
+    assert media.read_pixels(stored.where("doc_id = 6")).first().width == 64
+
+
+# 2: substrings
+
+
+def brute_removal(texts, window):
+    words = [WORD.findall(t or "") for t in texts]
+    count = defaultdict(int)
+    for w in words:
+        for p in range(len(w) - window + 1):
+            count[tuple(w[p : p + window])] += 1
+    out = []
+    for w in words:
+        gone = set()
+        for p in range(len(w) - window + 1):
+            if count[tuple(w[p : p + window])] > 1:
+                gone.update(range(p, p + window))
+        out.append((len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def test_repeats_equal_brute_force(spark, odd):
+    rows = docs_of(odd)
+    want = sorted(zip((str(i) for i, _ in rows), *zip(*brute_removal([t for _, t in rows], 35), strict=True), strict=True))
+    got = substrings.remove_repeats(odd, 35)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
+    assert got.columns == [*odd.columns, "n_words", "n_removed", "kept"]
+    assert substrings.remove_repeats(odd.limit(0), 35).count() == 0
+    assert substrings.lengths(35) == [9, 18, 35]
+
+
+def test_repeats_across_many_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [str(rng.randint(0, 9)) for _ in range(50)]
+    texts = [" ".join(str(rng.randint(0, 9)) for _ in range(rng.randint(0, 90))) + (" " + " ".join(passage) if k % 3 == 0 else "") for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df, 35).collect()}
+    assert [got[k] for k in range(60)] == brute_removal(texts, 35)
+
+
+# 6: near duplicates
+
+
+def brute_components(rows, percent, n):
+    def shingles(t):
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w)} if 0 < len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (i, s) in enumerate(sets):
+        for j, u in sets[:a]:
+            if s and u and 100 * len(s & u) >= percent * len(s | u):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, words):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = list(odd_texts())
+    for _ in range(60):  # a chain of copies with more and more changes: links, but not between all
+        base = [w if rng.random() > 0.012 else f"n{rng.randint(0, 9999)}" for w in base]
+        texts.append(" ".join(base))
+    texts += [texts[20]] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 80, words).collect()}
+    assert got == brute_components(list(enumerate(texts)), 80, words)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    got = neardup.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert not any(r.kept for r in got if r.doc_id is None)
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_posterior_bounds_and_components(spark):
+    least = neardup.least_matches(80)
+    assert (np.diff(least) >= 0).all() and 90 < least[160] < 120 and least[16] < 9
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
+    found = components(links, Scratch(spark, "test"))
+    groups = defaultdict(set)
+    for r in found.collect():
+        groups[r.root].add(r.node)
+    assert sorted(map(len, groups.values())) == [3, 41]
+
+
+# 8: benchmark
+
+
+def test_leaks(spark):
+    rng = random.Random(8)
+    noise = lambda n: " ".join("the" if rng.random() < 0.2 else f"t{rng.randint(0, 800)}" for _ in range(n))
+    items = [(k, noise(n) + ". " + noise(6) + ".") for k, n in enumerate((12, 20, 34, 60, 15))]
+    items += [(8, None), (9, "")]
+    texts = [noise(150) for _ in range(40)]
+    hide = lambda t: noise(70) + " " + t + " " + noise(40)
+    swapped = items[3][1].split()
+    for k in range(0, len(swapped), 6):
+        swapped[k] = "changed"
+    planted = [hide(items[k][1]) for k in range(5)] + [hide(items[2][1].upper().replace(" ", " !! ")), hide(" ".join(swapped))]
+    docs = spark.createDataFrame(list(enumerate(texts + planted + [None, "", items[1][1]])), "doc_id long, text string").withColumn("leaks", F.lit(1)).repartition(3)
+    got = {(r.doc_id, x.item_id) for r in decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect() for x in r.leaks}
+    assert got == {(40, 0), (41, 1), (42, 2), (43, 3), (44, 4), (45, 2), (46, 3), (49, 1)}
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.find_leaks(docs, none).where(F.size("leaks") > 0).count() == 0
+    assert decontam.find_leaks(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_op8_equals_brute_force(spark, sf):
+    plain = lambda t: " ".join(decontam.plain_words(t))
+    docs = {r.doc_id: f" {plain(r.text)} " for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if f" {x} " in t}
+    assert {(r.doc_id, r.item_id) for r in queries.op8_leaks(spark, sf).collect()} >= want
+
+
+# 9: archives
+
+
+def test_archives_split_anywhere(spark):
+    rows = [(k, None if k == 3 else f"u\n{k}", None if k == 2 else f"x{k % 3}" * (600 if k % 2 else 10)) for k in range(40)] + [(None, "n", "y" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("z"), "salt": F.lit(1)}).repartition(2)
+    _, files = warc.archive(spark, pages)
+    whole = sorted(map(str, warc.read_warc(spark, files).drop("payload").collect()))
+    assert len(whole) == 41
+    for split in (1, 53, 700):
+        assert sorted(map(str, warc.read_warc(spark, files, split=split, payloads=False).collect())) == whole
+    last = {r.page_id: r for r in warc.read_warc(spark, files).collect()}
+    assert last[1].record_type == "revisit" and last[1].refers_to == 37 and last[37].record_type == "response" and last[4].record_type == "response"
+    assert last[1].payload_bytes == 1200 and last[1].payload_digest == hashlib.sha1(b"x1" * 600).hexdigest() and last[2].payload_bytes == 0
+    _, none = warc.archive(spark, pages.limit(0))
+    assert warc.read_warc(spark, none).count() == 0
+
+
+# 10: language
+
+
+def test_gradients_are_right():
+    net = langid.ByteGRU(["a", "b", "c"], hidden=4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 256, (5, 6)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    _, grad = net.gradients(x, y)
+    for k, g in grad.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        now, step = net.p[k][at], 1e-3
+        net.p[k][at] = now + step
+        up, _ = net.gradients(x, y)
+        net.p[k][at] = now - step
+        down, _ = net.gradients(x, y)
+        net.p[k][at] = now
+        assert abs((up - down) / (2 * step) - g[at]) < 1e-4
+
+
+def test_language_of_held_out_and_odd_rows(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs, langid.bucket("doc_id", 4) != 2)
+    held = langid.identify(docs, model).where(langid.bucket("doc_id", 4) == 2)
+    right = held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.95
+    got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
+    assert [got[k].lang_pred for k in (0, 1, 2, 13)] == ["und"] * 4 and got[0].score == 0
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.identify(odd.limit(0), model).count() == 0
+    assert langid.train(docs.where("lang IS NULL"), F.lit(True)) is None
+    assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
+
+
+# 1: toxicity
+
+
+def test_channel_and_scores(spark, sf, odd):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    more = spark.createDataFrame([(10**6 + k, f"of the {w} and {w} in it") for k, w in enumerate(["idiot", "moron", "scum", "loser", "stupid"] * 40)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    marks = labels.select("doc_id", "toxic").union(more.select("doc_id", F.lit(1)))
+    channel, scorer = toxicity.train(both, marks, langid.bucket("doc_id", 5) != 0)
+    for said, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("scuuuum", "scum"), ("$tup1d", "stupid")):
+        assert channel.restore(toxicity.plain(said)) == meant
+    hidden = spark.createDataFrame([(1, "of the m0r0n and 1d10t in it"), (2, "it is s t u p i d of"), (3, "of the and in it")], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(hidden, channel, scorer).collect()}
+    assert got[1].predicted == got[2].predicted == 1 and got[3].predicted == 0
+    held = toxicity.score(docs, channel, scorer).join(labels, "doc_id").where(langid.bucket("doc_id", 5) == 0)
+    assert held.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0] > 0.85
+    some = toxicity.score(odd, channel, scorer).collect()
+    assert len(some) == odd.count() and all(0 <= r.score <= 1 for r in some)
+    assert toxicity.score(odd.limit(0), channel, scorer).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    scratch, docs = Scratch(spark, "test"), spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, after = docs, scratch.table(stage(spark, docs, sf), name)
+        assert after.columns == names and after.count() <= before.count()
+        if name == "near_duplicate":
+            want = brute_components([(r.doc_id, r.text) for r in before.collect()], 80, 5)
+            assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in want.items() if i == c}
+        if name == "substring":
+            rows = before.collect()
+            want = {r.doc_id: (r.text if not gone else kept) for r, (n, gone, kept) in zip(rows, brute_removal([r.text for r in rows], 35), strict=True) if not n or gone < n}
+            assert {r.doc_id: r.text for r in after.collect()} == want
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.count()
