@@ -1 +1 @@
-
+"""No job of this library reads a stream yet."""
