@@ -172,9 +172,9 @@ class Scorer:
         self.weights, self.bias = weights.astype(np.float32), bias
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, penalty: float = 3e-4, least: int = 3, least_z: float = 5.0) -> Scorer:
-        """Full gradient steps (Adam) over the features that mark positive texts: in `least` texts or more, and in so much larger a share of positive ones that
-        the difference is `least_z` standard errors. Others would only tell single texts of the sample apart."""
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, penalty: float = 3e-4, least: int = 3, chance: float = 1e-4) -> Scorer:
+        """Full gradient steps (Adam) over the features that mark positive texts: in `least` texts or more, so many of them positive that this
+        has a chance of `chance` or less (by Chernoff's bound). Others would only tell single texts of the sample apart."""
         if not len(rows) or labels.min() == labels.max():
             share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.01
             return cls(np.zeros(FEATURES), math.log(share / (1 - share)))
@@ -182,11 +182,11 @@ class Scorer:
         key, count = np.unique(text * np.int64(FEATURES) + np.concatenate(rows), return_counts=True)
         text, feature = key // FEATURES, key % FEATURES
         positive = labels[text] > 0
-        n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
-        p1, p0 = (np.bincount(feature[mine], minlength=FEATURES) / max(1.0, n) for mine, n in ((positive, n1), (~positive, n0)))
-        p = (p1 * n1 + p0 * n0) / (n1 + n0)
-        z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        often = (p * (n1 + n0) >= least) & (z >= least_z)
+        share, n = float(labels.mean()), np.bincount(feature, minlength=FEATURES)
+        k = np.bincount(feature[positive], minlength=FEATURES) / np.maximum(n, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            apart = n * (np.where(k > 0, k * np.log(k / share), 0) + np.where(k < 1, (1 - k) * np.log((1 - k) / (1 - share)), 0))
+        often = (n >= least) & (k > share) & (apart >= -math.log(chance))
         keep = often[feature]
         text, feature, value = text[keep], feature[keep], np.ones(int(keep.sum()))
         names, feature = np.unique(feature, return_inverse=True)
