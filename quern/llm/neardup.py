@@ -155,10 +155,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                both = _shared(p, q)
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -183,51 +180,78 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return docs.join(nodes, "doc").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _open_pairs(members: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs inside a bucket, across components and not with its first member, that the posterior leaves open: all, or the `best` of each member per other component.
+def _shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Number of values that two sorted arrays of distinct values share."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
 
-    members: key, n (members of the bucket), first, node, comp, signature. A bucket of more than CHUNK members is cut into chunks, each compared with each
-    other one in a place of its own, so that no task gets a whole large bucket.
+
+def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
+    """Links between members of a bucket that are in different components: enough of them to join the components that links join, no more.
+
+    members: key, n (members of the bucket), node, comp, signature, shingles. A pair is pruned by the posterior, then its sets decide; once two components of a bucket are
+    joined their other pairs are left out, so a bucket gives fewer links than it has members. Sets are cut to 4 bytes a shingle unless `wide`, which can only
+    add links that full sets then refuse. A bucket of more than CHUNK members is cut into chunks, each compared with each other one in a place of
+    its own, so that no task gets a whole large bucket.
     """
     least = least_matches(percent)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "first", "signature")
-    parts = max(1, rows.count() // (8 * CHUNK))
+    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "signature", "shingles")
+    parts = max(1, members.count() // 1000)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
+    kind = "<u8" if wide else "<u4"
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["node"].to_numpy(), table["hi"].to_numpy(), table["lo"].to_numpy(), table["key"].to_numpy()))
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(np.lexsort((table["node"].to_numpy(), table["hi"].to_numpy(), table["lo"].to_numpy(), table["key"].to_numpy()))))
         place = np.column_stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, -1)
         node, comp, i = (table[c].to_numpy() for c in ("node", "comp", "i"))
-        usable = node != table["first"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), kind) for x in table["shingles"]]
         edges = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
-        found: list[np.ndarray] = []
+        found: list[tuple[int, int]] = []
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(node)], strict=True):
             lo, hi = place[a, 1:]
-            some = np.arange(a, b)[usable[a:b]]
-            own = some[i[some] == lo] if lo != hi else some
-            others = some[i[some] == hi] if lo != hi else some
+            some = np.arange(a, b)
+            own, others = (some, some) if lo == hi else (some[i[a:b] == lo], some[i[a:b] == hi])
+            group = comp[a:b].copy()  # components as far as the links found here join them
+            bands = sig[a:b].reshape(b - a, BANDS, ROWS)
+            here = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the bucket's band
             for x in own.tolist():
-                with_ = others[(comp[others] != comp[x]) & ((others > x) | (lo != hi))]
-                if len(with_):
-                    m = prune(np.broadcast_to(sig[x], (len(with_), sig.shape[1])), sig[with_], least)
-                    hit = np.flatnonzero(m >= 0)
-                    if best is not None and len(hit) > best:
-                        top = hit[np.lexsort((node[with_[hit]], -m[hit]))]
-                        seen: dict[int, int] = {}
-                        hit = np.array([h for h in top.tolist() if (seen.update({int(comp[with_[h]]): seen.get(int(comp[with_[h]]), 0) + 1}) or seen[int(comp[with_[h]])] <= best)])
-                    if len(hit):
-                        found.append(np.column_stack([np.full(len(hit), node[x]), node[with_[hit]]]))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+                with_ = others[(group[others - a] != group[x - a]) & ((others > x) | (lo != hi))]
+                if not len(with_):
+                    continue
+                m = prune(np.broadcast_to(sig[x], (len(with_), sig.shape[1])), sig[with_], least)
+                hit = np.flatnonzero(m >= 0)
+                hit = hit[(bands[x - a] == bands[with_[hit] - a]).all(axis=2).argmax(axis=1) == here]  # a pair of several buckets is compared in the first
+                for k in hit[np.argsort(-m[hit], kind="stable")].tolist():
+                    y = int(with_[k])
+                    if group[y - a] == group[x - a]:
+                        continue
+                    both = _shared(sets[x], sets[y])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        found.append((min(node[x], node[y]), max(node[x], node[y])))
+                        group[group == group[y - a]] = group[x - a]
+        pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
+def _narrow(sets: DataFrame) -> DataFrame:
+    """Sets of the upper 4 bytes of each shingle's code, sorted and distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.unique(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingles binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id reachable over links, its own included), kept (id = component_id).
 
@@ -237,8 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
        with partial maxima), so copies are never paired.
     2. Classes meet in 32 buckets each, by bands of 5 values; each member is paired with its bucket's first. Signatures are compared 16 values at
        a time and a pair is pruned once the posterior chance of reaching the threshold is under 1e-7; full sets decide on the others.
-    3. In buckets whose members are in several components by then, the pairs across components are compared with each other in chunks of 1,024 members, first the
-       best two of each member, at last all that the posterior leaves open. Nothing is capped.
+    3. In buckets whose members are in several components by then, pairs across components are pruned and compared set by set, in chunks of 1,024 members, until every
+       link that joins components is found. Nothing is capped.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are in one class. A null id is nobody's component_id unless all of
     a component's ids are null, and is not kept. Ties do not matter: sets decide. An empty table gives an empty one.
@@ -254,24 +278,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     members = scratch.table(salted_join(bands, buckets, ["key"], ["node"], "inner"), "members")
     scratch.drop(bands, buckets)
     tried = scratch.table(_pruned(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), classes, percent), "open")
-    wanted = members.where("n > 2").select("node").union(tried.select("a")).union(tried.select("b")).distinct()
-    wanted = wanted.join(classes.select("node", "doc"), "node").where("doc IS NOT NULL")
-    sets = scratch.table(_full_sets(wanted, rows, words), "sets")
+    sets_of = lambda nodes: _full_sets(nodes.join(classes.select("node", "doc"), "node").where("doc IS NOT NULL"), rows, words)
+    sets = scratch.table(sets_of(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()), "sets")
     links = scratch.table(_verified(tried, sets, percent), "links")
+    scratch.drop(sets)
     root = components(links, scratch)
-    many = members.where("n > 2")
-    for best in (2, None):
+    many, sets = members.where("n > 2").select("key", "n", "node"), None
+    for wide in (False, True):
         placed = salted_join(many, root, ["node"], ["key"]).withColumn("comp", F.coalesce("root", "node")).drop("root")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        mixed = scratch.table(salted_join(placed, mixed, ["key"], ["node"], "inner"), "mixed")
+        across = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+        mixed = scratch.table(salted_join(placed, across, ["key"], ["node"], "inner"), "mixed")
         if mixed.isEmpty():
             break
-        pairs = scratch.table(_open_pairs(mixed.join(classes.select("node", "signature"), "node"), percent, best), "pairs")
-        found = scratch.table(_verified(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        if sets is None:
+            sets = scratch.table(sets_of(mixed.select("node").distinct()), "sets")
+        told = mixed.join(classes.select("node", "signature"), "node").join(sets if wide else _narrow(sets), "node")
+        found = scratch.table(_links_across(told, percent, wide), "across")
+        sure = scratch.table(_verified(found, sets, percent), "links")
+        refused = found.count() - sure.count()
+        if not sure.isEmpty():
+            links = links.unionByName(sure)
             root = components(links, scratch)
-    scratch.drop(sets)
+        del told, mixed, across, placed
+        if not refused:
+            break
+    if sets is not None:
+        scratch.drop(sets)
     grown = classes.select("node", "check", "doc", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grown.groupBy("root").agg(F.min("doc").alias("component_id"), F.sum("copies").alias("size"))
     told = salted_join(grown, least.where("size > 1"), ["root"], ["node"], "inner").select("node", "check", "component_id")
