@@ -16,13 +16,13 @@ from pyspark.sql import types as T
 from .textcut import Words, coded, steps
 
 #: Words of the blocks that passages of the search are made of; words of a passage in the decomposition.
-STEP, LONG_SPAN = 8, 128
+STEP, LONG_SPAN = 8, 256
 #: Passages of the search by the length of the items' pieces: up to so many words, blocks of a passage, and blocks from one passage to the next.
 PASSAGES = ((24, 3, 1), (48, 4, 2))
 #: Latent dimensions kept, drawn for finding them, and draws that a term takes part in.
 RANK, DRAWN, SHARE = 224, 288, 8
 #: Cosine from which a passage and a piece of an item are looked at, and share of the piece's weight that the passage has to hold then.
-LEAST_COSINE, LEAST_HELD = 0.55, 0.4
+LEAST_COSINE, LEAST_HELD = 0.5, 0.4
 #: Share of an item's words found in order that is a leak if the answer is there too, and that is one anyway.
 LIKELY, SURE = 0.6, 0.8
 #: Items that are searched for at once.
@@ -275,11 +275,11 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int64()), ("n_words", pa.int64()), ("cosine", pa.float64())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of `docs` with `leaks` in place of a column so named: the benchmark items that the text holds, with how many words of each were found in order.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, keep_text: bool = True) -> DataFrame:
+    """The rows of `docs` (without the text if not `keep_text`) with `leaks` in place of a column so named: the benchmark items that the text holds, with how many words of each were found in order.
 
     Words are lower-cased and rid of marks at their ends. Documents are read in passages of 24 words every 8 words for short items and of 32 every 16 for others; a passage is
-    a candidate for an item if their latent vectors (see term_space) have a cosine of 0.55 or more and the passage holds enough of the item's IDF weight. Then the longest common
+    a candidate for an item if their latent vectors (see term_space) have a cosine of 0.5 or more and the passage holds enough of the item's IDF weight. Then the longest common
     subsequence decides, in a stretch of the document no longer than one and a half items: 80 % of the item's words are a leak, 60 % are one if at
     least half of the item's answer, its last sentence, is there in order.
 
@@ -302,7 +302,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
             for batch in steps(batches, "text", 1 << 20):
                 had = batch.column("leaks").to_pylist()
                 leaks = [a + b for a, b in zip(had, search.leaks(batch.column("text")), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(leaks, _LEAK)], names=names)
+                columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n in names}
+                yield pa.RecordBatch.from_arrays([pa.array(leaks, _LEAK) if n == "leaks" else columns[n] for n in names], names=names)
 
+        if k == blocks - 1 and not keep_text:  # no need to send whole texts back from the workers
+            schema = T.StructType([f for f in schema if f.name != "text"])
+            names = [f.name for f in schema]
         out = out.mapInArrow(run, schema)
-    return out
+    return out if keep_text else out.drop("text")

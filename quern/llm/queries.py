@@ -87,7 +87,7 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .decontam import find_leaks
 
-    found = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    found = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
