@@ -28,6 +28,7 @@ _SYMBOL[128:] = 27
 
 #: Word features are numbered by a hash below this.
 FEATURES = 1 << 19
+_PART = 1 << 14
 
 _LETTER = "a-z\x80-\uffff"
 _DISGUISED = re.compile(rf"[{_LETTER}][^{_LETTER}]+[{_LETTER}]|(?:^|[^{_LETTER}])[@$!|+(0-9][{_LETTER}]|[{_LETTER}][0-9@$]|([{_LETTER}])\1\1")
@@ -172,23 +173,13 @@ class Scorer:
         self.weights, self.bias = weights.astype(np.float32), bias
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, penalty: float = 3e-4, least: int = 3, chance: float = 1e-4) -> Scorer:
-        """Full gradient steps (Adam) over the features that mark positive texts: in `least` texts or more, so many of them positive that this
-        has a chance of `chance` or less (by Chernoff's bound). Others would only tell single texts of the sample apart."""
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, penalty: float = 3e-4) -> Scorer:
+        """Full gradient steps (Adam) over the features that each text has."""
         if not len(rows) or labels.min() == labels.max():
             share = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.01
             return cls(np.zeros(FEATURES), math.log(share / (1 - share)))
-        text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        key, count = np.unique(text * np.int64(FEATURES) + np.concatenate(rows), return_counts=True)
-        text, feature = key // FEATURES, key % FEATURES
-        positive = labels[text] > 0
-        share, n = float(labels.mean()), np.bincount(feature, minlength=FEATURES)
-        k = np.bincount(feature[positive], minlength=FEATURES) / np.maximum(n, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            apart = n * (np.where(k > 0, k * np.log(k / share), 0) + np.where(k < 1, (1 - k) * np.log((1 - k) / (1 - share)), 0))
-        often = (n >= least) & (k > share) & (apart >= -math.log(chance))
-        keep = often[feature]
-        text, feature, value = text[keep], feature[keep], np.ones(int(keep.sum()))
+        text, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        value = np.ones(len(text))
         names, feature = np.unique(feature, return_inverse=True)
         w, bias = np.zeros(len(names) + 1), math.log(labels.mean() / (1 - labels.mean()))
         w[-1] = bias
@@ -204,17 +195,27 @@ class Scorer:
         return cls(weights, float(w[-1]))
 
 
+def marking(texts: np.ndarray, positive: np.ndarray, share: float, least: int = 3, chance: float = 1e-4) -> np.ndarray:
+    """Whether each feature marks positive texts: it is in `least` texts or more, so many of them positive that this has a chance of `chance` or less (by Chernoff's
+    bound) where a `share` of all texts is positive. Other features would only tell single texts of a sample apart."""
+    k = positive / np.maximum(texts, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = texts * (np.where(k > 0, k * np.log(k / share), 0) + np.where(k < 1, (1 - k) * np.log((1 - k) / (1 - share)), 0))
+    return (texts >= least) & (k > share) & (apart >= -math.log(chance))
+
+
 def _row_features(pairs: np.ndarray, known: list[tuple[int, ...]], n: int) -> list[np.ndarray]:
     order = np.argsort(pairs[:, 0], kind="stable")
     place, bound = pairs[order, 1], np.searchsorted(pairs[order, 0], np.arange(n + 1))
-    return [np.array([f for k in place[bound[r] : bound[r + 1]].tolist() for f in known[k]], dtype=np.int64) for r in range(n)]
+    return [np.unique(np.array([f for k in place[bound[r] : bound[r + 1]].tolist() for f in known[k]], dtype=np.int64)) for r in range(n)]
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tuple[Channel, Scorer]:
     """The channel's language model, from all texts of `docs`, and a scorer from labelled rows that `allowed` (a condition on doc_id) admits.
 
-    The scorer is fitted to a bounded sample: about `most` labelled documents, chosen by a hash of the id; only their ids are sent to tasks. Of several labels
-    of one document the highest counts.
+    The scorer is fitted to a bounded sample: about `most` labelled documents, chosen by a hash of the id; only their ids are sent to tasks. Tasks count
+    in how many texts, and positive ones, each feature is; the driver gets these sums and, for each text, only the features that mark positive texts. Of
+    several labels of one document the highest counts.
     """
     counts = {r["first"]: np.frombuffer(r["counts"], np.int64) for r in count_trigrams(docs).collect()}
     channel = Channel(np.concatenate([counts.get(k, np.zeros(SYMBOLS**2, np.int64)) for k in range(SYMBOLS)]))
@@ -223,14 +224,34 @@ def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tu
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20)))
     restorer = Restorer(channel)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, FEATURES), dtype=np.int64)
+        for batch in steps(batches, "text"):
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            for k, row in enumerate(_row_features(*restorer.rows(batch.column("text")), batch.num_rows)):
+                total[0, row] += 1
+                if label[k] > 0:
+                    total[1, row] += 1
+        for k in range(0, FEATURES, _PART):
+            yield pa.RecordBatch.from_pylist([{"part": k, "texts": total[0, k : k + _PART].tobytes(), "positive": total[1, k : k + _PART].tobytes()}])
+
+    def add(table: pa.Table) -> pa.Table:
+        both = {c: sum(np.frombuffer(x.as_py(), np.int64) for x in table[c]).tobytes() for c in ("texts", "positive")}
+        return pa.Table.from_pylist([{"part": table["part"][0].as_py(), **both}])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id").select("doc_id", "label", "text")
+    schema = "part long, texts binary, positive binary"
+    parts = {r["part"]: r for r in texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()}
+    n, k = (np.concatenate([np.frombuffer(parts[p][c], np.int64) if p in parts else np.zeros(_PART, np.int64) for p in range(0, FEATURES, _PART)]) for c in ("texts", "positive"))
+    marks = marking(n, k, float(chosen.agg(F.coalesce(F.avg("label"), F.lit(0.01))).first()[0]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            pairs, found = restorer.rows(batch.column("text"))
-            blobs = [r.astype("<i4").tobytes() for r in _row_features(pairs, found, batch.num_rows)]
+            rows = _row_features(*restorer.rows(batch.column("text")), batch.num_rows)
+            blobs = [r[marks[r]].astype("<i4").tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
-    rows = sorted(texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label double, features binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
+    rows = sorted(texts.mapInArrow(run, "doc_id long, label double, features binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
     return channel, Scorer.fit([np.frombuffer(r["features"], "<i4").astype(np.int64) for r in rows], np.array([r["label"] for r in rows]))
 
 
