@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,7 +42,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables of this folder that no later step reads, and lets Spark clear shuffles nobody refers to."""
+        """Deletes tables of this folder that no later step reads, and lets Spark clear the shuffles of steps that nothing refers to any more."""
+        gc.collect()  # plans that Python still holds keep their shuffles
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._quern_path)

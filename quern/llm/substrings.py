@@ -109,7 +109,8 @@ MESSAGE = "block string, bucket long, keys binary, many binary"
 
 
 def _gather(rows: DataFrame) -> DataFrame:
-    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and 4 bytes for each word."""
+    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and 4 bytes for each word, compressed: a block's codes go
+    through a shuffle at each level but the first."""
     kind = pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def _gather(rows: DataFrame) -> DataFrame:
             cut = Words(batch.column("text"))
             codes, distinct = coded(cut.array())
             whole = pa.StructArray.from_arrays([pa.concat_arrays([c]).cast(kind.field(i).type) for i, c in enumerate(batch.columns)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([short_codes(distinct)[codes].tobytes()], pa.binary())], names=["block", "docs", "n_words", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([pa.compress(short_codes(distinct)[codes].tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "docs", "n_words", "codes"])
 
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("docs", T.ArrayType(rows.schema)), T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())])
     return rows.mapInArrow(run, schema)
@@ -186,7 +187,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     coded_blocks = blocks.select("block", "n_words", "codes")
 
     def load(row: dict) -> Block:
-        return Block(np.frombuffer(row["codes"], "<u4"), np.array(row["n_words"], dtype=np.int64), buckets)
+        n_words = np.array(row["n_words"], dtype=np.int64)
+        codes = pa.decompress(row["codes"], 4 * int(n_words.sum()), "zstd", asbytes=True)
+        return Block(np.frombuffer(codes, "<u4"), n_words, buckets)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,6 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
         found = sent.groupBy("bucket").applyInArrow(_compare(length == window), "block string, bucket long, bits binary").withColumn("length", F.lit(length))
         found = scratch.table(found, f"repeats-{length}")
         answers = found if answers is None else answers.unionByName(found)
+        del sent, found
         scratch.drop()
 
     fields = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
