@@ -78,7 +78,7 @@ def cut(n: int, capacity: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, most: int = 512, group: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, most: int = 512, group: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Scan tasks encode each whole text (null: empty) with the byte-level `vocabulary`, put `end_id` after it, and cut it:
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 2048, mo
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(_WORKER, vocabulary, lambda: Encoder(vocabulary, blanks=True))
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 4 << 20):
             ids, per_row = encoder.column(batch.column("text"), end=end_id)
             ids, base = np.ascontiguousarray(ids, dtype="<u4"), 0
             row, start, length, crc, total = [], [], [], [], []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from .textcut import Memo, Words, chunks, coded, row_sums
 
 #: Pieces that are encoded in one text.
-GROUP = 64
+GROUP = 128
 # Stops after a word that no pattern of pieces joins with anything else.
 STOPS = frozenset(".,;:!?%&$#*|")
 
@@ -62,7 +62,7 @@ class Encoder:
     def plain(self, text: str) -> int:
         """0 if a piece has to be encoded alone; else, for vocabularies that mark a word's end, the least number of ends it can have: one, and one more for a last stop."""
         if self.blanks:  # begins with a blank and does not end with one: no token crosses to its neighbours
-            return int(text[0] == " " and text[1:].isalnum() or text[0] == " " and text[1:-1].isalnum() and text[-1] in STOPS)
+            return int(text[0] in " \n" and not text[-1].isspace())
         return 1 if text.isalpha() else 2 if text[-1] in STOPS and text[:-1].isalpha() else 0
 
     def told_apart(self, ids: np.ndarray, sizes: list[int]) -> list[int] | None:
