@@ -31,8 +31,14 @@ FEATURES = 1 << 19
 _PART = 1 << 14
 
 _LETTER = "a-z\x80-\uffff"
-_DISGUISED = re.compile(rf"[{_LETTER}][^{_LETTER}]+[{_LETTER}]|(?:^|[^{_LETTER}])[@$!|+(0-9][{_LETTER}]|[{_LETTER}][0-9@$]|([{_LETTER}])\1\1")
+_PATHS = re.compile(rf"[{re.escape(''.join(LEET))}]|([{_LETTER}])\1\1")
+_DISGUISED = re.compile(rf"{_PATHS.pattern}|[{_LETTER}][^{_LETTER}]+[{_LETTER}]")
 _EDGES = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|([^{_LETTER}0-9$@])\1+$|([$@])\2\2+$|[^{_LETTER}0-9@$]+$")
+_PLAIN = re.compile(rf"(?:([{_LETTER}])(?!\1\1)(?<![{re.escape(''.join(LEET))}]))+")
+_OUTER = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|[^{_LETTER}0-9@$!|+(]+$")
+
+#: Letters of a disguised word up to which it may be a fragment of one with blanks in it, whatever the cost of the join. Others are joined where that is likelier.
+FRAGMENT = 6
 
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
@@ -95,11 +101,11 @@ class Channel:
         return out
 
     def restore(self, text: str) -> str:
-        """The likeliest text, by Viterbi's algorithm: states are the last two symbols."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The likeliest text, by Viterbi's algorithm: states are the last two symbols, so there are at most SYMBOLS**2 for a text of any length."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and what was meant as a linked list from its end
         cost = self.cost
         for options in self.lattice(text):
-            found: dict[tuple[int, int], tuple[float, str]] = {}
+            found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, said) in states.items():
                 for meant, price in options:
                     x, y, now = a, b, total + price
@@ -108,10 +114,19 @@ class Channel:
                         now += cost[(x * SYMBOLS + y) * SYMBOLS + z]
                         x, y = y, z
                     if (x, y) not in found or now < found[x, y][0]:
-                        found[x, y] = (now, said + meant)
+                        found[x, y] = (now, (said, meant) if meant else said)
             states = found
         ends = [(total + cost[(a * SYMBOLS + b) * SYMBOLS], said) for (a, b), (total, said) in states.items()]
-        return min(ends)[1] if ends else ""
+        least = min(total for total, _ in ends)
+        return min(self._spelled(said) for total, said in ends if total == least)
+
+    @staticmethod
+    def _spelled(said: tuple | None) -> str:
+        out = []
+        while said is not None:
+            said, meant = said
+            out.append(meant)
+        return "".join(reversed(out))
 
 
 def plain(word: str) -> str:
@@ -119,12 +134,21 @@ def plain(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
+def outer(word: str) -> str:
+    """A word lower-cased, with all marks at its ends that may be letters."""
+    return _OUTER.sub("", word.lower())
+
+
 def features(word: str) -> list[int]:
     """Numbers of a word's features: the word, its beginnings of 4 to 7 letters and its whole."""
     if not word:
         return []
-    b = word.encode()
-    return [zlib.crc32(b"w" + b) % FEATURES, *(zlib.crc32(b"p" + word[:n].encode()) % FEATURES for n in range(4, 8) if len(word) >= n)]
+    b, crc = word.encode(), zlib.crc32
+    out = [crc(b"w" + b) % FEATURES]
+    ascii_ = len(b) == len(word)
+    for n in range(4, min(7, len(word)) + 1):
+        out.append(crc(b"p" + (b[:n] if ascii_ else word[:n].encode())) % FEATURES)
+    return out
 
 
 class Restorer:
@@ -132,38 +156,86 @@ class Restorer:
 
     def __init__(self, channel: Channel):
         self.channel = channel
-        self.memo = Memo(lambda words: [self.word(w.decode("utf-8", "replace")) for w in words], 100_000)
+        self.table = np.array(channel.cost).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+        self.memo = Memo(lambda words: [self.entry(w.decode("utf-8", "replace")) for w in words], 100_000)
+        self.joined = Memo(lambda spaced: [self.joins(x) for x in spaced], 100_000)
+
+    def read(self, word: str) -> str:
+        return self.channel.restore(word) if _DISGUISED.search(word) else word
 
     def word(self, word: str) -> tuple[int, ...]:
-        w = plain(word)
-        if any(c.isalpha() for c in w) and _DISGUISED.search(w) and len(w) <= 64:
-            w = self.channel.restore(w)
-        return tuple(features(w))
+        """Features of a word's readings. Marks at its end are read both as marks and, where they may be letters, as letters; a word without letters also stands for itself."""
+        found: dict[int, None] = {}
+        for w in dict.fromkeys((plain(word), outer(word))):
+            found.update(dict.fromkeys(features(self.read(w))))
+            if not any(c.isalpha() for c in w):
+                found.update(dict.fromkeys(features(w)))
+        return tuple(found)
+
+    def entry(self, word: str) -> tuple[tuple[int, ...], str, str, tuple[int, ...]]:
+        """Of a word: its features, itself without marks at its ends, its reading, and for joins the length, the last and first two symbols, and whether it may be a fragment."""
+        w, symbol = word.lower(), self.channel.symbol
+        if _PLAIN.fullmatch(w):
+            core = said = w
+            found, fragment = tuple(features(w)), False
+        else:
+            core = plain(word) or outer(word)
+            said, found = self.read(core), self.word(word)
+            fragment = len(core) <= FRAGMENT and any(c.isalpha() for c in core) and _PATHS.search(core) is not None
+        if len(said) > 1:
+            ends = symbol(said[-2]), symbol(said[-1]), symbol(said[0]), symbol(said[1])
+        else:
+            ends = (0, symbol(said), symbol(said), 0) if said else (0, 0, 0, 0)
+        return found, core, said, (len(core), *ends, int(fragment))
+
+    def joins(self, spaced: str) -> list[str]:
+        """The words that the likeliest text has in place of several fragments."""
+        apart = {self.read(w) for w in spaced.split()}
+        return [w for w in self.channel.restore(spaced).split() if len(w) > 1 and w not in apart]
 
     def rows(self, text: pa.Array) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-        """Pairs (row, place in the list) of the distinct restored words of each row, and the list of their features."""
+        """Pairs (row, place in the list) of the distinct restored words of each row, and the list of their features.
+
+        Blanks may be for nothing too. Between words of two symbols or more that have one reading a blank's cost does not depend on other blanks, so all are
+        weighed at once; next to single symbols and short disguised words the lattice of the whole run of such words is searched.
+        """
         cut = Words(text)
         if not len(cut.begin):
             return np.zeros((0, 2), np.int64), []
         d = cut.array().dictionary_encode()
         codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = self.memo.of(d.dictionary.to_pylist())
+        entries = self.memo.of(d.dictionary.to_pylist())
+        known, core, said, ends = (list(x) for x in zip(*entries, strict=True))
         row = np.repeat(np.arange(len(text)), cut.per_row)
         key = np.unique(row * np.int64(len(known)) + codes)
         pairs = np.column_stack([key // len(known), key % len(known)])
-        single = (cut.end - cut.begin == 1) & (cut.data[cut.begin] != 124)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        extra = []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            for r in range(int(row[a]), int(row[b - 1]) + 1) if b - a >= 3 else ():  # letters one by one with blanks between them
-                mine = range(max(a, int(cut.bound[r])), min(b, int(cut.bound[r + 1])))
-                if len(mine) >= 3:
-                    spaced = " ".join(chr(cut.data[cut.begin[k]]) for k in mine).lower()
-                    for w in self.channel.restore(spaced).split():
-                        if len(w) > 1:
-                            extra.append((r, len(known)))
-                            known.append(tuple(features(w)))
-        return (np.vstack([pairs, np.array(extra, dtype=np.int64)]) if extra else pairs), known
+        n, s1, s2, t1, t2, fragment = np.array(ends, dtype=np.int64).T.copy()
+        a, b, cost = codes[:-1], codes[1:], self.table
+        kept = cost[s1[a], s2[a], 0] + cost[s2[a], 0, t1[b]] + cost[0, t1[b], t2[b]]
+        dropped = DROP_BLANK + cost[s1[a], s2[a], t1[b]] + cost[s2[a], t1[b], t2[b]]
+        search = (n[a] == 1) | (n[b] == 1) | ((fragment[a] | fragment[b]) > 0) & (n[a] > 0) & (n[b] > 0)
+        join = (row[1:] == row[:-1]) & (search | (n[a] > 1) & (n[b] > 1) & (dropped < kept))
+        searched = np.concatenate([[0], np.cumsum(search)])
+        extra: set[tuple[int, str]] = set()
+        for lo, hi in _runs(join):
+            r, some = int(row[lo]), codes[lo : hi + 1].tolist()
+            if searched[hi] == searched[lo]:
+                extra.add((r, "".join([said[c] for c in some])))
+            else:
+                extra.update([(r, w) for w in self.joined.of([" ".join([core[c] for c in some if core[c]])])[0]])
+        for lo, hi in _runs((row[1:] == row[:-1]) & (n[a] <= 1) & (n[b] <= 1)):  # symbols one by one, without the words around them
+            spaced = " ".join([core[c] for c in codes[lo : hi + 1].tolist() if core[c]])
+            extra.update([(int(row[lo]), w) for w in self.joined.of([spaced])[0]])
+        more = list(extra)
+        known += [tuple(features(w)) for _, w in more]
+        added = np.column_stack([np.array([r for r, _ in more], dtype=np.int64), np.arange(len(entries), len(known))])
+        return np.vstack([pairs, added]), known
+
+
+def _runs(true: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], true.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 class Scorer:
@@ -259,8 +331,8 @@ def score(docs: DataFrame, channel: Channel, scorer: Scorer) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.5) to the rows of `docs`, which needs a text column, in place of columns so named.
 
     Whole texts are read. A word whose lattice of readings (marks for letters, letters drawn out, blanks or marks between letters) has several paths becomes the
-    likeliest under the character model; the score is that of the text's distinct restored words. A word longer than 64 characters is taken as it
-    is: no word of the channel's kind is that long. Null and empty texts get the score of no words at all. Repeated rows are scored each; an empty table
+    likeliest under the character model; the score is that of the text's distinct restored words. Words of any length and words of marks only are searched, marks
+    at a word's end count both as marks and as letters, and words that are likelier without the blanks between them count as one too. Null and empty texts get the score of no words at all. Repeated rows are scored each; an empty table
     gives an empty one. Nothing is shuffled.
     """
     source = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))

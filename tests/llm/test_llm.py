@@ -367,6 +367,17 @@ def test_channel_and_scores(spark, sf, odd):
     assert toxicity.score(odd.limit(0), channel, scorer).count() == 0
 
 
+def test_disguises_of_any_length_mark_and_spacing(spark, sf):
+    counts = {r["first"]: np.frombuffer(r["counts"], np.int64) for r in toxicity.count_trigrams(spark.createDataFrame([("the idiot and the stupid moron said that it was not so of in it",)] * 50, "text string")).collect()}
+    reader = toxicity.Restorer(toxicity.Channel(np.concatenate([counts[k] for k in range(toxicity.SYMBOLS)])))
+    word = lambda w: toxicity.zlib.crc32(b"w" + w.encode()) % toxicity.FEATURES
+    for said, meant in (("i" * 70 + "diot", "idiot"), ("1d10t" + ".1d10t" * 20, "idiot" * 21), ("idio+", "idiot"), ("1+", "it"), ("st upid", "stupid"), ("id i ot", "idiot"), ("i. d. i. o. t.", "idiot"), ("m ô r o n", "môron")):
+        pairs, known = reader.rows(pa.array([f"the {said} and"]))
+        assert word(meant) in {f for _, k in pairs.tolist() for f in known[k]}, said
+    pairs, known = reader.rows(pa.array(["so st", "upid", "in 2019 it"]))  # no word goes over texts; a number stands for itself too
+    assert word("stupid") not in {f for k in known for f in k} and word("2019") in {f for k in known for f in k}
+
+
 # the pipeline
 
 
