@@ -104,13 +104,19 @@ def read_media(media: DataFrame, fields: str, value: Callable[[bytes, np.ndarray
 
 
 def read_pixels(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per stored WebP file of any kind: id, width, height and argb, the pixels of its first image as big-endian 32-bit values in scan order."""
+    """One row per stored WebP file of any kind: id, width, height and argb, its pixels as big-endian 32-bit values in scan order.
+
+    Frames are strips of one width, one under the other, as store_media lays them; all are read. Files whose frames differ in width are refused.
+    """
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                pixels = webp.read_stream(webp.streams_of(batch.column("media")[k].as_py())[0])
+                strips = [webp.read_stream(s) for s in webp.streams_of(batch.column("media")[k].as_py())]
+                if len({s.shape[1] for s in strips}) != 1:
+                    raise ValueError("frames are not strips of one width")
+                pixels = np.concatenate(strips)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(k, 1), pa.array([pixels.shape[1]], pa.int32()), pa.array([pixels.shape[0]], pa.int32()), pa.array([pixels.astype(np.uint8).tobytes()], pa.binary())], names=[id_col, "width", "height", "argb"])
 
     return media.where(F.col("media").isNotNull()).select(id_col, "media").mapInArrow(run, f"`{id_col}` {kind}, width int, height int, argb binary")

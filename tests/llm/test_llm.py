@@ -170,6 +170,13 @@ def test_media_round_trip(spark, odd):
     assert media.read_pixels(stored.where("doc_id = 6")).first().width == 64
 
 
+def test_pixels_of_all_strips(spark):
+    text = "".join(chr(97 + k * k % 23) for k in range(20_000))
+    r = media.read_pixels(media.store_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r.width, r.height) == (64, 313)
+    assert np.frombuffer(r.argb, np.uint8).reshape(-1, 4)[:, 2].tobytes()[:20_000] == text.encode()
+
+
 # 2: substrings
 
 
