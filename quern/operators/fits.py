@@ -18,14 +18,16 @@ def _fields(df: DataFrame, keys: Sequence[str], added: str) -> T.StructType:
     return T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(added).fields])
 
 
-def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str, value: str, max_freq: int = 10, n: int = 10) -> DataFrame:
+def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, max_freq: int = 10, n: int = 10) -> DataFrame:
     """The strongest n bins below max_freq of the orthonormal real transform of each group: freq, re, im, mag, phase in [0, 2 pi), amp_ratio to the largest of all bins.
 
-    A group is one measurement run, evenly spaced in `order`; it is sorted in its task. Missing values count as 0. A zero signal has missing ratios.
+    A group is one measurement run, evenly spaced in `order`, a column or several; it is sorted in its task. Missing values count as 0. A zero signal has missing ratios.
     """
 
+    by = [order] if isinstance(order, str) else list(order)
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
+        table = table.sort_by([(c, "ascending") for c in by])
         v = np.nan_to_num(table[value].to_numpy(zero_copy_only=False).astype(float))
         z = np.fft.rfft(v, norm="ortho")
         mag = np.abs(z)
@@ -39,7 +41,7 @@ def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str, value: str,
         return pa.Table.from_arrays([*columns, pa.array(mag[some] / top if top > 0 else [None] * len(some), pa.float64())], schema=None, names=[*keys, "freq", "re", "im", "mag", "phase", "amp_ratio"])
 
     schema = _fields(df, keys, "freq int, re double, im double, mag double, phase double, amp_ratio double")
-    return df.select(*dict.fromkeys([*keys, order, value])).groupBy(*keys).applyInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keys, *by, value])).groupBy(*keys).applyInArrow(run, schema)
 
 
 def dft_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, freqs: Sequence[int]) -> DataFrame:

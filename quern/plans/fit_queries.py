@@ -32,9 +32,7 @@ def _angles(spark, d):
 
 @query(f"WITH {_dft('range(0, 10)')}, m AS (SELECT run, freq, re, im, sqrt(re * re + im * im) AS mag FROM s) SELECT run, cast(freq AS int) AS freq, round(re, 6) AS re, round(im, 6) AS im, round(mag, 6) AS mag FROM m QUALIFY row_number() OVER (PARTITION BY run ORDER BY mag DESC) <= 4")
 def fourier_by_group(spark, d):
-    rows = _runs(spark, d).withColumn("o", F.struct("ts", "event_id"))
-    order = rows.withColumn("o", F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000)
-    out = fits.fourier_by_group(order, ["run"], "o", "v", max_freq=10, n=4)
+    out = fits.fourier_by_group(_runs(spark, d), ["run"], ["ts", "event_id"], "v", max_freq=10, n=4)
     return out.select("run", "freq", *(F.round(c, 6).alias(c) for c in ("re", "im", "mag")))
 
 

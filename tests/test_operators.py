@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
 from quern.operators import aggs, calendar_dim, clean, fits, joins, ml, spatial, windows
+from quern.plans import fit_queries
 from quern.sources import io
 
 
@@ -112,6 +113,13 @@ def test_fourier_equals_sums_and_zero_signal(spark):
     assert a["z", 0].amp_ratio is None
 
 
+def test_fourier_query_orders_tied_times_by_whole_id(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, 1L AS user_id, 'a' AS event_type, timestamp '2024-01-01 00:00:00' AS ts, cast(id * id % 7 AS double) AS value FROM range(990, 1013) UNION ALL SELECT 2005, 1, 'a', timestamp '2024-01-01 00:00:00', 9.0").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.freq: r for r in fit_queries.fourier_by_group(spark, str(tmp_path)).collect()}
+    want = np.fft.rfft([*(float(i * i % 7) for i in range(990, 1013)), 9.0], norm="ortho")
+    assert len(got) == 4 and all(math.isclose(r.re, want[k].real, abs_tol=1e-6) and math.isclose(r.im, want[k].imag, abs_tol=1e-6) for k, r in got.items())
+
+
 def test_fits_recover_parameters(spark):
     th = np.arange(0, 2 * np.pi, 0.05)
     v = 5 * (1 + 0.2 * np.sin(2 * th + 0.7) + 0.05 * np.sin(4 * th + 2.0))
