@@ -200,7 +200,7 @@ def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "signature", "shingles")
+    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "signature", "shingles", F.lit(0).alias("lost") if wide else F.col("lost"))
     parts = max(1, members.count() // 1000)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
     kind = "<u8" if wide else "<u4"
@@ -209,7 +209,7 @@ def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
         table = table.take(pa.array(np.lexsort((table["node"].to_numpy(), table["hi"].to_numpy(), table["lo"].to_numpy(), table["key"].to_numpy()))))
         place = np.column_stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, -1)
-        node, comp, i = (table[c].to_numpy() for c in ("node", "comp", "i"))
+        node, comp, i, lost = (table[c].to_numpy() for c in ("node", "comp", "i", "lost"))
         sets = [np.frombuffer(x.as_buffer(), kind) for x in table["shingles"]]
         edges = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
         found: list[tuple[int, int]] = []
@@ -231,8 +231,8 @@ def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
                     y = int(with_[k])
                     if group[y - a] == group[x - a]:
                         continue
-                    both = _shared(sets[x], sets[y])
-                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    both = _shared(sets[x], sets[y]) + int(min(lost[x], lost[y]))  # at least the shared values of the full sets
+                    if 100 * both >= percent * (len(sets[x]) + int(lost[x]) + len(sets[y]) + int(lost[y]) - both):
                         found.append((min(node[x], node[y]), max(node[x], node[y])))
                         group[group == group[y - a]] = group[x - a]
         pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
@@ -242,14 +242,16 @@ def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
 
 
 def _narrow(sets: DataFrame) -> DataFrame:
-    """Sets of the upper 4 bytes of each shingle's code, sorted and distinct."""
+    """Sets of the upper 4 bytes of each shingle's code, sorted and distinct, and how many values of each set were lost by being equal in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.unique(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+            full = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("shingles")]
+            sets = [np.unique(x >> np.uint64(32)).astype("<u4") for x in full]
+            lost = [len(x) - len(s) for x, s in zip(full, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(lost, pa.int32())], names=["node", "shingles", "lost"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, shingles binary")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, shingles binary, lost int")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -239,6 +239,14 @@ def brute_components(rows, percent, n):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
+def test_links_across_with_colliding_short_codes(spark):
+    shared = [k << 32 for k in range(1, 80)] + [(1 << 32) + 1]  # two of 80 are equal in the upper 4 bytes
+    sets = {n: np.array(sorted([*shared, *(k << 32 for k in range(100 * n, 100 * n + 10))]), "<u8").tobytes() for n in (1, 2)}  # 80 of 100
+    table = neardup._narrow(spark.createDataFrame(list(sets.items()), "node long, shingles binary"))
+    told = table.withColumns({"key": F.lit(7).cast("long"), "n": F.lit(2).cast("long"), "comp": F.col("node"), "signature": F.lit(bytearray(4 * neardup.BANDS * neardup.ROWS))})
+    assert [tuple(r) for r in neardup._links_across(told, 80, False).collect()] == [(1, 2)]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, words):
     rng = random.Random(4)
