@@ -109,7 +109,7 @@ MESSAGE = "block string, bucket long, keys binary, many binary"
 
 
 def _gather(rows: DataFrame) -> DataFrame:
-    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and 4 bytes for each word, compressed: a block's codes go
+    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and the words' 64-bit codes, packed: they go
     through a shuffle at each level but the first."""
     kind = pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in rows.schema.fields])
 
@@ -118,7 +118,7 @@ def _gather(rows: DataFrame) -> DataFrame:
             cut = Words(batch.column("text"))
             codes, distinct = coded(cut.array())
             whole = pa.StructArray.from_arrays([pa.concat_arrays([c]).cast(kind.field(i).type) for i, c in enumerate(batch.columns)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([pa.compress(short_codes(distinct)[codes].tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "docs", "n_words", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([pack_codes(codes, distinct)], pa.binary())], names=["block", "docs", "n_words", "codes"])
 
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("docs", T.ArrayType(rows.schema)), T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())])
     return rows.mapInArrow(run, schema)
@@ -130,8 +130,20 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def short_codes(distinct: list[bytes]) -> np.ndarray:
-    return (word_codes(distinct) >> np.uint64(32)).astype("<u4")
+def pack_codes(places: np.ndarray, distinct: list[bytes]) -> bytes:
+    """64-bit codes of the distinct words, the most frequent first, and each word's place among them in planes of one byte, compressed."""
+    order = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(distinct), dtype="<u4")
+    rank[order] = np.arange(len(distinct), dtype="<u4")
+    planes = rank[places].view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.uint32(len(distinct)).tobytes() + word_codes(distinct)[order].astype("<u8").tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack_codes(packed: bytes, n_words: int) -> np.ndarray:
+    distinct = int(np.frombuffer(packed, "<u4", 1)[0])
+    codes = np.frombuffer(packed, "<u8", distinct, 4)
+    planes = np.frombuffer(pa.decompress(packed[4 + 8 * distinct :], 4 * n_words, "zstd", asbytes=True), np.uint8)
+    return codes[np.ascontiguousarray(planes.reshape(4, n_words).T).view("<u4").ravel()]
 
 
 def _compare(exact: bool):
@@ -170,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     two that repeat follow one another they are extended to twice the length, up to `window`. Texts are read once into written blocks of
     about 4 MB. For each level a block sends its distinct window codes (4 bytes; 8 at the last level, which nothing later
     corrects) with a mark for those it has twice itself, and gets one bit back for each, so a window that a third of all documents share is one
-    code per block. Codes are hashes: unequal windows pass as equal with a chance of about n^2 / 2^65 for n windows that passed the levels before.
+    code per block. Words and windows have 64-bit codes, which are hashes: unequal windows pass as equal with a chance of about n^2 / 2^65 for n windows that passed the levels before.
 
     Null and empty texts have no words: 0, 0 and an empty kept text. Repeated rows and repeated ids are separate occurrences. Texts shorter than a window
     are kept whole. Any text length; an empty table gives an empty one.
@@ -188,8 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
 
     def load(row: dict) -> Block:
         n_words = np.array(row["n_words"], dtype=np.int64)
-        codes = pa.decompress(row["codes"], 4 * int(n_words.sum()), "zstd", asbytes=True)
-        return Block(np.frombuffer(codes, "<u4"), n_words, buckets)
+        return Block(unpack_codes(row["codes"], int(n_words.sum())), n_words, buckets)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
         text = columns[[f.name for f in rows.type].index("text")]
         cut = Words(text)
         codes, distinct = coded(cut.array())
-        block = Block(short_codes(distinct)[codes], cut.per_row, buckets)
+        block = Block(word_codes(distinct)[codes], cut.per_row, buckets)
         _hear_all(block, levels, right, window)
         step = np.zeros(len(codes) + window + 1, dtype=np.int32)
         starts = np.flatnonzero(block.repeats)

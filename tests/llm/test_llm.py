@@ -215,6 +215,18 @@ def test_repeats_across_many_blocks(spark, monkeypatch):
     assert [got[k] for k in range(60)] == brute_removal(texts, 35)
 
 
+def test_words_with_equal_short_codes_are_no_repeats(spark):
+    names = [f"n{k}".encode() for k in range(250_000)]
+    short = substrings.word_codes(names) >> np.uint64(32)
+    order = np.argsort(short)
+    k = int(np.flatnonzero(short[order[1:]] == short[order[:-1]])[0])
+    a, b = (names[order[k + i]].decode() for i in (0, 1))
+    rest = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*rest[:17], slot, *rest[17:]]) for slot in (a, b)]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 35).collect()
+    assert a != b and [r.n_removed for r in got] == [0, 0]
+
+
 # 6: near duplicates
 
 
