@@ -124,7 +124,7 @@ class Memo:
 
     def of(self, keys: list) -> list:
         new, old = self.new, self.old
-        out = [new.get(k) for k in keys]
+        out = list(map(new.get, keys))
         missing = [i for i, v in enumerate(out) if v is None]
         rest = []
         for i in missing:

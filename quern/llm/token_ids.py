@@ -7,12 +7,76 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .textcut import Memo, Words, chunks, coded, row_sums
+from .textcut import Memo, Words, chunks, coded, raw, row_sums
 
 #: Pieces that are encoded in one text.
-GROUP = 128
+GROUP = 256
 # Stops after a word that no pattern of pieces joins with anything else.
 STOPS = frozenset(".,;:!?%&$#*|")
+#: Stops at a word's end up to which they become a piece of their own; words with longer runs are encoded whole.
+RUN = 16
+
+
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in STOPS]] = True
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte belongs to a letter from A to z, and whether to one of the Latin letters that UTF-8 has as C3 and a byte."""
+    ascii_ = ((data | 32) >= 97) & ((data | 32) <= 122)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs for times and divided by
+    latin = np.zeros(len(data), dtype=bool)
+    latin[lead] = latin[lead + 1] = True
+    return ascii_, latin
+
+
+def small_letters(words: pa.Array) -> np.ndarray:
+    """Whether each word is only small letters from a to z and Latin ones of two bytes."""
+    data, offsets = raw(words.cast(pa.string()))
+    ascii_, latin = _letters(data)
+    small = (ascii_ & (data >= 97)) | (latin & ((data == 0xC3) | (data >= 0x9F)))
+    bad = np.concatenate([[0], np.cumsum(~small)])
+    return (bad[offsets[1:]] == bad[offsets[:-1]]) & (offsets[1:] > offsets[:-1])
+
+
+def word_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each row for a vocabulary that lowers case and parts letters from marks: with small letters, and a run of stops
+    at a word's end, after a letter or digit, as a piece of its own, so that there are fewer distinct pieces. And how many pieces each row has.
+
+    Words with `<`, of which special strings are made, or with characters from U+0300 on, which may join with a letter before them, stay as they are.
+    """
+    cut = Words(texts)
+    data = cut.data.copy()
+    if not len(cut.begin):
+        return pa.array([], pa.binary()), cut.per_row
+    ascii_, latin = _letters(data)
+    special = np.flatnonzero((data >= 0xCC) | (data == 60))
+    free = np.ones(len(cut.begin), dtype=bool)
+    free[np.searchsorted(cut.begin, special, side="right") - 1] = False
+    second = np.flatnonzero(latin & (data < 0x9F) & (data >= 0x80))
+    capital = np.concatenate([np.flatnonzero(ascii_ & (data < 97)), second])
+    if len(special):
+        capital = capital[free[np.searchsorted(cut.begin, capital, side="right") - 1]]
+    data[capital] += 32
+    # a run of up to RUN stops at the end of a free word, after a letter or digit
+    tail = cut.end.copy()
+    some = np.flatnonzero(free & _STOP[data[cut.end - 1]])
+    for _ in range(RUN):
+        tail[some] -= 1
+        some = some[tail[some] > cut.begin[some]]
+        some = some[_STOP[data[tail[some] - 1]]]
+        if not len(some):
+            break
+    parted = np.flatnonzero((tail < cut.end) & (tail > cut.begin))
+    before = tail[parted] - 1
+    parted = parted[ascii_[before] | latin[before] | (data[before] >= 48) & (data[before] <= 57)]
+    begin = np.sort(np.concatenate([cut.begin, tail[parted]]), kind="stable")
+    ends = np.sort(np.concatenate([cut.end, tail[parted]]), kind="stable")
+    offsets = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(ends - begin, out=offsets[1:])
+    per_row = np.diff(np.searchsorted(begin, cut.offsets))
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[cut.inside])]), per_row
 
 
 class Encoder:
@@ -31,7 +95,12 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.size[i] = len(token) if blanks else token.endswith("</w>")
         self.glue = "" if blanks else " "
-        self.memo = Memo(self.encode, 500_000)
+        self.memo = Memo(self.encode if blanks else self.encode_words, 500_000)
+        if not blanks:  # the same merges for words that are only small letters, which no normalizing and no pattern changes
+            from tokenizers import pre_tokenizers
+
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Identifiers of each piece. Plain pieces go to the library many in one text, whose tokens are told apart again afterwards."""
@@ -59,6 +128,30 @@ class Encoder:
                 out[i] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """As encode, with words of small letters joined by blanks and merged without normalizing: each has one token that ends a word."""
+        array = pa.array(words, pa.binary())
+        small = small_letters(array)
+        out: list[bytes | None] = [None] * len(words)
+        simple, others = np.flatnonzero(small).tolist(), np.flatnonzero(~small).tolist()
+        groups = [simple[k : k + GROUP] for k in range(0, len(simple), GROUP)]
+        for k in range(0, len(groups), 64):
+            some = groups[k : k + 64]
+            found = self.letters.encode_batch_fast([b" ".join([words[i] for i in g]).decode() for g in some], add_special_tokens=False)
+            ids = np.array([i for e in found for i in e.ids], dtype="<u4")
+            ends = (np.flatnonzero(self.size[ids]) + 1).tolist()
+            mine = [i for g in some for i in g]
+            if len(ends) != len(mine) or (ends and ends[-1] != len(ids)):
+                others += mine
+                continue
+            raw, lo = ids.tobytes(), 0
+            for i, hi in zip(mine, ends, strict=True):
+                out[i] = raw[4 * lo : 4 * hi]
+                lo = hi
+        for i, ids in zip(others, self.encode([words[i] for i in others]), strict=True):
+            out[i] = ids
+        return out
+
     def plain(self, text: str) -> int:
         """0 if a piece has to be encoded alone; else, for vocabularies that mark a word's end, the least number of ends it can have: one, and one more for a last stop."""
         if self.blanks:  # begins with a blank and does not end with one: no token crosses to its neighbours
@@ -81,8 +174,8 @@ class Encoder:
             pieces, per_row = chunks(texts)
             codes, distinct = coded(pieces)
         else:
-            words = Words(texts)
-            (codes, distinct), per_row = words.coded(), words.per_row
+            pieces, per_row = word_pieces(texts)
+            codes, distinct = coded(pieces)
         if end is not None:  # as one more piece at each row's end
             codes = np.insert(codes, np.cumsum(per_row), len(distinct))
             per_row = per_row + 1
