@@ -41,6 +41,14 @@ class Scratch:
         out._quern_path = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """As table, in buckets of `key` as many as tasks: joins and groups on it read the table without a shuffle. Tasks write a file for each bucket that they have rows of."""
+        path, table = self.path(name), f"quern_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(width(self.spark), key).saveAsTable(table)
+        out = self.spark.table(table)
+        out._quern_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of this folder that no later step reads, and lets Spark clear the shuffles of steps that nothing refers to any more."""
         gc.collect()  # plans that Python still holds keep their shuffles

@@ -91,10 +91,10 @@ class Block:
         self.names, first = np.unique(bucket, return_index=True)
         self.bounds = np.append(first, len(bucket))
 
-    def messages(self, block: str) -> pa.Table:
+    def messages(self, block: int) -> pa.Table:
         """A row for each bucket: the distinct codes, and a bit for each that already repeats in this block."""
         spans = list(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True))
-        return pa.Table.from_arrays([pa.array([block] * len(spans), pa.string()), pa.array(self.names, pa.int64()), pa.array([self.keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(self.many[a:b]).tobytes() for a, b in spans], pa.binary())], names=["block", "bucket", "keys", "many"])
+        return pa.Table.from_arrays([pa.array([block] * len(spans), pa.int64()), pa.array(self.names, pa.int64()), pa.array([self.keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(self.many[a:b]).tobytes() for a, b in spans], pa.binary())], names=["block", "bucket", "keys", "many"])
 
     def hear(self, bits: dict[int, bytes]) -> None:
         """Takes the answers: a bit for each code sent to each bucket."""
@@ -105,12 +105,12 @@ class Block:
         self.repeats[self.places] = again[self.back] if len(self.places) else False
 
 
-MESSAGE = "block string, bucket long, keys binary, many binary"
+MESSAGE = "block long, bucket long, keys binary, many binary"
 
 
 def _gather(rows: DataFrame) -> DataFrame:
-    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and the words' 64-bit codes, packed: they go
-    through a shuffle at each level but the first."""
+    """Documents gathered, where they are read, to blocks: the rows themselves, their word counts, and the words' 64-bit codes, packed: they are
+    read again at each level."""
     kind = pa.struct([pa.field(f.name, _arrow(f.dataType)) for f in rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +118,9 @@ def _gather(rows: DataFrame) -> DataFrame:
             cut = Words(batch.column("text"))
             codes, distinct = coded(cut.array())
             whole = pa.StructArray.from_arrays([pa.concat_arrays([c]).cast(kind.field(i).type) for i, c in enumerate(batch.columns)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([pack_codes(codes, distinct)], pa.binary())], names=["block", "docs", "n_words", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([cut.per_row.tolist()], pa.list_(pa.int32())), pa.array([pack_codes(codes, distinct)], pa.binary())], names=["block", "docs", "n_words", "codes"])
 
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("docs", T.ArrayType(rows.schema)), T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(rows.schema)), T.StructField("n_words", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
 
     Level by level: windows of a short length are counted over the whole table, and those that occur once are done with; where
     two that repeat follow one another they are extended to twice the length, up to `window`. Texts are read once into written blocks of
-    about 4 MB. For each level a block sends its distinct window codes (4 bytes; 8 at the last level, which nothing later
+    about 4 MB, in a table bucketed by block, so that no text and no block is ever shuffled: only window codes and answers are. For each level a block sends its distinct window codes (4 bytes; 8 at the last level, which nothing later
     corrects) with a mark for those it has twice itself, and gets one bit back for each, so a window that a third of all documents share is one
     code per block. Words and windows have 64-bit codes, which are hashes: unequal windows pass as equal with a chance of about n^2 / 2^65 for n windows that passed the levels before.
 
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     if text_col != "text":
         raise ValueError("the text has to be in a column named text")
     scratch = Scratch(spark, "repeats")
-    blocks = scratch.table(_gather(source.withColumn("text", F.col("text").cast("string"))), "blocks")
+    blocks = scratch.bucketed(_gather(source.withColumn("text", F.col("text").cast("string"))), "block", "blocks")
     total = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, int(total) // BUCKET_KEYS)
     levels = lengths(window)
@@ -225,11 +225,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
             sent = coded_blocks.mapInArrow(first, MESSAGE)
         else:
             sent = coded_blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(length, levels[:k]), MESSAGE)
-        found = sent.groupBy("bucket").applyInArrow(_compare(length == window), "block string, bucket long, bits binary").withColumn("length", F.lit(length))
+        found = sent.groupBy("bucket").applyInArrow(_compare(length == window), "block long, bucket long, bits binary").withColumn("length", F.lit(length))
         found = scratch.table(found, f"repeats-{length}")
         answers = found if answers is None else answers.unionByName(found)
-        del sent, found
-        scratch.drop()
 
     fields = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     names = [f.name for f in fields]
