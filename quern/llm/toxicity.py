@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs of the channel, in nats: a mark for a letter, a mark for nothing, another mark between letters for nothing, a blank for nothing, a letter once or twice for three or more.
 SWAP, DROP_LEET, DROP_MARK, DROP_BLANK, REPEAT = 1.0, 9.0, 0.3, 0.3, 0.5
 
-# Symbols of the language model: 0 for anything between words, 1 to 26 for a to z, 27 for a byte of any other letter.
+# Symbols of the language model: 0 for anything between words, 1 to 26 for a to z, 27 for any other letter.
 SYMBOLS = 28
 _SYMBOL = np.zeros(256, dtype=np.int64)
 _SYMBOL[65:91] = _SYMBOL[97:123] = np.arange(1, 27)
@@ -34,11 +33,12 @@ _LETTER = "a-z\x80-\uffff"
 _PATHS = re.compile(rf"[{re.escape(''.join(LEET))}]|([{_LETTER}])\1\1")
 _DISGUISED = re.compile(rf"{_PATHS.pattern}|[{_LETTER}][^{_LETTER}]+[{_LETTER}]")
 _EDGES = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|([^{_LETTER}0-9$@])\1+$|([$@])\2\2+$|[^{_LETTER}0-9@$]+$")
-_PLAIN = re.compile(rf"(?:([{_LETTER}])(?!\1\1)(?<![{re.escape(''.join(LEET))}]))+")
 _OUTER = re.compile(rf"^[^{_LETTER}0-9@$!|+(]+|[^{_LETTER}0-9@$!|+(]+$")
 
-#: Letters of a disguised word up to which it may be a fragment of one with blanks in it, whatever the cost of the join. Others are joined where that is likelier.
-FRAGMENT = 6
+# By byte: what may be cut off a word's ends whatever it means; small letters; and the rest of ASCII's capitals made small.
+_CUT = np.array([b < 128 and re.match(rf"[^{_LETTER}0-9@$!|+(]", chr(b).lower()) is not None for b in range(256)])
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
@@ -48,6 +48,8 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in steps(batches, "text", 1 << 20):
             data, offsets = raw(batch.column("text"))
+            begins = (data & 0xC0) != 0x80  # a character's first byte
+            data, offsets = data[begins], np.concatenate([[0], np.cumsum(begins)])[offsets]
             s = np.zeros(len(data) + 2 * len(offsets) + 2, dtype=np.int64)  # two blanks between texts
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             s[np.arange(len(data)) + 2 * row + 2] = _SYMBOL[data]
@@ -100,9 +102,10 @@ class Channel:
             k += run
         return out
 
-    def restore(self, text: str) -> str:
-        """The likeliest text, by Viterbi's algorithm: states are the last two symbols, so there are at most SYMBOLS**2 for a text of any length."""
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and what was meant as a linked list from its end
+    def restore(self, text: str, before: tuple[int, int] = (0, 0), after: tuple[int, ...] = (0,)) -> str:
+        """The likeliest text, by Viterbi's algorithm, between the symbols `before` and `after` it: states are the last two symbols, so there are at
+        most SYMBOLS**2 for a text of any length."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {before: (0.0, None)}  # cost, and what was meant as a linked list from its end
         cost = self.cost
         for options in self.lattice(text):
             found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -116,7 +119,12 @@ class Channel:
                     if (x, y) not in found or now < found[x, y][0]:
                         found[x, y] = (now, (said, meant) if meant else said)
             states = found
-        ends = [(total + cost[(a * SYMBOLS + b) * SYMBOLS], said) for (a, b), (total, said) in states.items()]
+        ends = []
+        for (a, b), (total, said) in states.items():
+            for z in after:
+                total += cost[(a * SYMBOLS + b) * SYMBOLS + z]
+                a, b = b, z
+            ends.append((total, said))
         least = min(total for total, _ in ends)
         return min(self._spelled(said) for total, said in ends if total == least)
 
@@ -139,18 +147,69 @@ def outer(word: str) -> str:
     return _OUTER.sub("", word.lower())
 
 
-def features(word: str) -> list[int]:
-    """Numbers of a word's features: the word, its beginnings of 4 to 7 letters and its whole."""
-    if not word:
-        return []
-    b, crc = word.encode(), zlib.crc32
-    out = [crc(b"w" + b) % FEATURES]
-    ascii_ = len(b) == len(word)
-    for n in range(4, min(7, len(word)) + 1):
-        out.append(crc(b"p" + (b[:n] if ascii_ else word[:n].encode())) % FEATURES)
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(FEATURES)).astype(np.int64)
+
+
+_BYTE = np.random.default_rng(101).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACE = np.random.default_rng(103).integers(1, 1 << 62, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the features of words, given as bounds in bytes: a row for each with the word's and those of its beginnings of 4 to 7 bytes, -1 for none."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    size = end - begin
+    inner = np.zeros(len(data), dtype=np.int64)  # place in the word
+    word = np.repeat(np.arange(len(begin)), size)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    inner[begin[word] + at] = at
+    np.cumsum(_BYTE[data] * _PLACE[inner % len(_PLACE)], out=total[1:])
+    out = np.full((len(begin), 5), -1, dtype=np.int64)
+    some = np.flatnonzero(size)
+    out[some, 0] = _hash(total[end[some]] - total[begin[some]] + size[some].astype(np.uint64))
+    for k, n in enumerate(range(4, 8), 1):
+        some = np.flatnonzero(size >= n)
+        out[some, k] = _hash(total[begin[some] + n] - total[begin[some]] + np.uint64(n << 32))
     return out
 
 
+def features_of(words: list[str]) -> np.ndarray:
+    data, offsets = raw(pa.array(words, pa.string()))
+    return features(data, offsets[:-1], offsets[1:])
+
+
+class Spelled:
+    """How distinct words are spelled: bytes, bounds of each word's likeliest reading, and the words that are not spelled as they are read."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: dict[int, str]):
+        self.data, self.begin, self.end, self.other = data, begin, end, other
+
+    def cores(self, codes: np.ndarray) -> list[str]:
+        distinct, back = np.unique(codes, return_inverse=True)
+        told = [self.other[c] if c in self.other else self.data[self.begin[c] : self.end[c]].tobytes().decode() for c in distinct.tolist()]
+        return [told[k] for k in back.tolist()]
+
+    def joined(self, codes: np.ndarray, names: np.ndarray, before: dict[int, str], after: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of words one after another, each between what is before and after it by its name, and where each begins, and the last ends."""
+        begin, size = np.zeros((len(codes), 3), dtype=np.int64), np.zeros((len(codes), 3), dtype=np.int64)
+        begin[:, 1], size[:, 1] = self.begin[codes], self.end[codes] - self.begin[codes]
+        more, total = [self.data], len(self.data)
+        for column, told in ((0, before), (2, after)):
+            keys = sorted(told)
+            parts = [told[k].encode() for k in keys]
+            at, lens = np.searchsorted(names, keys), np.array([len(x) for x in parts], dtype=np.int64)
+            begin[at, column], size[at, column] = total + np.cumsum(lens) - lens, lens
+            more.append(np.frombuffer(b"".join(parts), np.uint8))
+            total += int(lens.sum())
+        begin, size = begin.ravel(), size.ravel()
+        ends = np.cumsum(size)
+        shift = np.repeat(begin - (ends - size), size)
+        bound = np.concatenate([[0], ends[2::3]]) if len(codes) else np.zeros(1, np.int64)
+        return np.concatenate(more)[shift + np.arange(len(shift))], bound
+
+
 class Restorer:
     """Restored words of texts. Plain words are themselves: only where the lattice has more than one path is it searched."""
 
@@ -158,84 +217,176 @@ class Restorer:
         self.channel = channel
         self.table = np.array(channel.cost).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
         self.memo = Memo(lambda words: [self.entry(w.decode("utf-8", "replace")) for w in words], 100_000)
-        self.joined = Memo(lambda spaced: [self.joins(x) for x in spaced], 100_000)
+        self.between = Memo(lambda keys: [self.part(*k) for k in keys], 200_000)
 
     def read(self, word: str) -> str:
         return self.channel.restore(word) if _DISGUISED.search(word) else word
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Features of a word's readings. Marks at its end are read both as marks and, where they may be letters, as letters; a word without letters also stands for itself."""
-        found: dict[int, None] = {}
+    def readings(self, word: str) -> list[str]:
+        """A word's readings alone. Marks at its end are read both as marks and, where they may be letters, as letters; a word without letters also stands for itself."""
+        found: dict[str, None] = {}
         for w in dict.fromkeys((plain(word), outer(word))):
-            found.update(dict.fromkeys(features(self.read(w))))
+            found[self.read(w)] = None
             if not any(c.isalpha() for c in w):
-                found.update(dict.fromkeys(features(w)))
-        return tuple(found)
-
-    def entry(self, word: str) -> tuple[tuple[int, ...], str, str, tuple[int, ...]]:
-        """Of a word: its features, itself without marks at its ends, its reading, and for joins the length, the last and first two symbols, and whether it may be a fragment."""
-        w, symbol = word.lower(), self.channel.symbol
-        if _PLAIN.fullmatch(w):
-            core = said = w
-            found, fragment = tuple(features(w)), False
-        else:
-            core = plain(word) or outer(word)
-            said, found = self.read(core), self.word(word)
-            fragment = len(core) <= FRAGMENT and any(c.isalpha() for c in core) and _PATHS.search(core) is not None
-        if len(said) > 1:
-            ends = symbol(said[-2]), symbol(said[-1]), symbol(said[0]), symbol(said[1])
-        else:
-            ends = (0, symbol(said), symbol(said), 0) if said else (0, 0, 0, 0)
-        return found, core, said, (len(core), *ends, int(fragment))
-
-    def joins(self, spaced: str) -> list[str]:
-        """The words that the likeliest text has in place of several fragments."""
-        apart = {self.read(w) for w in spaced.split()}
-        return [w for w in self.channel.restore(spaced).split() if len(w) > 1 and w not in apart]
-
-    def rows(self, text: pa.Array) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-        """Pairs (row, place in the list) of the distinct restored words of each row, and the list of their features.
-
-        Blanks may be for nothing too. Between words of two symbols or more that have one reading a blank's cost does not depend on other blanks, so all are
-        weighed at once; next to single symbols and short disguised words the lattice of the whole run of such words is searched.
+                found[w] = None
+        return [w for w in found if w]
+
+    def entry(self, word: str) -> tuple[list[str], str, str, int, int, int, int, int]:
+        """Of a word: its readings, itself without marks at its ends, its likeliest reading, how many letters its only one has (1 if there are several), and its last and first two symbols."""
+        symbol = self.channel.symbol
+        core = plain(word) or outer(word)
+        said = self.read(core)
+        n = 0 if not core else 1 if _PATHS.search(core) else len(said)
+        if n > 1:
+            return self.readings(word), core, said, n, symbol(said[-2]), symbol(said[-1]), symbol(said[0]), symbol(said[1])
+        return self.readings(word), core, said, n, 0, 0, 0, 0
+
+    def part(self, s1: int, s2: int, text: str, t1: int, t2: int) -> list[str]:
+        """The likeliest text of some words between two others, of which the last and first two symbols are given (-1: none): what is joined to the word before, words, what is joined to the word after."""
+        first, last = s1 < 0, t1 < 0
+        spaced = ("" if first else " ") + text + ("" if last else " ")
+        found = self.channel.restore(spaced, (0, 0) if first else (s1, s2), (0,) if last else (t1, t2)).split(" ")
+        return ([""] if first else []) + found + ([""] if last else [])
+
+    def words(self, array: pa.Array) -> tuple:
+        """Of distinct words: letters of the only reading, or 1; last and first two symbols; spelling; features of plain words; and readings of others, with
+        the word's number. Plain words are told by their bytes, all at once."""
+        data, offsets = raw(array.cast(pa.string()))
+        data = _SMALL[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        small = lead[data[lead + 1] < 0x9F] + 1
+        data[small] += 32
+        letter = (data >= 97) & (data <= 122)
+        letter[lead] = letter[lead + 1] = True
+        begin, end = offsets[:-1].copy(), offsets[1:].copy()
+        for edge, step, byte in ((begin, 1, 0), (end, -1, -1)):  # marks that are no letters, off both ends
+            live = np.flatnonzero(begin < end)
+            while len(live):
+                live = live[_CUT[data[edge[live] + byte]]]
+                edge[live] += step
+                live = live[begin[live] < end[live]]
+        odd = ~letter
+        if len(data) > 2:
+            odd[2:] |= (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+        if len(data) > 5:
+            odd[5:] |= (data[5:] == data[3:-2]) & (data[3:-2] == data[1:-4]) & (data[5:] >= 128)
+        bad = np.concatenate([[0], np.cumsum(odd)])
+        simple = (bad[end] == bad[begin]) & (begin < end)
+        symbol, place = _SYMBOL[data[(data & 0xC0) != 0x80]], np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        symbol = np.append(symbol, [0, 0])
+        n = np.where(simple, place[end] - place[begin], 0)
+        two = simple & (n > 1)
+        ends = np.zeros((4, len(n)), dtype=np.int64)
+        for k, at in enumerate((place[end] - 2, place[end] - 1, place[begin], place[begin] + 1)):
+            ends[k, two] = symbol[at[two]]
+        slow = np.flatnonzero(~simple & (offsets[1:] > offsets[:-1]))
+        found = dict(zip(slow.tolist(), self.memo.of(array.take(pa.array(slow)).to_pylist()), strict=True))
+        for i, x in found.items():
+            n[i] = x[3]
+            ends[:, i] = x[4:]
+        own = features(data, begin, np.where(simple, end, begin))
+        spare = [(i, w) for i, x in found.items() for w in x[0]]
+        said = [x[2].encode() for x in found.values()]  # spelled after the plain words
+        size = np.array([len(x) for x in said], dtype=np.int64)
+        end[slow] = len(data) + np.cumsum(size)
+        begin[slow] = end[slow] - size
+        spelled = np.concatenate([data, np.frombuffer(b"".join(said), np.uint8)])
+        return n, ends, Spelled(spelled, begin, end, {i: x[1] for i, x in found.items()}), own, spare
+
+    def rows(self, text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, feature) of the distinct features of each row's restored words; only `wanted` features if these are given (true by number).
+
+        Blanks may be for nothing too. A word of two letters or more that has one reading ends all paths of the lattice in one state, so what lies between two
+        such words is searched alone: between neighbours only the blank is weighed, all at once; other words (disguised, or of one symbol) are searched with
+        the blanks around them.
         """
         cut = Words(text)
         if not len(cut.begin):
-            return np.zeros((0, 2), np.int64), []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         d = cut.array().dictionary_encode()
         codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        entries = self.memo.of(d.dictionary.to_pylist())
-        known, core, said, ends = (list(x) for x in zip(*entries, strict=True))
         row = np.repeat(np.arange(len(text)), cut.per_row)
-        key = np.unique(row * np.int64(len(known)) + codes)
-        pairs = np.column_stack([key // len(known), key % len(known)])
-        n, s1, s2, t1, t2, fragment = np.array(ends, dtype=np.int64).T.copy()
-        a, b, cost = codes[:-1], codes[1:], self.table
-        kept = cost[s1[a], s2[a], 0] + cost[s2[a], 0, t1[b]] + cost[0, t1[b], t2[b]]
-        dropped = DROP_BLANK + cost[s1[a], s2[a], t1[b]] + cost[s2[a], t1[b], t2[b]]
-        search = (n[a] == 1) | (n[b] == 1) | ((fragment[a] | fragment[b]) > 0) & (n[a] > 0) & (n[b] > 0)
-        join = (row[1:] == row[:-1]) & (search | (n[a] > 1) & (n[b] > 1) & (dropped < kept))
-        searched = np.concatenate([[0], np.cumsum(search)])
-        extra: set[tuple[int, str]] = set()
-        for lo, hi in _runs(join):
-            r, some = int(row[lo]), codes[lo : hi + 1].tolist()
-            if searched[hi] == searched[lo]:
-                extra.add((r, "".join([said[c] for c in some])))
+        n, ends, spelled, own, spare = self.words(d.dictionary)
+        (of, found), extra = self.joined(codes[n[codes] > 0], row[n[codes] > 0], n, ends, spelled)
+        pairs = []
+
+        def add(rows: np.ndarray, which: np.ndarray, found: np.ndarray) -> None:
+            """found: features of words; rows and which: a word of a row."""
+            use = found >= 0 if wanted is None else (found >= 0) & wanted[found]
+            some = use.any(axis=1)[which]
+            rows, which = rows[some], which[some]
+            r, k = np.nonzero(use[which])
+            pairs.append(rows[r] * np.int64(FEATURES) + found[which[r], k])
+
+        add(row, codes, own)
+        add(of, np.arange(len(of)), found)
+        if spare:
+            by = np.array([i for i, _ in spare])  # in order
+            lo, hi = np.searchsorted(by, codes), np.searchsorted(by, codes, side="right")
+            which = np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            add(np.repeat(row, hi - lo), which, features_of([w for _, w in spare]))
+        if extra:
+            add(np.array([r for r, _ in extra]), np.arange(len(extra)), features_of([w for _, w in extra]))
+        key = np.unique(np.concatenate(pairs))
+        return key // FEATURES, key % FEATURES
+
+    def joined(self, codes: np.ndarray, row: np.ndarray, n: np.ndarray, ends: np.ndarray, spelled: Spelled) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[int, str]]]:
+        """Words that the likeliest text has in place of several words, or of one in its surroundings: rows and features, and (row, word) of others."""
+        fixed = n[codes] > 1
+        place = np.flatnonzero(fixed)
+        s1, s2, t1, t2 = ends
+        cost = self.table
+        a, b = place[:-1], place[1:]
+        ca, cb = codes[a], codes[b]
+        kept = cost[s1[ca], s2[ca], 0] + cost[s2[ca], 0, t1[cb]] + cost[0, t1[cb], t2[cb]]
+        dropped = DROP_BLANK + cost[s1[ca], s2[ca], t1[cb]] + cost[s2[ca], t1[cb], t2[cb]]
+        tied = np.append((b == a + 1) & (row[a] == row[b]) & (dropped < kept), False)[: len(place)]  # to the next fixed word
+        # parts of other words between two fixed ones, or a row's ends
+        loose, number = ~fixed, np.cumsum(fixed) - 1  # number: of the last fixed word up to here
+        same = np.append(row[1:] == row[:-1], False)[: len(row)]
+        lo = np.flatnonzero(loose & ~np.concatenate([[False], (loose & same)[:-1]]))
+        hi = np.flatnonzero(loose & ~(np.append(loose[1:], False) & same))
+        left = np.where((lo > 0) & same[lo - 1], number[lo], -1)
+        right = np.where(same[hi], number[hi] + 1, -1)
+        side = [np.where(k >= 0, x[codes[place[k]]] if len(place) else -1, -1).tolist() for k, x in ((left, s1), (left, s2), (right, t1), (right, t2))]
+        cores = spelled.cores(codes[loose])
+        number = np.cumsum(loose)[lo] - 1
+        keys, at = [], []
+        for k, (first, size) in enumerate(zip(number.tolist(), (hi - lo + 1).tolist(), strict=True)):
+            middle = cores[first : first + size]
+            text = middle[0] if size == 1 else " ".join(middle)
+            keys.append((side[0][k], side[1][k], text, side[2][k], side[3][k]))
+            if size > 1 and all([len(w) == 1 for w in middle]):  # symbols one by one, without the words around them
+                keys.append((-1, -1, text, -1, -1))
+                at += [k, -1 - k]
             else:
-                extra.update([(r, w) for w in self.joined.of([" ".join([core[c] for c in some if core[c]])])[0]])
-        for lo, hi in _runs((row[1:] == row[:-1]) & (n[a] <= 1) & (n[b] <= 1)):  # symbols one by one, without the words around them
-            spaced = " ".join([core[c] for c in codes[lo : hi + 1].tolist() if core[c]])
-            extra.update([(int(row[lo]), w) for w in self.joined.of([spaced])[0]])
-        more = list(extra)
-        known += [tuple(features(w)) for _, w in more]
-        added = np.column_stack([np.array([r for r, _ in more], dtype=np.int64), np.arange(len(entries), len(known))])
-        return np.vstack([pairs, added]), known
-
-
-def _runs(true: np.ndarray) -> list[tuple[int, int]]:
-    """Bounds of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], true.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+                at.append(k)
+        out: list[tuple[int, str]] = []
+        before: dict[int, str] = {}
+        after: dict[int, str] = {}
+        l, r, of = left.tolist(), right.tolist(), row[lo].tolist()
+        for k, found in zip(at, self.between.of(keys), strict=True):
+            if k < 0:
+                out += [(of[-1 - k], w) for w in found[1:-1] if len(w) > 1]
+            elif l[k] >= 0 and r[k] >= 0 and len(found) == 1:
+                after[l[k]] = found[0]
+                tied[l[k]] = True
+            else:
+                if found[0]:
+                    after[l[k]] = found[0]
+                if found[-1]:
+                    before[r[k]] = found[-1]
+                if len(found) > 2:
+                    out += [(of[k], w) for w in found[1:-1] if len(w) > 1]
+        joined = np.concatenate([[False], tied[:-1]])[: len(tied)]  # to the fixed word before
+        use = tied | joined
+        use[[*before, *after]] = True
+        which = np.flatnonzero(use)
+        data, bound = spelled.joined(codes[place[which]], which, before, after)
+        start = np.flatnonzero(~joined[which])
+        begin = bound[start]
+        return (row[place[which[start]]], features(data, begin, np.append(begin[1:], bound[-1]))), out
 
 
 class Scorer:
@@ -276,12 +427,6 @@ def marking(texts: np.ndarray, positive: np.ndarray, share: float, least: int =
     return (texts >= least) & (k > share) & (apart >= -math.log(chance))
 
 
-def _row_features(pairs: np.ndarray, known: list[tuple[int, ...]], n: int) -> list[np.ndarray]:
-    order = np.argsort(pairs[:, 0], kind="stable")
-    place, bound = pairs[order, 1], np.searchsorted(pairs[order, 0], np.arange(n + 1))
-    return [np.unique(np.array([f for k in place[bound[r] : bound[r + 1]].tolist() for f in known[k]], dtype=np.int64)) for r in range(n)]
-
-
 def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tuple[Channel, Scorer]:
     """The channel's language model, from all texts of `docs`, and a scorer from labelled rows that `allowed` (a condition on doc_id) admits.
 
@@ -300,10 +445,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tu
         total = np.zeros((2, FEATURES), dtype=np.int64)
         for batch in steps(batches, "text"):
             label = batch.column("label").to_numpy(zero_copy_only=False)
-            for k, row in enumerate(_row_features(*restorer.rows(batch.column("text")), batch.num_rows)):
-                total[0, row] += 1
-                if label[k] > 0:
-                    total[1, row] += 1
+            row, feature = restorer.rows(batch.column("text"))
+            total[0] += np.bincount(feature, minlength=FEATURES)
+            total[1] += np.bincount(feature[label[row] > 0], minlength=FEATURES)
         for k in range(0, FEATURES, _PART):
             yield pa.RecordBatch.from_pylist([{"part": k, "texts": total[0, k : k + _PART].tobytes(), "positive": total[1, k : k + _PART].tobytes()}])
 
@@ -319,8 +463,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            rows = _row_features(*restorer.rows(batch.column("text")), batch.num_rows)
-            blobs = [r[marks[r]].astype("<i4").tobytes() for r in rows]
+            row, feature = restorer.rows(batch.column("text"), marks)
+            bound = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            blobs = [feature[a:b].astype("<i4").tobytes() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"])
 
     rows = sorted(texts.mapInArrow(run, "doc_id long, label double, features binary").collect(), key=lambda r: (r["doc_id"], r["label"]))
@@ -340,17 +485,12 @@ def score(docs: DataFrame, channel: Channel, scorer: Scorer) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    restorer = Restorer(channel)
+    restorer, wanted = Restorer(channel), scorer.weights != 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            pairs, known = restorer.rows(batch.column("text"))
-            sizes = np.array([len(k) for k in known], dtype=np.int64)
-            flat = np.fromiter((f for k in known for f in k), dtype=np.int64, count=int(sizes.sum()))
-            worth = np.concatenate([[0.0], np.cumsum(scorer.weights[flat], dtype=np.float64)])
-            ends = np.cumsum(sizes)
-            word = worth[ends] - worth[ends - sizes]
-            logit = np.bincount(pairs[:, 0], weights=word[pairs[:, 1]], minlength=batch.num_rows) + scorer.bias
+            row, feature = restorer.rows(batch.column("text"), wanted)
+            logit = np.bincount(row, weights=scorer.weights[feature], minlength=batch.num_rows) + scorer.bias
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -397,12 +398,47 @@ def test_channel_and_scores(spark, sf, odd):
 def test_disguises_of_any_length_mark_and_spacing(spark, sf):
     counts = {r["first"]: np.frombuffer(r["counts"], np.int64) for r in toxicity.count_trigrams(spark.createDataFrame([("the idiot and the stupid moron said that it was not so of in it",)] * 50, "text string")).collect()}
     reader = toxicity.Restorer(toxicity.Channel(np.concatenate([counts[k] for k in range(toxicity.SYMBOLS)])))
-    word = lambda w: toxicity.zlib.crc32(b"w" + w.encode()) % toxicity.FEATURES
+    word = lambda w: int(toxicity.features_of([w])[0, 0])
     for said, meant in (("i" * 70 + "diot", "idiot"), ("1d10t" + ".1d10t" * 20, "idiot" * 21), ("idio+", "idiot"), ("1+", "it"), ("st upid", "stupid"), ("id i ot", "idiot"), ("i. d. i. o. t.", "idiot"), ("m ô r o n", "môron")):
-        pairs, known = reader.rows(pa.array([f"the {said} and"]))
-        assert word(meant) in {f for _, k in pairs.tolist() for f in known[k]}, said
-    pairs, known = reader.rows(pa.array(["so st", "upid", "in 2019 it"]))  # no word goes over texts; a number stands for itself too
-    assert word("stupid") not in {f for k in known for f in k} and word("2019") in {f for k in known for f in k}
+        _, found = reader.rows(pa.array([f"the {said} and"]))
+        assert word(meant) in found.tolist(), said
+    _, found = reader.rows(pa.array(["so st", "upid", "in 2019 it"]))  # no word goes over texts; a number stands for itself too
+    assert word("stupid") not in found.tolist() and word("2019") in found.tolist()
+    wanted = np.zeros(toxicity.FEATURES, bool)
+    wanted[word("idiot")] = True
+    row, found = reader.rows(pa.array(["so", "1d10t id iot", None, "", "idiot."]), wanted)
+    assert row.tolist() == [1, 4] and set(found.tolist()) == {word("idiot")}
+
+
+def test_viterbi_equals_all_paths_and_parts_equal_the_whole():
+    rng = random.Random(9)
+    base = "the idiot and a stupid moron said it was not so of in a loser "
+    flat = [toxicity.Channel.symbol(c) for c in "  " + base * 30]
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    np.add.at(counts, [(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z for x, y, z in zip(flat, flat[1:], flat[2:])], 1)
+    channel = toxicity.Channel(counts)
+
+    def cost(parts):
+        total, x, y = 0.0, 0, 0
+        for said, price in [*parts, (" ", 0.0)]:
+            total += price
+            for c in said:
+                z = channel.symbol(c)
+                total += channel.cost[(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z]
+                x, y = y, z
+        return total
+
+    for _ in range(150):
+        text = "".join(rng.choice("idot 1!0$.ssaa") for _ in range(rng.randint(1, 8))).strip()
+        paths = [(cost(p), "".join(w for w, _ in p)) for p in itertools.product(*channel.lattice(text))]
+        least = min(c for c, _ in paths)
+        assert channel.restore(text) in {w for c, w in paths if c < least + 1e-9}, text
+    reader = toxicity.Restorer(channel)
+    for _ in range(300):  # words found part by part are those of one lattice over the whole text
+        words = [rng.choice(["id", "iot", "a", "s", "i", "1d", "10t", "stu", "pid", "the", "mo", "ro", "n", "0f", "sssaid", "$o"]) for _ in range(rng.randint(2, 7))]
+        whole = {w for w in channel.restore(" ".join(words)).split() if len(w) > 1}
+        _, found = reader.rows(pa.array([" ".join(words)]))
+        assert all(int(toxicity.features_of([w])[0, 0]) in found.tolist() for w in whole), (words, whole)
 
 
 # the pipeline
