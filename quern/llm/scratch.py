@@ -6,7 +6,10 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +62,23 @@ class Scratch:
         jvm.System.gc()
 
 
+def add_up(rows: DataFrame, key: str, blobs: dict, spread: int = 32) -> DataFrame:
+    """Sums of number arrays, kept as bytes in the columns `blobs` (with their types), by `key` (a long): rows of a task first with those of some other
+    tasks, then these sums, so that no task reads what all tasks sent."""
+    schema = f"{key} long, salt int, " + ", ".join(f"{c} binary" for c in blobs)
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = {}
+        for c, kind in blobs.items():
+            sums[c] = np.zeros(len(table[c][0].as_buffer()) // np.dtype(kind).itemsize, kind)
+            for x in table[c]:
+                sums[c] += np.frombuffer(x.as_buffer(), kind)
+        return pa.Table.from_pylist([{key: table[key][0].as_py(), "salt": 0} | {c: x.tobytes() for c, x in sums.items()}], schema=pa.schema([(key, pa.int64()), ("salt", pa.int32()), *((c, pa.binary()) for c in blobs)]))
+
+    some = rows.withColumn("salt", F.spark_partition_id() % spread).select(key, "salt", *blobs)
+    return some.groupBy(key, "salt").applyInArrow(add, schema).groupBy(key).applyInArrow(add, schema).drop("salt")
+
+
 def width(spark: SparkSession) -> int:
     """Number of tasks that a step is dealt to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import add_up
 from .textcut import Memo, Words, raw, steps
 
 # Letters that a mark or digit may stand for.
@@ -58,10 +59,7 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
         for k, part in enumerate(total.reshape(SYMBOLS, -1)):
             yield pa.RecordBatch.from_pylist([{"first": k, "counts": part.tobytes()}])
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"first": table["first"][0].as_py(), "counts": sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"]).tobytes()}])
-
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "first long, counts binary").groupBy("first").applyInArrow(add, "first long, counts binary")
+    return add_up(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "first long, counts binary"), "first", {"counts": np.int64})
 
 
 class Channel:
@@ -451,13 +449,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tu
         for k in range(0, FEATURES, _PART):
             yield pa.RecordBatch.from_pylist([{"part": k, "texts": total[0, k : k + _PART].tobytes(), "positive": total[1, k : k + _PART].tobytes()}])
 
-    def add(table: pa.Table) -> pa.Table:
-        both = {c: sum(np.frombuffer(x.as_py(), np.int64) for x in table[c]).tobytes() for c in ("texts", "positive")}
-        return pa.Table.from_pylist([{"part": table["part"][0].as_py(), **both}])
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id").select("doc_id", "label", "text")
-    schema = "part long, texts binary, positive binary"
-    parts = {r["part"]: r for r in texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()}
+    kinds = {"texts": np.int64, "positive": np.int64}
+    parts = {r["part"]: r for r in add_up(texts.mapInArrow(count, "part long, texts binary, positive binary"), "part", kinds).collect()}
     n, k = (np.concatenate([np.frombuffer(parts[p][c], np.int64) if p in parts else np.zeros(_PART, np.int64) for p in range(0, FEATURES, _PART)]) for c in ("texts", "positive"))
     marks = marking(n, k, float(chosen.agg(F.coalesce(F.avg("label"), F.lit(0.01))).first()[0]))
 
