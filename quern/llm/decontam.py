@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcut import Words, coded, steps
+from .scratch import add_up
+from .textcut import Words, steps
 
-#: Words of the blocks that passages of the search are made of; words of a passage in the decomposition.
-STEP, LONG_SPAN = 8, 256
+#: Words of the blocks that passages of the search are made of; words of a passage in the decomposition, as in the search of longer items.
+STEP, LONG_SPAN = 8, 32
 #: Passages of the search by the length of the items' pieces: up to so many words, blocks of a passage, and blocks from one passage to the next.
 PASSAGES = ((24, 3, 1), (48, 4, 2))
 #: Latent dimensions kept, drawn for finding them, and draws that a term takes part in.
@@ -25,6 +27,8 @@ RANK, DRAWN, SHARE = 224, 288, 8
 LEAST_COSINE, LEAST_HELD = 0.5, 0.4
 #: Share of an item's words found in order that is a leak if the answer is there too, and that is one anyway.
 LIKELY, SURE = 0.6, 0.8
+#: Share of an item's words that have to be found among its rarest ones for a comparison without regard to vectors.
+RARE = 0.15
 #: Items that are searched for at once.
 BLOCK_ITEMS = 20_000
 
@@ -124,20 +128,13 @@ def term_space(texts: DataFrame, items: Items, seed: int = 3) -> tuple[np.ndarra
                 part = slice(k, k + (1 << 15))
                 begin = np.flatnonzero(np.concatenate([[True], np.diff(term[part]) > 0]))
                 total[term[part][begin]] += np.add.reduceat(sums[at[part]] * count[part, None].astype(np.float32), begin, axis=0)
-        for k in range(0, d, 512):
-            yield pa.RecordBatch.from_pylist([{"part": k, "n": passages, "df": frequent[k : k + 512].tobytes(), "sums": total[k : k + 512].tobytes()}])
+        for k in range(0, d, 64):
+            yield pa.RecordBatch.from_pylist([{"part": k, "n": np.int64(passages).tobytes(), "df": frequent[k : k + 64].tobytes(), "sums": total[k : k + 64].tobytes()}])
 
-    def add(table: pa.Table) -> pa.Table:
-        df = sum(np.frombuffer(x.as_py(), np.int64) for x in table["df"])
-        sums = sum(np.frombuffer(x.as_py(), np.float64) for x in table["sums"])
-        return pa.Table.from_pylist([{"part": table["part"][0].as_py(), "n": sum(table["n"].to_pylist()), "df": df.tobytes(), "sums": sums.tobytes()}])
-
-    schema = "part long, n long, df binary, sums binary"
-    rows = texts.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
-    found = sorted(rows, key=lambda r: r["part"])
+    found = sorted(add_up(texts.mapInArrow(run, "part long, n binary, df binary, sums binary"), "part", {"n": np.int64, "df": np.int64, "sums": np.float64}).collect(), key=lambda r: r["part"])
     if not found:
         return np.zeros((d, 1), np.float32), np.ones(d)
-    n = found[0]["n"]
+    n = int(np.frombuffer(found[0]["n"], np.int64)[0])
     df = np.concatenate([np.frombuffer(r["df"], np.int64) for r in found])
     sums = np.concatenate([np.frombuffer(r["sums"], np.float64).reshape(-1, drawn) for r in found])
     idf = np.log((n + 1) / (df + 1)) + 1
@@ -175,6 +172,20 @@ def place_masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+def _united(regions: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Regions (row, item, first, end) of one row and item that meet or overlap as one."""
+    held: tuple[int, int, int, int] | None = None
+    for r, i, lo, hi in sorted(regions):
+        if held is not None and held[:2] == (r, i) and lo <= held[3]:
+            held = (r, i, held[2], max(held[3], hi))
+        else:
+            if held is not None:
+                yield held
+            held = (r, i, lo, hi)
+    if held is not None:
+        yield held
+
+
 class Search:
     """Looks for the items of a block in documents."""
 
@@ -186,88 +197,134 @@ class Search:
         self.lengths = np.array([len(p) for _, p in items.pieces], dtype=np.int64)
         self.owner = np.array([k for k, _ in items.pieces], dtype=np.int64)
         self.sizes = np.array([len(i.words) for i in items.items], dtype=np.int64)
-        self.worth = np.zeros((len(items.items), len(items.term) + 1), dtype=np.float32)  # a term's part of an item's weight; the last column: words of no item
-        for k, item in enumerate(items.items):
-            self.worth[k, item.words] = idf[item.words]
-        self.worth /= np.maximum(self.worth.sum(axis=1, keepdims=True), 1e-9)
         self.expect = LEAST_HELD * np.minimum(1, 24 / np.maximum(self.sizes, 1))
         self.masks = [place_masks(i.words) for i in items.items]
         self.answers = [place_masks(i.answer) for i in items.items]
+        self.spans = self.sizes + self.sizes // 2 + 1  # words of a stretch that an item is looked for in
+        self.width = len(items.term) + 1
+        # A term's part of an item's weight, for the terms of each item alone, in order of item and term. And each item's rarest words: so many that of LIKELY of
+        # its words `least` are among them, wherever the others are.
+        key, part, rare, owner = [], [], [], []
+        self.least = np.zeros(len(items.items), dtype=np.int64)
+        for k, item in enumerate(items.items):
+            terms, count = np.unique(item.words, return_counts=True)
+            key.append(terms + k * np.int64(self.width))
+            part.append(idf[terms] / max(float(idf[terms].sum()), 1e-9))
+            need = max(1, math.ceil(LIKELY * len(item.words) - 1e-9))
+            self.least[k] = min(need, max(1, math.ceil(RARE * len(item.words))))
+            order = np.lexsort((terms, -idf[terms]))
+            other = len(item.words) - np.cumsum(count[order])  # words left out of the rarest so far
+            take = int(np.argmax(other <= need - self.least[k])) + 1
+            rare.append(terms[order[:take]])
+            owner.append(np.full(take, k))
+        self.key, self.part = np.concatenate(key), np.concatenate(part).astype(np.float32)
+        rare, owner = np.concatenate(rare), np.concatenate(owner)
+        order = np.argsort(rare, kind="stable")
+        self.rare_owner, self.rare_bound = owner[order], np.searchsorted(rare[order], np.arange(self.width + 1))
+
+    def worth(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Share of an item's weight that words (rows of term numbers, -1 for none) have, each term once."""
+        key = np.where(words >= 0, item[:, None] * np.int64(self.width) + words, -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.part[at], np.float32(0)).sum(axis=1)
+
+    def rare_places(self, of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, and first and last places, of stretches that hold enough of an item's rarest words. Every stretch with LIKELY of an item's words does."""
+        posted = np.diff(self.rare_bound)[of]  # none for words of no item: -1 is the last, which no item has
+        place = np.repeat(np.arange(len(of)), posted)
+        inner = np.arange(len(place)) - np.repeat(np.cumsum(posted) - posted, posted)
+        item = self.rare_owner[self.rare_bound[of[place]] + inner] if len(place) else place
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        whole = np.flatnonzero(last < len(item))
+        last = last[whole]
+        near = (item[last] == item[whole]) & (row[place[last]] == row[place[whole]]) & (place[last] - place[whole] < self.spans[item[whole]])
+        return item[whole[near]], place[whole[near]], place[last[near]]
 
     def leaks(self, text: pa.Array) -> list[list[dict]]:
         of, per_row = self.items.codes(text)
         out: list[list[dict]] = [[] for _ in range(len(text))]
         if not len(of) or not len(self.queries):
             return out
-        block = _passages(per_row, STEP)
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums = np.empty((len(first), self.space.shape[1]), np.float32)
-        last = np.append(first[1:], len(of))
-        for k in range(0, len(first), 2048):  # the n-th words of many blocks at once; words of no item, and none, are zeros
-            part = slice(k, k + 2048)
-            total = self.space[of[first[part]]]
-            for j in range(1, STEP):
-                place = first[part] + j
-                total += self.space[np.where(place < last[part], of[np.minimum(place, len(of) - 1)], -1)]
-            sums[part] = total
+        # words in blocks of STEP, each row's from an even block on and with empty blocks after it, so that no passage goes over rows
         parts = -(-per_row // STEP)
-        row = np.repeat(np.arange(len(per_row)), parts)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        taken = (parts + max(n for _, n, _ in PASSAGES)) // 2 * 2
+        first = np.cumsum(taken) - taken
         ends = np.cumsum(per_row)
-        best: dict[tuple[int, int], tuple[int, float]] = {}
+        inner = np.arange(len(of)) - np.repeat(ends - per_row, per_row)
+        blocks_of = np.full(int(taken.sum()) * STEP, -1, dtype=np.int64)
+        blocks_of[np.repeat(first * STEP, per_row) + inner] = of
+        blocks_of = blocks_of.reshape(-1, STEP)
+        sums = np.empty((len(blocks_of), self.space.shape[1]), np.float32)
+        held_rows = np.empty((2048, self.space.shape[1]), np.float32)
+        for k in range(0, len(sums), 2048):  # the n-th words of many blocks at once; words of no item, and none, are zeros
+            some = blocks_of[k : k + 2048]
+            total = sums[k : k + 2048]
+            np.take(self.space, some[:, 0], axis=0, out=total, mode="wrap")
+            for j in range(1, STEP):
+                total += np.take(self.space, some[:, j], axis=0, out=held_rows[: len(some)], mode="wrap")
+        row = np.repeat(np.arange(len(per_row)), taken)
+        regions: list[tuple[int, int, int, int]] = []
+        cosines: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int], int] = {}
         least = 0
         for most, blocks, step in PASSAGES:
             mine = np.flatnonzero((self.lengths > least) & (self.lengths <= most))
             least = most
             if not len(mine):
                 continue
-            at = np.flatnonzero(inner % step == 0)
-            for k in range(0, len(at), 4096):
-                some = at[k : k + 4096]
-                passage = sums[some]
+            queries = np.ascontiguousarray(self.queries[mine].T)
+            for k in range(0, len(sums), 4096):
+                stop = min(len(sums) - blocks + 1, k + 4096)
+                if stop <= k:
+                    break
+                passage = sums[k:stop:step].copy()
                 for j in range(1, blocks):
-                    next_ = np.minimum(some + j, len(row) - 1)
-                    passage += np.where(((some + j < len(row)) & (row[next_] == row[some]))[:, None], sums[next_], np.float32(0))
-                cosine = self.unit(passage) @ self.queries[mine].T
-                w, q = np.nonzero(cosine >= LEAST_COSINE)
+                    passage += sums[k + j : stop + j : step]
+                size = np.sqrt(np.einsum("ij,ij->i", passage, passage))
+                dot = passage @ queries
+                w, q = np.nonzero(dot >= np.maximum(size, 1e-6)[:, None] * np.float32(LEAST_COSINE))
                 if not len(w):
                     continue
-                near, item, w = cosine[w, q], self.owner[mine[q]], some[w]
-                start = first[w]
-                end = np.minimum(start + blocks * STEP, ends[row[w]])
+                near, item, w = dot[w, q] / size[w], self.owner[mine[q]], k + w * step
                 held = np.empty(len(w), np.float32)
                 for c in range(0, len(w), 1 << 14):
                     part = slice(c, c + (1 << 14))
-                    inside = start[part, None] + np.arange(blocks * STEP)
-                    words = np.sort(np.where(inside < end[part, None], of[np.minimum(inside, len(of) - 1)], -1), axis=1)
+                    words = np.sort(blocks_of[w[part, None] + np.arange(blocks)].reshape(len(w[part]), -1), axis=1)
                     words[:, 1:][words[:, 1:] == words[:, :-1]] = -1  # a term counts once
-                    held[part] = self.worth[item[part, None], words].sum(axis=1)
+                    held[part] = self.worth(item[part], words)
                 for x in np.flatnonzero(held >= self.expect[item]).tolist():
-                    r, i = int(row[w[x]]), int(item[x])
-                    n = int(self.sizes[i])
-                    lo, hi = max(int(ends[r] - per_row[r]), int(start[x]) - n), min(int(ends[r]), int(end[x]) + n)
-                    matched = self.matched(i, of[lo:hi].tolist())
-                    if matched and (matched, float(near[x])) > best.get((r, i), (0, 0.0)):
-                        best[r, i] = (matched, float(near[x]))
-        for (r, i), (matched, cosine) in sorted(best.items()):
-            out[r].append({"item_id": self.items.items[i].id, "matched": matched, "n_words": int(self.sizes[i]), "cosine": cosine})
+                    i, r = int(item[x]), int(row[w[x]])
+                    start = int(ends[r] - per_row[r]) + (int(w[x]) - int(first[r])) * STEP
+                    regions.append((r, i, start - int(self.sizes[i]), start + blocks * STEP + int(self.sizes[i])))
+                    cosines[r, i] = max(cosines.get((r, i), -1.0), float(near[x]))
+        word_row = np.repeat(np.arange(len(per_row)), per_row)
+        for i, a, b in zip(*(x.tolist() for x in self.rare_places(of, word_row)), strict=True):
+            span = int(self.spans[i])
+            regions.append((int(word_row[a]), i, b - span + 1, a + span))
+        for r, i, lo, hi in _united(regions):
+            span = int(self.spans[i])
+            lo, hi = max(int(ends[r] - per_row[r]), lo), min(int(ends[r]), hi)
+            for k in range(lo, max(lo + 1, hi - span), 2 * span):  # every stretch is whole in one of these
+                matched = self.matched(i, of[k : min(hi, k + 3 * span)].tolist())
+                if matched > best.get((r, i), 0):
+                    best[r, i] = matched
+        for (r, i), matched in sorted(best.items()):
+            out[r].append({"item_id": self.items.items[i].id, "matched": matched, "n_words": int(self.sizes[i]), "cosine": cosines.get((r, i))})
         return out
 
     def matched(self, i: int, region: list[int]) -> int:
-        """Words of item i found in order within half again its length; 0 if that is no leak."""
-        n, masks = int(self.sizes[i]), self.masks[i]
+        """Words of item i found in order within half again its length, wherever in the region that starts; 0 if that is no leak."""
+        n, masks, span = int(self.sizes[i]), self.masks[i], int(self.spans[i])
         if common_words(masks, n, region) < LIKELY * n:
             return 0
-        size, best, at = n + n // 2 + 1, 0, 0
-        for k in range(0, max(1, len(region) - size + n // 4 + 1), max(1, n // 4)):
-            m = common_words(masks, n, region[k : k + size])
-            if m > best:
-                best, at = m, k
-        if best < LIKELY * n:
-            return 0
-        answer = self.items.items[i].answer
-        if best < SURE * n and common_words(self.answers[i], len(answer), region[at : at + size]) < 0.5 * len(answer):
-            return 0
+        best, answer = 0, self.items.items[i].answer
+        for k, w in enumerate(region):
+            if w not in masks or (m := common_words(masks, n, region[k : k + span])) <= best or m < LIKELY * n:
+                continue
+            if m >= SURE * n or common_words(self.answers[i], len(answer), region[k : k + span]) >= 0.5 * len(answer):
+                best = m
         return best
 
 
@@ -278,10 +335,12 @@ _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int64()), ("
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, keep_text: bool = True) -> DataFrame:
     """The rows of `docs` (without the text if not `keep_text`) with `leaks` in place of a column so named: the benchmark items that the text holds, with how many words of each were found in order.
 
-    Words are lower-cased and rid of marks at their ends. Documents are read in passages of 24 words every 8 words for short items and of 32 every 16 for others; a passage is
-    a candidate for an item if their latent vectors (see term_space) have a cosine of 0.5 or more and the passage holds enough of the item's IDF weight. Then the longest common
-    subsequence decides, in a stretch of the document no longer than one and a half items: 80 % of the item's words are a leak, 60 % are one if at
-    least half of the item's answer, its last sentence, is there in order.
+    A leak is a stretch of the document, one and a half times as long as the item, that starts anywhere: 80 % of the item's words are in it in order (longest common
+    subsequence), or 60 % and at least half of the item's answer, its last sentence. Words are lower-cased and rid of marks at their ends.
+
+    Candidates are passages of 24 words every 8 words for short items, and of 32 every 16 for others, whose latent vector (see term_space) has a cosine of 0.5 or more with the item's
+    and that hold enough of its IDF weight; and, so that no leak is missed where the leading dimensions hold little of an item, stretches that hold
+    so many of its rarest words as any stretch with 60 % of its words has to. `cosine` is null where only the latter proposed the item.
 
     Only the items are sent to tasks, in blocks of at most `block_items`, each with a pass of its own. Documents are not shuffled. Null and empty
     texts and items have no leaks; repeated rows and items are told each; an empty table gives an empty one.
