@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcut import Words, coded, steps
+from .textcut import raw, steps
 
-#: Bytes that the network reads in one go. A word is read from its start, a longer one in several windows.
-WINDOW = 24
+#: Bytes that are labelled in one go, and bytes of the text on both sides of them that the network reads before it gets there.
+WINDOW, MARGIN = 128, 16
+#: Windows that are read at once.
+BATCH = 1024
+#: Byte that stands for what is before and after a text.
+OUTSIDE = 0
 
 LETTER = np.zeros(256, dtype=bool)
 LETTER[128:] = True
 LETTER[65:91] = LETTER[97:123] = True
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: a bounded activation whose slope is (1 - |value|)^2. Gates are half of it and a half."""
+    x /= np.abs(x) + np.float32(1)
+    return x
 
 
 class ByteGRU:
-    """Two gated recurrent layers, one from each side, over the bytes of a window, and a softmax over classes at each position."""
+    """Two gated recurrent layers, one from each side, over the bytes of a window, and a softmax over classes at each position. Activations are x / (1 + |x|)."""
 
     def __init__(self, classes: list[str], hidden: int = 16, seed: int = 7):
         rng, h = np.random.default_rng(seed), hidden
@@ -38,27 +45,40 @@ class ByteGRU:
     def _states(self, x: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (time, row, unit) of windows x (row, time) of one length."""
         n, t = x.shape
-        h, width = np.zeros((n, self.hidden), np.float32), self.hidden
-        table, u, c = self.p[f"{side}x"], self.p[f"{side}u"], self.p[f"{side}c"]
+        h, width, c = np.zeros((n, self.hidden), np.float32), self.hidden, self.p[f"{side}c"]
+        tables, us = ([np.ascontiguousarray(self.p[side + w][:, k * width : (k + 1) * width]) for k in range(3)] for w in "xu")
         out = np.empty((t, n, width), np.float32)
+        columns = np.ascontiguousarray(x.T).astype(np.intp)
         for k in range(t) if side == "f" else range(t - 1, -1, -1):
-            a, b = table[x[:, k]], h @ u
-            gates = _sigmoid(a[:, : 2 * width] + b[:, : 2 * width])
-            z, r = gates[:, :width], gates[:, width:]
-            cand = b[:, 2 * width :] + c
-            new = np.tanh(a[:, 2 * width :] + r * cand)
+            z, r, new = (np.take(a, columns[k], axis=0) for a in tables)
+            z += h @ us[0]
+            r += h @ us[1]
+            for gate in (z, r):
+                _squash(gate)
+                gate *= np.float32(0.5)
+                gate += np.float32(0.5)
+            cand = h @ us[2]
+            cand += c
+            new += r * cand
+            _squash(new)
             if keep is not None:
                 keep.append((k, h, z, r, cand, new))
-            h = new + z * (h - new)
+            h = np.subtract(h, new)
+            h *= z
+            h += new
             out[k] = h
         return out
 
-    def position_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Class probabilities (time, row, class) at every position of windows x (row, time)."""
-        both = np.concatenate([self._states(x, "f"), self._states(x, "b")], axis=2)
-        logits = both @ self.p["out"] + self.p["bias"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
+    def position_probabilities(self, x: np.ndarray, margin: int = 0) -> np.ndarray:
+        """Class probabilities (class, time, row) at every position of windows x (row, time) but the first and last `margin`."""
+        mid, h = slice(margin, x.shape[1] - margin), self.hidden
+        logits = self._states(x, "f")[mid].reshape(-1, h) @ self.p["out"][:h]
+        logits += self._states(x, "b")[mid].reshape(-1, h) @ self.p["out"][h:]
+        prob = np.ascontiguousarray((logits + self.p["bias"]).T)
+        prob -= prob.max(axis=0)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(axis=0)
+        return prob.reshape(len(prob), -1, len(x))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
@@ -80,8 +100,8 @@ class ByteGRU:
             dx = np.zeros((t, n, 3 * width), np.float32)
             for k, h, z, r, cand, new in reversed(kept[s]):
                 dh = dh + part[k]
-                dnew = dh * (1 - z) * (1 - new * new)
-                dz, dr = dh * (h - new) * z * (1 - z), dnew * cand * r * (1 - r)
+                dnew = dh * (1 - z) * (1 - np.abs(new)) ** 2
+                dz, dr = (d * 0.5 * (1 - np.abs(2 * gate - 1)) ** 2 for d, gate in ((dh * (h - new), z), (dnew * cand, r)))
                 dcand = dnew * r
                 rec = np.concatenate([dz, dr, dcand], axis=1)
                 dx[k] = np.concatenate([dz, dr, dnew], axis=1)
@@ -92,20 +112,19 @@ class ByteGRU:
             grad[f"{s}x"] = onehot.T @ dx.reshape(-1, 3 * width)
         return loss, grad
 
-    def fit(self, words: list[bytes], labels: np.ndarray, rounds: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 11) -> ByteGRU:
-        """Adam over batches of words of one length, drawn in proportion to their bytes."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = 300, batch: int = 192, length: int = 32, rate: float = 0.02, seed: int = 11) -> ByteGRU:
+        """Adam over stretches of `length` bytes from anywhere in the texts, their ends with what is outside too: of a class drawn at random one of its texts, of that one a place."""
         rng = np.random.default_rng(seed)
-        by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        sizes = np.array([len(w) for w in words])
-        for n in np.unique(sizes):
-            mine = np.flatnonzero(sizes == n)
-            by[int(n)] = (np.frombuffer(b"".join(words[i] for i in mine), np.uint8).reshape(-1, n), labels[mine])
-        weight = np.array([x.size for x, _ in by.values()], dtype=np.float64)
+        flat = np.frombuffer(b"".join(bytes([OUTSIDE]) * MARGIN + t + bytes([OUTSIDE]) * (MARGIN + length) for t in texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64) + 2 * MARGIN
+        begin = np.cumsum(sizes + length) - (sizes + length)
+        of = [np.flatnonzero((labels == c) & (sizes > 2 * MARGIN)) for c in range(len(self.classes))]
+        of = [x for x in of if len(x)]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        for step in range(1, rounds + 1):
-            x, y = by[int(rng.choice(list(by), p=weight / weight.sum()))]
-            some = rng.integers(0, len(x), min(batch, len(x)))
-            _, grad = self.gradients(x[some], y[some])
+        for step in range(1, rounds + 1) if of else ():
+            text = np.array([of[c][int(u * len(of[c]))] for c, u in zip(rng.integers(0, len(of), batch).tolist(), rng.random(batch).tolist(), strict=True)])
+            place = (rng.random(batch) * np.maximum(1, sizes[text] - length + 1)).astype(np.int64)
+            _, grad = self.gradients(flat[(begin[text] + place)[:, None] + np.arange(length)], labels[text])
             slow = rate * (1 - 0.9 * step / rounds)
             for k, g in grad.items():
                 m[k] += 0.1 * (g - m[k])
@@ -113,80 +132,68 @@ class ByteGRU:
                 self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word, the sum over its letter bytes of the class probabilities there, and last the number of those bytes."""
-        out = np.zeros((len(words), len(self.classes) + 1))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        begin = np.cumsum(sizes) - sizes
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text, given as bytes and bounds, the sum over its letter bytes of the class probabilities there, and last the number of those bytes.
+
+        Texts are read in windows that overlap: WINDOW bytes are labelled, and MARGIN more of the same text are read on each side of them, so that
+        every position has what is around it, over blanks and window bounds.
+        """
+        out = np.zeros((len(offsets) - 1, len(self.classes) + 1))
+        sizes = np.diff(offsets)
         parts = -(-sizes // WINDOW)
-        owner = np.repeat(np.arange(len(words)), parts)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = begin[owner] + inner * WINDOW
-        length = np.minimum(sizes[owner] - inner * WINDOW, WINDOW)
-        for n in np.unique(length):
-            mine = np.flatnonzero(length == n)
-            for k in range(0, len(mine), 4096):
-                some = mine[k : k + 4096]
-                x = flat[start[some, None] + np.arange(n)]
-                letter = LETTER[x]
-                prob = np.einsum("tnc,nt->nc", self.position_probabilities(x), letter.astype(np.float32))
-                found = np.column_stack([prob, letter.sum(axis=1)])
-                if n == WINDOW:
-                    np.add.at(out, owner[some], found)
-                else:  # a word has one shorter window at most
-                    out[owner[some]] += found
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOW
+        places = np.arange(-MARGIN, WINDOW + MARGIN)
+        for k in range(0, len(owner), BATCH):
+            o = owner[k : k + BATCH]
+            at = start[k : k + BATCH, None] + places
+            inside = (at >= offsets[o, None]) & (at < offsets[o + 1, None])
+            x = np.where(inside, data[np.clip(at, 0, len(data) - 1)], np.uint8(OUTSIDE))
+            letter = (LETTER[x] & inside)[:, MARGIN:-MARGIN]
+            prob = (self.position_probabilities(x, MARGIN) * letter.T).sum(axis=1)
+            np.add.at(out, o, np.column_stack([prob.T, letter.sum(axis=1)]))
         return out
 
 
-def train(docs: DataFrame, allowed, per_class: int = 300, words_each: int = 150, hidden: int = 16) -> ByteGRU | None:
+def train(docs: DataFrame, allowed, per_class: int = 300, hidden: int = 16) -> ByteGRU | None:
     """Fits the network to rows of `docs` that `allowed` (a condition) admits and whose lang is not null.
 
-    The fit uses a bounded sample: about `per_class` documents of each language, by a hash of the id, and `words_each` words of each. None if there
-    are no such rows.
+    The fit uses a bounded sample of rows: about `per_class` documents of each language, by a hash of the id; stretches are drawn from their whole texts.
+    None if there are no such rows.
     """
-    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     classes = sorted(counts)
     share = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(per_class / counts[c]))))
     fraction = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = known.where(fraction < F.try_element_at(share, F.col("lang"))).select("lang", F.slice(F.shuffle(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""), F.lit(5)), 1, words_each).alias("words"), F.xxhash64("doc_id").alias("key"))
-    words, labels = [], []
-    for r in sorted(picked.collect(), key=lambda r: (r["key"], r["lang"])):
-        for w in r["words"]:
-            b = w.encode()
-            for k in range(0, len(b), WINDOW):
-                words.append(b[k : k + WINDOW])
-                labels.append(classes.index(r["lang"]))
-    model = ByteGRU(classes, hidden)
-    return model.fit(words, np.array(labels, dtype=np.int64)) if words else None
+    picked = known.where(fraction < F.try_element_at(share, F.col("lang"))).select("lang", "text", F.xxhash64("doc_id").alias("key"))
+    rows = sorted(picked.collect(), key=lambda r: (r["key"], r["lang"], r["text"]))
+    labels = np.array([classes.index(r["lang"]) for r in rows], dtype=np.int64)
+    return ByteGRU(classes, hidden).fit([r["text"].encode() for r in rows], labels)
 
 
 def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     """Adds lang_pred and score to the rows of `docs`, which needs a text column, in place of columns so named.
 
-    Every position of the whole text is labelled: the network reads the text word by word, equal words of a batch once. A document's
+    Every position of the whole text is labelled, with the text around it (see ByteGRU.sums). A document's
     probabilities are the mean over the positions of its letters; lang_pred is the likeliest class, score its probability.
     Null texts and texts without a letter are `und` with score 0, as all are without a model. Ties go to the class first in order.
     Repeated rows are labelled each; an empty table gives an empty one. Nothing is shuffled.
     """
     source = docs.drop("lang_pred", "score")
-    marked = source.withColumn("__has_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    has_letter = "has_letter_" + uuid.uuid4().hex
+    marked = source.withColumn(has_letter, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names_out = [*source.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            has = batch.column("__has_letter").to_numpy(zero_copy_only=False)
+            has = batch.column(has_letter).to_numpy(zero_copy_only=False)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             if model is not None:
-                cut = Words(batch.column("text"))
-                codes, distinct = coded(cut.array())
-                sums = model.word_sums(distinct)
-                row = np.repeat(np.arange(batch.num_rows), cut.per_row)
-                pooled = np.column_stack([np.bincount(row, weights=sums[codes, c], minlength=batch.num_rows) for c in range(sums.shape[1])]) if len(codes) else np.zeros((batch.num_rows, len(model.classes) + 1))
+                pooled = model.sums(*raw(batch.column("text")))
                 prob = pooled[:, :-1] / np.maximum(pooled[:, -1:], 1)
                 best = prob.argmax(axis=1)
                 score = np.clip(prob[np.arange(len(best)), best], 0, 1)
@@ -194,7 +201,7 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
             else:
                 has, names = np.zeros(batch.num_rows, bool), np.array(["und"], dtype=object)
             pred = names[np.where(has, best, len(names) - 1)]
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__has_letter"]
+            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != has_letter]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred.tolist(), pa.string()), pa.array(np.where(has, score, 0.0))], names=names_out)
 
     return marked.mapInArrow(run, schema)
