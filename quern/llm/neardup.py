@@ -7,6 +7,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The whole shingle set of each of some classes, made again from a document of it."""
+    """The whole shingle set of each of some classes (node, doc), made again from a document of it; of those without an id from any row without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 1 << 20):
@@ -173,11 +174,16 @@ def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             total = np.zeros(len(sets) + 1, np.uint64)
             np.cumsum(_mix(sets + np.uint64(1)), out=total[1:])
             node = _mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
-            same = node == batch.column("node").to_numpy()
+            same = pc.equal(pc.coalesce(batch.column("node"), pa.array(node)), pa.array(node))
             blobs = pa.array([sets[e - n : e].astype("<u8").tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), blobs], names=["node", "shingles"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([pa.array(node), blobs], names=["node", "shingles"]).filter(same)
 
-    return docs.join(nodes, "doc").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    found = docs.join(nodes, "doc").select("node", "text").mapInArrow(run, "node long, shingles binary")
+    nameless = nodes.where("doc IS NULL").select("node")
+    if not nameless.isEmpty():
+        rows = docs.where("doc IS NULL").select(F.lit(None).cast("long").alias("node"), "text")
+        found = found.unionByName(rows.mapInArrow(run, "node long, shingles binary").join(nameless, "node", "left_semi"))
+    return found.dropDuplicates(["node"])
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -201,7 +207,7 @@ def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "signature", "shingles", F.lit(0).alias("lost") if wide else F.col("lost"))
-    parts = max(1, members.count() // 1000)
+    parts = max(1, (members.select(F.sum(chunks).cast("long")).first()[0] or 0) // 1000)  # rows are as many as members in chunks
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
     kind = "<u8" if wide else "<u4"
 
@@ -280,7 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     members = scratch.table(salted_join(bands, buckets, ["key"], ["node"], "inner"), "members")
     scratch.drop(bands, buckets)
     tried = scratch.table(_pruned(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), classes, percent), "open")
-    sets_of = lambda nodes: _full_sets(nodes.join(classes.select("node", "doc"), "node").where("doc IS NOT NULL"), rows, words)
+    sets_of = lambda nodes: _full_sets(nodes.join(classes.select("node", "doc"), "node"), rows, words)
     sets = scratch.table(sets_of(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()), "sets")
     links = scratch.table(_verified(tried, sets, percent), "links")
     scratch.drop(sets)

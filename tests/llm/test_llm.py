@@ -3,7 +3,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -279,6 +279,26 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert len(got) == odd.count() and all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
     assert not any(r.kept for r in got if r.doc_id is None)
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
+    words = [f"w{k}" for k in range(101)]
+    near = [" ".join(words), " ".join([*words[:-1], "z"]), " ".join([*words[:-1], "y"])]
+    some = spark.createDataFrame([(None, near[0]), (5, near[1]), (None, near[2]), (None, near[2]), (9, "else")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(some).collect())
+    assert got == [(0, 5, False)] * 3 + [(5, 5, True), (9, 9, True)]
+
+
+def test_large_buckets_are_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 8)  # a bucket of 60 is cut into 8 chunks
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(110)]
+    texts = []
+    for k in range(60):  # one family: most pairs share a bucket, many are no links
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(1, 9)):
+            words[at] = f"n{k}_{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 80, 2).collect()}
+    assert got == brute_components(list(enumerate(texts)), 80, 2)
 
 
 def test_posterior_bounds_and_components(spark):
@@ -314,12 +334,53 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def brute_leaks(texts, items):
+    """Pairs (text, item) by the definition: every start, plain dynamic programming. Stretches with too few words of the item at all are skipped."""
+    found, known = set(), [(i, decontam.plain_words(t), decontam.answer_of(t)) for i, t in items]
+    for d, text in texts:
+        words = decontam.plain_words(text)
+        for i, item, answer in known:
+            n, span, own = len(item), len(item) + len(item) // 2 + 1, Counter(item)
+            inside = np.concatenate([[0], np.cumsum([w in own for w in words])])
+            for k in range(len(words)) if n else ():
+                if inside[min(len(words), k + span)] - inside[k] >= 0.6 * n and words[k] in own and (Counter(words[k : k + span]) & own).total() >= 0.6 * n:
+                    m = lcs(item, words[k : k + span])
+                    if m >= 0.8 * n or m >= 0.6 * n and lcs(answer, words[k : k + span]) >= 0.5 * len(answer):
+                        found.add((d, i))
+                        break
+    return found
+
+
 def test_op8_equals_brute_force(spark, sf):
-    plain = lambda t: " ".join(decontam.plain_words(t))
-    docs = {r.doc_id: f" {plain(r.text)} " for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    want = {(d, i) for d, t in docs.items() for i, x in items.items() if f" {x} " in t}
-    assert {(r.doc_id, r.item_id) for r in queries.op8_leaks(spark, sf).collect()} >= want
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {(r.doc_id, r.item_id) for r in queries.op8_leaks(spark, sf).collect()} == brute_leaks(docs, items)
+
+
+def test_paraphrases_of_many_items_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "a", "in"]) if rng.random() < 0.5 else f"t{int(rng.paretovariate(0.7))}"
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, say(rng.randint(8, 60)) + ". " + say(rng.randint(1, 12)) + ".") for k in range(40)]
+    texts = []
+    for k in range(100):  # words replaced by unseen or by common ones, or left out
+        words = items[k % 40][1].split()
+        share, other = rng.choice([0.55, 0.6, 0.62, 0.7, 0.8]), rng.choice([lambda: "new", word, lambda: ""])
+        texts.append((k, say(rng.randint(0, 60)) + " " + " ".join(w if rng.random() < share else other() for w in words) + " " + say(rng.randint(0, 60))))
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(texts, items)
+    assert len(want) > 25
+    for block_items in (20_000, 13):  # all items at once, and in several passes
+        assert {(r.doc_id, x.item_id) for r in decontam.find_leaks(docs, benchmark, block_items=block_items).collect() for x in r.leaks} == want
 
 
 # 9: archives
