@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..operators import fits
 from .registry import query
 from .tables import cte, table
@@ -104,3 +105,27 @@ def brillouin_fit(spark, d):
 def extrapolate(spark, d):
     params = _fields(spark, d).select("t", "d", "j", "c", "n").distinct().withColumns({"j_err": F.lit(0.05), "c_err": F.lit(1e-5), "n_err": F.lit(1e20)})
     return fits.extrapolate(params)
+
+
+@query("SELECT p_partkey, true AS solved, cast(sign((p_partkey % 21 - 10) * 7000) AS int) AS direction FROM part")
+def magnetization_residual(spark, d):
+    """Puts the solved magnetization into the model again: both sides agree, and it points as the field does."""
+    made = fits.solve_magnetization(_fields(spark, d))
+    off = F.abs(sc.model_magnetization("h", "m", "d", "t", "j", "c", "n") - F.col("m"))
+    return made.select("p_partkey", (off <= 1e-8 * (1 + F.abs("m"))).alias("solved"), F.signum("m").cast("int").alias("direction"))
+
+
+@query(f"""SELECT cast([2, 5, 10, 15][p_partkey % 4 + 1] AS double) AS t, 3.5::double AS j, 0.0005::double AS c, 1.2::double AS n, round(1.2e22 * 4 * {sc.MU_B!r}, 3) AS m0, count(*) AS points, true AS close FROM part GROUP BY 1""")
+def recovered_parameters(spark, d):
+    """The fit finds J, C and n that made the data, the saturation n (J + 1/2) mu_B, and a reduced chi-square of nothing."""
+    out = brillouin_fit(spark, d)
+    return out.select("t", F.round("j", 4).alias("j"), F.round("c", 7).alias("c"), F.round(F.col("n") / 1e22, 4).alias("n"), F.round("m0", 3).alias("m0"), "points", (F.col("red_chi2") < 1e-6).alias("close"))
+
+
+@query("SELECT cast([2, 5, 10, 15][p_partkey % 4 + 1] AS double) AS t, 10::bigint AS points, 0.0::double AS at_zero, true AS between, 90000.0::double AS last FROM part GROUP BY 1")
+def extrapolated_fit(spark, d):
+    """Curves of the fitted parameters: nothing at field zero, and the curve between those of parameters plus and minus their errors."""
+    found = brillouin_fit(spark, d).withColumn("d", F.lit(0.3)).withColumns({"j_err": F.lit(0.05), "c_err": F.lit(1e-5), "n_err": F.lit(1e20)})
+    grid = fits.extrapolate(found)
+    inside = (F.col("m_min") <= F.col("m")) & (F.col("m") <= F.col("m_max")) & (F.col("m_err") >= 0)
+    return grid.groupBy("t").agg(F.count(F.lit(1)).alias("points"), F.max(F.when(F.col("h") == 0, F.col("m"))).alias("at_zero"), F.every(inside).alias("between"), F.round(F.max("h"), 3).alias("last"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggs, clean, joins, ml, windows
-from .registry import query
+from . import table_queries  # noqa: F401  (registers clean_houses)
+from .registry import ORACLES, query
 from .tables import cte, table
 
 HOUSE_COLUMNS = ["months_listed", "bedrooms", "house_type", "year", "month", "log_area", *(f"city_City{k}" for k in range(5))]
@@ -42,9 +43,10 @@ def recipe_features(spark, d):
     return _recipes(spark, d)
 
 
-@query()
+@query(f"""WITH h AS ({ORACLES["clean_houses"]}) SELECT house_id, sale_price, months_listed, bedrooms, cast(CASE house_type WHEN 'Detached' THEN 0 WHEN 'Semi-detached' THEN 1 WHEN 'Terraced' THEN 2 END AS int) AS house_type,
+    {', '.join(f"""cast(city = 'City{k}' AS int) AS "city_City{k}\"""" for k in range(5))}, cast(year(sale_date) AS int) AS year, cast(month(sale_date) AS int) AS month, round(ln(area), 9) AS log_area FROM h""")
 def house_features(spark, d):
-    return _houses(spark, d)
+    return _houses(spark, d).withColumn("log_area", F.round("log_area", 9))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding AS v FROM embeddings), n AS (SELECT q.vec_id AS q, t.vec_id AS t, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v::double[], t.v::double[]), t.vec_id) AS k FROM e q, e t WHERE q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),

@@ -19,13 +19,21 @@ def name_number(text: Column) -> Column:
     return F.regexp_replace(text, "[_p]", ".").try_cast("double")
 
 
-def read_tagged_files(spark: SparkSession, path: str, schema: T.StructType | str, rules: Mapping[str, tuple[str, str]], keep: str | None = None, geometry: DataFrame | None = None, on: str = "act") -> DataFrame:
-    """All files of a path, each row tagged with values from its file's name.
+def _named(reader, whole_path: bool):
+    return reader.option("recursiveFileLookup", True) if whole_path else reader
+
+
+def _name(whole_path: bool) -> Column:
+    return F.col("_metadata.file_path" if whole_path else "_metadata.file_name")
+
+
+def read_tagged_files(spark: SparkSession, path: str, schema: T.StructType | str, rules: Mapping[str, tuple[str, str]], keep: str | None = None, geometry: DataFrame | None = None, on: str = "act", whole_path: bool = False) -> DataFrame:
+    """All files of a path, each row tagged with values from its file's name, or, with `whole_path`, from its path in folders below it too.
 
     rules: column -> (pattern with one group, 'number' or 'text'). `keep`: files whose name does not match this pattern are left out. A kept name that a rule does not
     match fails. `geometry` is a small table joined on `on`. Files are read in one scan, not one by one.
     """
-    df = read_csv(spark, path, schema).withColumn("file_name", F.col("_metadata.file_name"))
+    df = _named(spark.read.schema(schema).options(header=True, enforceSchema=False), whole_path).csv(path).withColumn("file_name", _name(whole_path))
     if keep:
         df = df.where(F.col("file_name").rlike(keep))
     for name, (pattern, kind) in rules.items():
@@ -35,9 +43,9 @@ def read_tagged_files(spark: SparkSession, path: str, schema: T.StructType | str
     return df.join(geometry, on, "left") if geometry is not None else df
 
 
-def read_instrument(spark: SparkSession, path: str, schema: str, skip: int = 39, name_pattern: str = r"MvH(\d+)K", tag: str = "t") -> DataFrame:
+def read_instrument(spark: SparkSession, path: str, schema: str, skip: int = 39, name_pattern: str = r"MvH(\d+)K", tag: str = "t", whole_path: bool = False) -> DataFrame:
     """Comma-separated tables below a preamble of `skip` lines and a header line; columns empty in all files are dropped; `tag` is a whole number of the file's name."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
+    whole = _named(spark.read, whole_path).text(path, wholetext=True).select("value", _name(whole_path).alias("file_name"))
     lines = whole.select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where((F.col("pos") > skip) & (F.trim("line") != ""))
     rows = lines.select(F.regexp_extract("file_name", name_pattern, 1).try_cast("int").alias(tag), F.from_csv("line", schema).alias("row")).select(tag, "row.*")
     filled = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).first()
@@ -48,15 +56,15 @@ def read_instrument(spark: SparkSession, path: str, schema: str, skip: int = 39,
 HOTSPOT_COLUMNS = "LATITUDE double, LONGITUDE double, ACQ_DATE string, SATELLITE string, CONFIDENCE string, BRIGHT_T31 double, FRP double, TYPE int"
 
 
-def read_hotspots(spark: SparkSession, path: str | Sequence[str], schema: str = HOTSPOT_COLUMNS, name_pattern: str = r"^(?:fire_)?([A-Za-z0-9\-]+)_") -> DataFrame:
+def read_hotspots(spark: SparkSession, path: str | Sequence[str], schema: str = HOTSPOT_COLUMNS, name_pattern: str = r"^(?:fire_)?([A-Za-z0-9\-]+)_", whole_path: bool = False) -> DataFrame:
     """Fire points of several satellites as one table, with sat_id from the file's name and the date as a date."""
-    df = read_csv(spark, path, schema).withColumn("sat_id", F.regexp_extract(F.col("_metadata.file_name"), name_pattern, 1))
+    df = _named(spark.read.schema(schema).options(header=True, enforceSchema=False), whole_path).csv(path).withColumn("sat_id", F.regexp_extract(_name(whole_path), name_pattern, 1))
     return df.select("sat_id", F.col("LATITUDE").alias("lat"), F.col("LONGITUDE").alias("lon"), F.to_date("ACQ_DATE").alias("acq_date"), F.col("SATELLITE").alias("satellite"), F.col("CONFIDENCE").alias("confidence"), F.col("BRIGHT_T31").alias("bright_t31"), F.col("FRP").alias("frp"), F.col("TYPE").alias("type"))
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """A small lookup table: byte-order mark taken off the first header, names and values trimmed, the first column as whole numbers where all are."""
-    df = spark.read.options(header=True).csv(path)
+    df = spark.read.options(header=True).csv(path)  # read as text
     df = df.toDF(*(c.replace("﻿", "").strip() for c in df.columns))
     df = df.select(*(F.trim(c).alias(c) for c in df.columns))
     first = df.columns[0]
