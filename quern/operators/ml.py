@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -78,11 +78,11 @@ def fit_linear_svc(df: DataFrame, features: str = "features", label: str = "labe
     return _search(model, grid, _precision(label), df, folds, seed)
 
 
-def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: str, vector: str = "v", metric: str = "euclidean", weights: str = "uniform", block: int = 2_000) -> DataFrame:
+def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: str, vector: str = "v", metric: str = "euclidean", weights: str = "uniform", block: int = 2_000, others: bool = False) -> DataFrame:
     """Votes of the k nearest training rows for each query row: rows (key, vote). Ties by the smaller label; of equally near rows those with the smaller key.
 
     The stated query rows are taken in blocks of at most `block` rows, each sent to all training rows, which keep their k best per task before the merge;
-    training rows are not sent anywhere. Both tables need `key`; vectors are arrays of one length.
+    training rows are not sent anywhere. Both tables need `key`; vectors are arrays of one length. With `others` a row does not vote on itself.
     """
     blocks = max(1, -(-query.count() // block))
     out = None
@@ -91,6 +91,7 @@ def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: st
         diff = F.zip_with(vector, "__qv", lambda x, y: x - y)
         size = F.aggregate(diff, F.lit(0.0), lambda s, x: s + (F.abs(x) if metric == "manhattan" else x * x).cast("double"))
         pairs = train.select(F.col(key).alias("__t"), label, vector).crossJoin(F.broadcast(some))
+        pairs = pairs.where(F.col("__t") != F.col("__q")) if others else pairs
         near = pairs.select("__q", label, "__t", (size if metric == "manhattan" else F.sqrt(size)).alias("__d"))
         best = near.withColumn("__rn", F.row_number().over(Window.partitionBy("__q").orderBy("__d", "__t"))).where(F.col("__rn") <= k)
         weight = F.lit(1.0) if weights == "uniform" else F.when(F.col("__d") == 0, 1e12).otherwise(1 / F.col("__d"))
@@ -100,11 +101,33 @@ def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: st
     return out
 
 
+def knn_grid(train: DataFrame, query: DataFrame, key: str, label: str, fold: str, vector: str = "v", ks: Sequence[int] = (3, 5, 7), weights: Sequence[str] = ("uniform", "distance"), metrics: Sequence[str] = ("euclidean", "manhattan"), block: int = 2_000) -> DataFrame:
+    """Cross-validated search over neighbours, weights and metric: rows (metric, weights, k, accuracy), accuracy over the stated query rows, each of which is
+    voted on by the training rows of the other folds (column `fold` of both tables). One pass over the training rows for each metric and block of queries."""
+    blocks, out = max(1, -(-query.count() // block)), None
+    for metric in metrics:
+        best = None
+        for b in range(blocks):
+            some = query.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).alias("__q"), F.col(vector).alias("__qv"), F.col(label).alias("__ql"), F.col(fold).alias("__qf"))
+            diff = F.zip_with(vector, "__qv", lambda x, y: x - y)
+            size = F.aggregate(diff, F.lit(0.0), lambda s, x: s + (F.abs(x) if metric == "manhattan" else x * x).cast("double"))
+            pairs = train.select(F.col(key).alias("__t"), label, vector, fold).join(F.broadcast(some), F.col(fold) != F.col("__qf"))
+            near = pairs.select("__q", "__ql", label, "__t", (size if metric == "manhattan" else F.sqrt(size)).alias("__d"))
+            kept = near.withColumn("__rn", F.row_number().over(Window.partitionBy("__q").orderBy("__d", "__t"))).where(F.col("__rn") <= max(ks))
+            best = kept if best is None else best.unionByName(kept)
+        tries = best.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where("__rn <= k").withColumn("weights", F.explode(F.array(*(F.lit(w) for w in weights))))
+        weight = F.when(F.col("weights") == "uniform", F.lit(1.0)).when(F.col("__d") == 0, 1e12).otherwise(1 / F.col("__d"))
+        votes = tries.groupBy("weights", "k", "__q", "__ql", label).agg(F.round(F.sum(weight), 9).alias("w"))
+        win = votes.groupBy("weights", "k", "__q", "__ql").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(label).alias("vote"))).alias("x"))
+        told = win.groupBy("weights", "k").agg(F.avg((F.col("x.vote") == F.col("__ql")).cast("double")).alias("accuracy")).select(F.lit(metric).alias("metric"), "weights", "k", "accuracy")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def knn_approx(train: DataFrame, query: DataFrame, key: str, vector: str = "v", radius: float = 1.0, bucket: float = 2.0, tables: int = 4) -> DataFrame:
     """Pairs (query key, train key, distance) within a radius by random projections, for tables too large for knn_classify. Some pairs may be missed."""
-    as_vector = F.udf(lambda a: Vectors.dense(a), VectorUDT())
     lsh = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=5)
-    a, b = (t.select(key, as_vector(F.col(vector).cast("array<double>")).alias("vec")) for t in (query, train))
+    a, b = (t.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("vec")) for t in (query, train))
     joined = lsh.fit(b).approxSimilarityJoin(a, b, radius, distCol="distance")
     return joined.select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias("train"), "distance")
 

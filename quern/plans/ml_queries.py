@@ -57,6 +57,28 @@ def knn_classify(spark, d):
     return ml.knn_classify(rows.where("vec_id % 50 <> 0"), rows.where("vec_id % 50 = 0"), 7, "vec_id", "label")
 
 
+@query("""WITH e AS (SELECT vec_id, label, embedding::double[] AS v, vec_id // 50 % 5 AS fold FROM embeddings),
+    p AS (SELECT q.vec_id AS q, q.label AS ql, t.vec_id AS t, t.label, list_distance(q.v, t.v) AS e, list_sum(list_transform(list_zip(q.v, t.v), lambda x: abs(x[1] - x[2]))) AS m FROM e q, e t WHERE q.vec_id % 50 = 0 AND q.fold <> t.fold),
+    d AS (SELECT q, ql, t, label, 'euclidean' AS metric, e AS d FROM p UNION ALL SELECT q, ql, t, label, 'manhattan', m FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY metric, q ORDER BY d, t) AS rn FROM d),
+    g AS (SELECT r.*, k, weights FROM r, (SELECT unnest([3, 5, 7]) AS k), (SELECT unnest(['uniform', 'distance']) AS weights) WHERE rn <= k),
+    s AS (SELECT metric, weights, k, q, ql, label, round(sum(CASE WHEN weights = 'uniform' THEN 1 WHEN d = 0 THEN 1e12 ELSE 1 / d END), 9) AS w FROM g GROUP BY ALL),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY metric, weights, k, q ORDER BY w DESC, label) = 1)
+    SELECT metric, weights, cast(k AS int) AS k, round(avg(cast(label = ql AS int)), 6) AS accuracy FROM b GROUP BY ALL""")
+def knn_grid(spark, d):
+    """Five folds; vectors whose id is divisible by 50 are voted on by all rows of the other folds."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), (F.floor(F.col("vec_id") / 50) % 5).alias("fold"))
+    return ml.knn_grid(rows, rows.where("vec_id % 50 = 0"), "vec_id", "label", "fold").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings), n AS (SELECT q.vec_id AS q, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS k FROM e q, e t WHERE q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id),
+    c AS (SELECT q, label, count(*) AS w FROM n WHERE k <= 7 GROUP BY q, label) SELECT q AS vec_id, label AS vote FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY w DESC, label) = 1""")
+def knn_classify_all(spark, d):
+    """Vectors whose id is divisible by 50, against every row but themselves."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return ml.knn_classify(rows, rows.where("vec_id % 50 = 0"), 7, "vec_id", "label", others=True)
+
+
 def _traffic(spark, d):
     columns = ["calories", "protein", "servings", *(f"category_{c}" for c in clean.RECIPE_CATEGORIES)]
     scaled = ml.scale(_recipes(spark, d), ["calories", "protein"])

@@ -84,6 +84,9 @@ def test_radius_join_is_brute_force(spark):
     got = {(r.p, r.f) for r in spatial.radius_join(left, right, 5e4).collect()}
     want = {(i, j) for i in range(60) for j in range(80) if (a[i, 0] - b[j, 0]) ** 2 + (a[i, 1] - b[j, 1]) ** 2 <= 25e8}
     assert got == want
+    assert {(r.p, r.f) for r in spatial.radius_join(left, right, 5e4, crowd=7).collect()} == want  # the cluster is several keys
+    every = spatial.risk_score(left.withColumnRenamed("p", "prop_id"), right.withColumn("sat_id", F.lit("S")))
+    assert every.count() == 60 and every.agg(F.sum("n_fires")).first()[0] == len(want)
     scores = spatial.risk_score(left.withColumnRenamed("p", "prop_id"), right.withColumn("sat_id", F.lit("S")), satellites=["S", "T"]).collect()
     assert len(scores) == 120
     for r in scores:
