@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import itertools
 import random
@@ -145,6 +146,13 @@ def test_packing_keeps_every_token_once(spark, odd):
 # 5: media
 
 
+def test_files_of_another_encoder():
+    """Two widely published files of one clear pixel, still and as a frame."""
+    for text in ("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", "UklGRlIAAABXRUJQVlA4WAoAAAASAAAAAAAAAAAAQU5JTQYAAAD/////AABBTk1GJgAAAAAAAAAAAAAAAAAAAGQAAABWUDhMDQAAAC8AAAAQBxAREYiI/gcA"):
+        (stream,) = webp.streams_of(base64.b64decode(text))
+        assert webp.read_stream(stream).tolist() == [[[0, 0, 0, 0]]]
+
+
 def test_general_webp_streams():
     rng = np.random.default_rng(1)
     for trial in range(16):
