@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggs import quantiles
+
 
 def demag_amplitudes(df: DataFrame, keys: Sequence[str] = ("act", "t", "h"), angle: str = "deg", keep: float | None = 180.0) -> DataFrame:
     """Differences to the previous orientation of the same experiment: change, pair mean, half amplitude and its percent, flux change, ratio of factors; rows at `keep` degrees (all if None)."""
@@ -47,10 +49,10 @@ def control_limits(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
 
 def score_category(df: DataFrame, value: str, k: int = 10, name: str = "category") -> DataFrame:
-    """1 + the number of quantile cut points below the value: cut points are one aggregate, no sort of all rows in one task."""
-    cuts = df.agg(F.percentile(value, F.array(*(F.lit(i / k) for i in range(1, k)))).alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(value).isNotNull(), 1 + below)).drop("__cuts")
+    """1 + the number of quantile cut points below the value; the cut points are found by counting passes, without a sort."""
+    cuts = quantiles(df, [value], [i / k for i in range(1, k)])[value]
+    below = F.size(F.filter(F.array(*(F.lit(c).cast("double") for c in cuts)), lambda c: c < F.col(value)))
+    return df.withColumn(name, F.when(F.col(value).isNotNull(), 1 + below))
 
 
 def top_k(df: DataFrame, value: str, k: int, tie: str) -> DataFrame:

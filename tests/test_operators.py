@@ -176,3 +176,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "hot").mkdir()
     (tmp_path / "hot" / "fire_viirs_2020.csv").write_text("LATITUDE,LONGITUDE,ACQ_DATE,SATELLITE,CONFIDENCE,BRIGHT_T31,FRP,TYPE\n1,2,2020-01-02,N,h,3,4,0\n")
     assert io.read_hotspots(spark, f"file://{tmp_path}/hot").first().sat_id == "viirs"
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    wide = [float(v) for v in [*rng.normal(0, 1, 400), *np.exp(rng.normal(0, 20, 100)), -1e300, 1e300]]
+    ties = [float(v) for v in rng.integers(0, 4, len(wide))]
+    df = spark.createDataFrame([*zip(wide, ties, [None] * len(wide), strict=True), (None, float("nan"), None)], "a double, b double, c double").repartition(3)
+    got = aggs.quantiles(df, ["a", "b", "c"], qs)
+    assert np.allclose(got["a"], np.quantile(wide, qs), rtol=1e-12) and np.allclose(got["b"], np.quantile(ties, qs)) and got["c"] == [None] * 6
+    assert aggs.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
