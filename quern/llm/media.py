@@ -42,7 +42,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: its id, n_bytes of its UTF-8 text, and media: a WebP file of the text as 8-bit grey samples in rows of 64, zeros at the end.
 
     Texts up to 8,192 bytes are one lossless image; longer ones are strips of 128 rows of one canvas, frames of one file. Each strip has prefix codes
-    of its own; a run of equal samples at its end is a copy. Red and blue are coded as nothing by the subtract-green transform. Null texts count as
+    of its own; a run of equal samples at its end is a copy. Red and blue are coded as nothing by the subtract-green transform; a strip is stored as it is, less its left
+    or upper neighbours (predictor) or by a packed palette, whichever its samples' entropy says is shortest. Null texts count as
     empty: one row of zeros. Equal texts give equal files. Repeated rows are stored each; a payload of any length is stored whole; an empty
     table gives an empty one. Nothing is shuffled.
     """

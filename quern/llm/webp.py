@@ -1,4 +1,4 @@
-"""Lossless WebP images: a decoder of the whole bit stream, one that decodes many plain streams in step, and encoders."""
+"""Lossless WebP images: a decoder of the whole bit stream, one that decodes many streams in step, and encoders."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICT, CROSS, SUBTRACT_GREEN, INDEX = range(4)
+LEFT, ABOVE = 1, 2  # two of the predictors
 OPAQUE = 0xFF000000
 CACHE_FACTOR = 0x1E35A7BD
 
@@ -325,6 +326,12 @@ def _predictions(known: np.ndarray, modes: np.ndarray, tile: int, x: int, y: int
 
 
 def undo_predict(rest: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    if (modes == modes.flat[0]).all() and modes.flat[0] in (LEFT, ABOVE):  # running sums; the first pixel follows opaque black, the first row its left, the first column its above
+        out, along = rest.copy(), 1 if modes.flat[0] == LEFT else 0
+        out[0, 0, 0] += 255
+        first = (slice(None), 0) if along else (0, slice(None))
+        out[first] = np.cumsum(out[first], axis=0)
+        return np.cumsum(out, axis=along) & 255
     out = np.zeros_like(rest)
     for y in range(rest.shape[0]):
         for x in range(rest.shape[1]):
@@ -360,9 +367,11 @@ def index_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def read_stream(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4: A, R, G, B) of a lossless stream."""
-    bits = Bits(data)
+Head = tuple[int, int, int, list[tuple]]
+
+
+def read_head(bits: Bits) -> Head:
+    """Width, height, width as coded and transforms of a lossless stream; the main image follows."""
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -383,7 +392,11 @@ def read_stream(data: bytes) -> np.ndarray:
             coded_width = -(-coded_width >> index_bits(n))
         else:
             todo.append((kind, coded_width, 0, None))
-    pixels = channels(read_image(bits, coded_width, height, True), coded_width)
+    return width, height, coded_width, todo
+
+
+def undo(pixels: np.ndarray, todo: list[tuple]) -> np.ndarray:
+    """The pixels before the transforms, the last of which goes first."""
     for kind, w, small, told in reversed(todo):
         if kind == PREDICT:
             pixels = undo_predict(pixels, told[:, :, 2], small)
@@ -394,11 +407,18 @@ def read_stream(data: bytes) -> np.ndarray:
         else:
             each = 8 >> small
             spread = (pixels[:, :, 2, None] >> (np.arange(1 << small) * each)) & ((1 << each) - 1)
-            index = spread.reshape(height, -1)[:, :w]
+            index = spread.reshape(len(pixels), -1)[:, :w]
             pixels = np.vstack([told, np.zeros((256 - len(told), 4), np.int64)])[index]
     return pixels
 
 
+def read_stream(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4: A, R, G, B) of a lossless stream."""
+    bits = Bits(data)
+    _, height, coded_width, todo = read_head(bits)
+    return undo(channels(read_image(bits, coded_width, height, True), coded_width), todo)
+
+
 def write_image(out: Writer, argb: list[int], width: int, top: bool, cache_bits: int = 0, copies: bool = False, tile: int = 0) -> None:
     """An entropy-coded image by the general encoder: copies and colour cache as asked for, and with `tile` two code groups in turn."""
     cache, tokens, k = {}, [], 0
@@ -560,21 +580,105 @@ def streams_of(data: bytes) -> list[bytes]:
 # --- many grey images at once
 
 
-def encode_grey(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
-    """Lossless streams of grey images (rows of `width`), given one after another: green is coded, red and blue are subtracted to nothing.
+PLAIN, BY_LEFT, BY_ABOVE, BY_PALETTE = range(4)
+_ONLY = lambda s: [(1, 1), (0, 1), (1, 1), (s, 8)]  # noqa: E731  a code of one symbol
+#: Fewest colours that stay one sample to a pixel: palettes of fewer pack two to eight samples.
+_PALETTE_FROM = 17
+#: Bits that a symbol's code length takes in a stream's head, about.
+_LENGTH_BITS = 4
 
-    A run of equal samples of 3 or more at an image's end, its padding, is one copy.
-    """
-    images = len(sizes)
-    begin = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(images), sizes)
+
+@lru_cache(1024)
+def _palette_tokens(levels: bytes) -> list[tuple[int, int]]:
+    """(value, bits) tokens of a palette of grey levels whose red and blue are nothing."""
+    out, table = Writer(), np.zeros((1, len(levels), 4), np.int64)
+    table[0, :, 0], table[0, :, 2] = 255, list(levels)
+    write_image(out, packed(np.diff(table, axis=1, prepend=0) & 255).tolist(), len(levels), False)
+    return [(out.value >> k & 0xFFFF, min(16, out.n - k)) for k in range(0, out.n, 16)]
+
+
+def _cost(counts: np.ndarray) -> np.ndarray:
+    """Bits, about, of samples so often counted (a row for each image) and of their code's lengths; of several symbols none takes less than a bit."""
+    n = counts.astype(np.float64)
+    total, most, several = n.sum(axis=1), n.max(axis=1), (counts > 0).sum(axis=1)
+    bits = total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=1)
+    short = np.where(several > 1, most * np.maximum(0, 1 - np.log2(np.maximum(total, 1) / np.maximum(most, 1))), 0)
+    return bits + short + _LENGTH_BITS * several
+
+
+def _ends(samples: np.ndarray, begin: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of the copy that ends each image, 0 for none, and the samples that are no part of it."""
     last = samples[begin + sizes - 1]
     differs = np.flatnonzero(samples != last[of])
     tail = begin.copy() - 1
     np.maximum.at(tail, of[differs], differs)
     run = begin + sizes - 1 - np.maximum(tail, begin - 1) - 1  # samples after the first of the run
     run = np.where(run >= 3, np.minimum(run, 4096), 0)
-    literal = np.arange(len(samples)) < (begin + sizes - run)[of]
+    return run, np.arange(len(samples)) < (begin + sizes - run)[of]
+
+
+def _choose(samples: np.ndarray, sizes: np.ndarray, begin: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray], list[list[tuple[int, int]]]]:
+    """For each grey image the way to code it that takes the fewest bits by its samples' entropy: its kind, its coded samples and the tokens of its transforms.
+
+    The ways: as it is; less the sample to the left; less the one above; as indices of a palette, for at most 16 levels. Cross-colour and a colour cache are not
+    tried: red and blue are nothing already, and a cached pixel takes no fewer bits than its one sample.
+    """
+    images = len(sizes)
+    rows, first = samples.reshape(-1, width), begin // width
+    left, above = rows.copy(), rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    left[1:, 0] -= rows[:-1, 0]
+    above[1:] -= rows[:-1]
+    left[first, 0] = rows[first, 0]
+    above[first] = left[first]
+    planes = [samples, left.ravel(), above.ravel()]
+    run = _ends(samples, begin, sizes, of)[0]
+    row, counts = of * 256, []
+    for p in planes:
+        counts.append(np.bincount(row + p, minlength=256 * images).reshape(images, 256))
+        counts[-1][np.arange(images), p[begin + sizes - 1]] -= run  # the copy; in a plane of differences its first samples may differ
+        np.maximum(counts[-1], 0, out=counts[-1])
+    fixed = (1 + 2 + 3 + 1 + 5 * 11, 0)
+    costs = np.stack([_cost(c) + fixed[k == PLAIN] for k, c in enumerate(counts)])
+    kind = costs.argmin(axis=0)
+    coded = [planes[k][b : b + n] for k, b, n in zip(kind.tolist(), begin.tolist(), sizes.tolist(), strict=True)]
+    heads: list[list[tuple[int, int]]] = [[(1, 1), (SUBTRACT_GREEN, 2)] for _ in range(images)]
+    for i in np.flatnonzero((kind == BY_LEFT) | (kind == BY_ABOVE)).tolist():
+        heads[i] += [(1, 1), (PREDICT, 2), (7, 3), (0, 1), *_ONLY(int(kind[i])), *_ONLY(0), *_ONLY(0), *_ONLY(255), *_ONLY(0)]  # tiles of 512: one in each 512 rows
+    few = (counts[PLAIN] > 0).sum(axis=1) < _PALETTE_FROM
+    for i in np.flatnonzero(few).tolist():
+        mine = samples[begin[i] : begin[i] + sizes[i]]
+        levels, index = np.unique(mine, return_inverse=True)
+        if len(levels) >= _PALETTE_FROM:
+            continue
+        small = index_bits(len(levels))
+        green = (index.reshape(-1, 1 << small) << (np.arange(1 << small) * (8 >> small))).sum(axis=1).astype(np.uint8)
+        tokens = [(1, 1), (INDEX, 2), (len(levels) - 1, 8), *_palette_tokens(levels.tobytes())]
+        one = np.zeros(1, np.int64)
+        kept = green[_ends(green, one, one + len(green), np.zeros(len(green), np.int64))[1]]
+        cost = _cost(np.bincount(kept, minlength=256)[None])[0] + sum(n for _, n in tokens)
+        if cost < costs[:, i].min():
+            kind[i], coded[i] = BY_PALETTE, green
+            heads[i] += tokens
+    return kind, coded, heads
+
+
+def encode_grey(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
+    """Lossless streams of grey images, given one after another, in rows of `width`, a multiple of 8, of at most 512 rows each.
+
+    Red and blue are subtracted to nothing, so that green alone is coded, in the way that `_choose` finds. A run of 3 or more equal samples at an image's
+    end, its padding, is one copy.
+    """
+    images = len(sizes)
+    heights = sizes // width
+    if width % 8 or heights.max(initial=0) > 512:
+        raise ValueError("rows of a multiple of 8 samples, and at most 512 of them")
+    begin = np.cumsum(sizes) - sizes
+    kinds, coded, heads = _choose(samples, sizes, begin, np.repeat(np.arange(images), sizes), width)
+    samples, sizes = np.concatenate(coded), np.array([len(c) for c in coded])
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(images), sizes)
+    run, literal = _ends(samples, begin, sizes, of)
     counts = np.bincount(of[literal] * 256 + samples[literal], minlength=256 * images).reshape(images, 256)
     value, n, owner, bits_table, code_table = [], [], [], np.zeros((images, 256), np.int64), np.zeros((images, 256), np.int64)
     tails: list[list[tuple[int, int]]] = []
@@ -586,8 +690,8 @@ def encode_grey(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[byte
         lengths = code_lengths(row)
         single = sum(x > 0 for x in lengths) <= 1
         codes = reversed_codes(np.array(lengths))
-        head = [(0x2F, 8), (width - 1, 14), (int(sizes[i]) // width - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)]
-        head += code_tokens(lengths) + [(1, 1), (0, 1), (0, 1), (0, 1)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)] + [(1, 1), (0, 1), (1, 1), (1, 8)]
+        head = [(0x2F, 8), (width - 1, 14), (int(heights[i]) - 1, 14), (0, 1), (0, 3), *heads[i], (0, 1), (0, 1), (0, 1)]
+        head += code_tokens(lengths) + _ONLY(0) + _ONLY(0) + _ONLY(0 if kinds[i] in (BY_LEFT, BY_ABOVE) else 255) + _ONLY(1)
         value += [v for v, _ in head]
         n += [b for _, b in head]
         owner.append(len(head))
@@ -620,22 +724,20 @@ def encode_grey(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[byte
 
 
 def decode_grey(streams: list[bytes]) -> list[np.ndarray]:
-    """The green samples of lossless streams. Streams of one code group without cache whose only transform is subtract-green, and whose other
-    channels are constant, are decoded in step, a sample of each in every turn; others one by one."""
+    """The green samples of lossless streams, of any transforms. Streams of one code group without cache whose other channels are constant as coded are
+    decoded in step, a sample of each in every turn; others one by one. Transforms are undone stream by stream."""
     out: list[np.ndarray | None] = [None] * len(streams)
-    lanes, tables, far = [], [], []
+    lanes, tables, far, plans = [], [], [], []
     for i, s in enumerate(streams):
         bits = Bits(s)
-        if bits.read(8) != 0x2F:
-            raise ValueError("not a lossless stream")
-        size = (bits.read(14) + 1) * (bits.read(14) + 1)
-        bits.read(4)
-        if (bits.read(1), bits.read(2), bits.read(1), bits.read(1), bits.read(1)) == (1, SUBTRACT_GREEN, 0, 0, 0):
+        _, height, coded_width, todo = read_head(bits)
+        if not bits.read(2):
             codes = [read_code(bits, n) for n in (280, 256, 256, 256, 40)]
             if all((c > 0).sum() <= 1 for c in codes[1:4]):
-                lanes.append((i, size, bits.at))
+                lanes.append((i, coded_width * height, bits.at))
                 tables.append(lookup(codes[0]))
                 far.append(codes[4])
+                plans.append((coded_width, height, todo, [int(c.argmax()) for c in codes[1:4]]))
                 continue
         out[i] = read_stream(s)[:, :, 2].astype(np.uint8).ravel()
     if not lanes:
@@ -685,8 +787,7 @@ def decode_grey(streams: list[bytes]) -> list[np.ndarray]:
                 code, widest = lookup(far[order[lane]])
                 entry = int(code[bits.peek(widest)])
                 bits.at += entry & 15
-                w = (int.from_bytes(streams[lanes[order[lane]][0]][1:3], "little") & 0x3FFF) + 1
-                d = distance_of(unprefixed(entry >> 4, bits), w)
+                d = distance_of(unprefixed(entry >> 4, bits), plans[order[lane]][0])
                 p = int(obase[lane] + pos[lane])
                 if d > pos[lane] or pos[lane] + n > size[lane]:
                     raise ValueError("a copy leaves the image")
@@ -696,5 +797,11 @@ def decode_grey(streams: list[bytes]) -> list[np.ndarray]:
         live = live[pos[live] < size[live]]
         turn += 1
     for lane, k in enumerate(order):
-        out[lanes[k][0]] = got[obase[lane] : obase[lane] + size[lane]]
+        green, (coded_width, height, todo, (red, blue, alpha)) = got[obase[lane] : obase[lane] + size[lane]], plans[k]
+        if any(t[0] != SUBTRACT_GREEN for t in todo):
+            pixels = np.empty((height, coded_width, 4), np.int64)
+            pixels[:] = alpha, red, 0, blue
+            pixels[:, :, 2] = green.reshape(height, coded_width)
+            green = undo(pixels, todo)[:, :, 2].astype(np.uint8).ravel()
+        out[lanes[k][0]] = green
     return out

@@ -165,6 +165,30 @@ def test_general_webp_streams():
     assert len(set(webp.NEAR)) == 120
 
 
+def test_strips_choose_their_transforms():
+    rng, strips = np.random.default_rng(5), []
+    for trial in range(60):
+        n = 64 * int(rng.integers(1, 129))
+        strips.append((rng.integers(0, 256, n), (rng.random(n) < 0.05) * 40, np.arange(n) * 3, np.tile(rng.integers(0, 256, 64), n // 64), np.arange(n) < 5, rng.integers(0, 13, n) ** 3)[trial % 6].astype(np.uint8))
+    streams, kinds = webp.encode_grey(np.concatenate(strips), np.array([len(p) for p in strips]), 64), set()
+    for strip, stream, got in zip(strips, streams, webp.decode_grey(streams), strict=True):
+        pixels = webp.read_stream(stream)
+        assert (got == strip).all() and (pixels[:, :, 1:] == strip.reshape(-1, 64, 1)).all() and (pixels[:, :, 0] == 255).all()
+        kinds.add(tuple((t[0], int(t[3].flat[2]) if t[0] == webp.PREDICT else 0) for t in webp.read_head(webp.Bits(stream))[3]))
+    green = (webp.SUBTRACT_GREEN, 0)
+    assert kinds == {(green,), (green, (webp.PREDICT, webp.LEFT)), (green, (webp.PREDICT, webp.ABOVE)), (green, (webp.INDEX, 0))}
+    alone = [webp.encode_grey(p, np.array([len(p)]), 64)[0] for p in strips]
+    assert alone == streams  # equal texts, equal files, whatever stands beside them
+
+
+def test_running_sums_undo_predictors():
+    rng = np.random.default_rng(6)
+    for mode in (webp.LEFT, webp.ABOVE):
+        for h, w in ((1, 1), (1, 7), (6, 1), (5, 9)):
+            pixels, modes = rng.integers(0, 256, (h, w, 4)), np.full((1, 1), mode)
+            assert (webp.undo_predict(webp.do_predict(pixels, modes, 9), modes, 9) == pixels).all()
+
+
 def test_media_round_trip(spark, odd):
     stored = Scratch(spark, "test").table(media.store_media(odd.select("doc_id", "text")), "media")
     got = media.read_media(stored, "payload binary, file binary", lambda f, s: (s.tobytes(), f)).collect()
