@@ -1,6 +1,7 @@
 import datetime
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -99,6 +100,30 @@ def test_albers_known_point(spark):
     assert abs(df[1].x_m - 1885428.39) < 0.1 and abs(df[1].y_m - 1535969.29) < 0.1
 
 
+def test_polygons_against_every_edge(spark):
+    rng, shapes = random.Random(4), {}
+    for k in range(12):
+        cx, cy, n, big = rng.uniform(-60, 60), rng.uniform(-60, 60), rng.randint(3, 40), rng.choice((3, 20, 90))
+        turn = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        shapes[k] = [(cx + big * r * math.cos(t), cy + big * r * math.sin(t)) for t in turn for r in (rng.uniform(0.2, 1),)]
+    shapes[12] = [(float(x), float(y)) for x, y in ((-20, -20), (30, -20), (30, 40), (-20, 40))]  # borders on those of cells
+    at = [(i, rng.uniform(-120, 120), rng.uniform(-120, 120)) for i in range(600)] + [(600 + i, float(10 * (i % 9) - 40), float(10 * (i // 9) - 40)) for i in range(81)]
+
+    def holds(ring, x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return odd
+
+    want = sorted(((i, k) for i, x, y in at for k, ring in shapes.items() if holds(ring, x, y) for _ in range(2 if k == 3 else 1)), key=repr)
+    more = [(3, shapes[3]), (20, []), (21, None), (22, [(0.0, 0.0), (5.0, 0.0)])]
+    poly = spark.createDataFrame([*shapes.items(), *more], "poly_id int, ring array<struct<x: double, y: double>>")
+    pts = spark.createDataFrame([*at, (999, None, 1.0)], "p int, x_m double, y_m double")
+    for crowd in (100_000, 3):
+        assert rows(spatial.points_in_polygons(pts, poly, 10.0, crowd).select("p", "poly_id")) == want
+    assert spatial.points_in_polygons(pts, poly.limit(0), 10.0).count() == 0
+
+
 def test_polygon_edges_and_holes_of_nothing(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 5.0, 5.0)], "p int, x_m double, y_m double")
     ring = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]
