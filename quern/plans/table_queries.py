@@ -399,7 +399,7 @@ def first_second_ratio(spark, d):
     SELECT event_type, event_id, row, round(center, 6) AS center, round(center + half, 6) AS upper, round(center - half, 6) AS lower, value > center + half OR value < center - half AS alert FROM w WHERE row >= 5""")
 def control_limits(spark, d):
     out = windows.control_limits(table(spark, d, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], "value")
-    return out.select("event_type", "event_id", "row", *(F.round(c, 6).alias(c) for c in ("center", "upper", "lower")), "alert")
+    return out.select("event_type", "event_id", F.col("row").cast("int").alias("row"), *(F.round(c, 6).alias(c) for c in ("center", "upper", "lower")), "alert")
 
 
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM orders)
