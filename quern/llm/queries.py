@@ -109,7 +109,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_packing, op4_token_files, op5_media, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .trie import coded, ordered, prefix_trie, share_leads
+
+    scratch = Scratch(spark, "op11")
+    rows, sizes = ordered(coded(_table(spark, sf_dir, "conversations")), scratch)
+    return prefix_trie(*share_leads(rows, sizes, scratch), scratch)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damage, repair
+    from .scratch import Scratch
+
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair(damage(conversations), conversations, Scratch(spark, "op12"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_repeats, op3_packing, op4_token_files, op5_media, op6_near_duplicates, op7_token_counts, op8_leaks, op9_warc, op10_language, op11_prefix_trie, op12_repair, op13_secrets)}
 ORACLES: dict[str, str] = {
     "op2_repeats": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -141,4 +165,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN d.n >= 1000 AND d.page_id <> g.last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN d.n >= 1000 AND d.page_id <> g.last THEN g.last END AS refers_to
         FROM d LEFT JOIN g ON d.digest = g.digest""",
+    "op11_prefix_trie": """
+        WITH o AS (SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS code, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE xor(list_reduce(flatten(list_transform(string_split(cast(conv_id AS varchar), ''), lambda ch: list_concat([ord(ch)::bigint], repeat([-1::bigint], 8)))),
+            lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, 4294967295::bigint), 4294967295) % 9 END AS h FROM o),
+        r AS (SELECT c.conv_id, o.pos AS part, 0 AS own, o.code, o.size FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h AND c.base <> c.conv_id UNION ALL SELECT c.conv_id, o.pos, 1, o.code, o.size FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+        t AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(code, '') OVER w AS path, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, part ROWS UNBOUNDED PRECEDING)),
+        p AS (SELECT conv_id, depth, path, size FROM t UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+        l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+        n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, string_agg(CASE WHEN depth = len THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM p JOIN l USING (conv_id) GROUP BY depth, path),
+        k AS (SELECT x.conv_id, x.depth, count(*) AS n_children FROM n x JOIN n y ON y.depth = x.depth + 1 AND left(y.path, 32 * x.depth) = x.path GROUP BY ALL),
+        u AS (SELECT p.path AS top, n.depth - p.depth AS down, n.conv_id, n.depth, n.n_convs, n.size FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth),
+        s AS (SELECT top, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM u LEFT JOIN k USING (conv_id, depth) GROUP BY top)
+        SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, cast(s.saved AS bigint) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM n JOIN s ON s.top = n.path LEFT JOIN k ON k.conv_id = n.conv_id AND k.depth = n.depth LEFT JOIN n a ON n.depth > 0 AND a.depth = n.depth - 1 AND a.path = left(n.path, 32 * (n.depth - 1))""",
 }
