@@ -28,8 +28,19 @@ def _bin(col: str, edges: Sequence[float]) -> Column:
     return out.cast("int")
 
 
-def histogram(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
-    """Rows (bin, lo, hi, n) of the bins that have values."""
+def even_edges(df: DataFrame, col: str, bins: int) -> list[float]:
+    """Edges of `bins` bins of one width between the least and the greatest finite value; around a single value, half a unit to both sides; none without values."""
+    x = F.col(col).cast("double")
+    lo, hi = df.agg(*(f(F.when(F.abs(x) < math.inf, x)) for f in (F.min, F.max))).first()
+    if lo is None:
+        return []
+    lo, hi = (lo, hi) if lo < hi else (lo - 0.5, hi + 0.5)
+    return [lo + (hi - lo) * i / bins for i in range(bins)] + [hi]
+
+
+def histogram(df: DataFrame, col: str, edges: Sequence[float] | int) -> DataFrame:
+    """Rows (bin, lo, hi, n) of the bins that have values. Edges are given, or their number of bins is, see even_edges."""
+    edges = even_edges(df, col, edges) or [0.0, 0.0] if isinstance(edges, int) else edges
     at = F.array(*(F.lit(float(e)) for e in edges))
     counts = df.select(_bin(col, edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("bin", at[F.col("bin")].alias("lo"), at[F.col("bin") + 1].alias("hi"), "n")
@@ -42,22 +53,30 @@ def histogram2d(df: DataFrame, x: str, y: str, x_edges: Sequence[float], y_edges
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], bins: int = 1000) -> dict[str, list[float | None]]:
-    """Exact quantiles of number columns, interpolated between neighbouring ranks; missing for a column without values. NaN and missing values are left out.
+    """Exact quantiles of number columns, interpolated between neighbouring ranks; missing for a column without values. NaN and missing values are left out; infinite ones are the ends of the ranks
+    (a quantile between two unlike infinities is NaN).
 
-    The rank that a quantile needs is enclosed: each pass counts the values of the enclosing interval in `bins` equal parts and goes on with the part that holds the rank,
-    between its least and largest value, until these are equal, most often after two to five passes. A pass is a count with partial sums, so no task gets more than bins x quantiles rows.
+    The rank that a quantile needs is enclosed: each pass counts the finite values of the enclosing interval in `bins` equal parts and goes on with the part that holds the rank,
+    between its least and largest value, until these are equal, most often after two to five passes. The ends of an interval fall into unlike parts, so every pass narrows it. A pass is a count with partial sums, so no task gets more than bins x quantiles rows.
     """
     x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    first = df.agg(*(F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(c) for c in cols)).first()
+    finite = {c: F.when(F.abs(x[c]) < math.inf, x[c]) for c in cols}
+    first = df.agg(*(F.struct(F.count(x[c]).alias("n"), F.count_if(x[c] == -math.inf).alias("under"), F.count_if(x[c] == math.inf).alias("over"), F.min(finite[c]).alias("lo"), F.max(finite[c]).alias("hi")).alias(c) for c in cols)).first()
     held: dict[tuple[str, int], tuple[float, float, int]] = {}  # by column and rank: interval, and values below it
     for c in cols:
-        for q in qs if first[c]["n"] else ():
-            at = q * (first[c]["n"] - 1)
-            held |= {(c, r): (first[c]["lo"], first[c]["hi"], 0) for r in (math.floor(at), math.ceil(at))}
+        s = first[c]
+        for q in qs if s["n"] else ():
+            at = q * (s["n"] - 1)
+            for r in (math.floor(at), math.ceil(at)):
+                end = -math.inf if r < s["under"] else math.inf if r >= s["n"] - s["over"] else None
+                held[c, r] = (s["lo"], s["hi"], s["under"]) if end is None else (end, end, 0)
     while spans := sorted({(c, lo, hi) for (c, _), (lo, hi, _) in held.items() if lo < hi}):
-        inside = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), x[c].alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (c, lo, hi) in enumerate(spans))))
+        # halves where the width of the interval is no number
+        half = [1.0 if math.isfinite(hi - lo) else 0.5 for _, lo, hi in spans]
+        inside = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), finite[c].alias("x"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(h).alias("h")) for k, ((c, lo, hi), h) in enumerate(zip(spans, half, strict=True)))))
         some = df.select(inside.alias("s")).select("s.*").where("x BETWEEN lo AND hi")
-        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1)).alias("part")
+        x_, lo_, hi_ = (F.col(c) * F.col("h") for c in ("x", "lo", "hi"))
+        part = F.least(F.floor((x_ - lo_) / (hi_ - lo_) * bins), F.lit(bins - 1)).alias("part")
         told: dict[tuple[str, float, float], list] = {s: [] for s in spans}
         for r in some.groupBy("k", part).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("k", "part").collect():
             told[spans[r["k"]]].append((r["n"], r["a"], r["b"]))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+from .components import components
+
 
 def select_renamed(df: DataFrame, renames: Mapping[str, str], cols: Sequence[str] | None = None) -> DataFrame:
     """Renames columns, then keeps `cols` in that order (all if None)."""
@@ -86,6 +90,47 @@ def dedupe_points(df: DataFrame, lon: str = "lon", lat: str = "lat", digits: int
     return df.groupBy(F.round(lon, digits).alias("__x"), F.round(lat, digits).alias("__y")).agg(first).select("row.*")
 
 
+def near_equal_groups(df: DataFrame, tolerance: float, lon: str = "lon", lat: str = "lat", name: str = "place") -> DataFrame:
+    """Adds a struct (lon, lat): the least place of the row's group. Places are of one group if steps of at most `tolerance` in either coordinate lead from one to the other over places of the table, also across the edges that
+    rounding would draw. Missing coordinates have a missing place.
+
+    Places of a cell as wide as the tolerance are one group without comparing them. Neighbouring cells side by side meet if their nearest columns or rows do, which two extremes tell; cells corner to corner
+    if any place of one is within reach of any of the other in both coordinates, which one sorted pass over both cells tells. Linked cells are connected by rounds of joins. No pairs of places are made.
+    """
+    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    at = [F.floor(c / tolerance).cast("long") for c in (x, y)]
+    places = written(df.where(x.isNotNull() & y.isNotNull() & (F.abs(x) < math.inf) & (F.abs(y) < math.inf)).select(x.alias("x"), y.alias("y"), at[0].alias("i"), at[1].alias("j")).distinct(), "places")
+    cells = places.groupBy("i", "j").agg(*(f(c).alias(f"{c}{n}") for c in "xy" for n, f in ((1, F.min), (2, F.max))), F.min(F.struct("x", "y")).alias("least"))
+    cells = written(cells, "cells")
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    i, j = F.col("i"), F.col("j")
+    links = None
+    for di, dj, c in ((1, 0, "x"), (0, 1, "y")):
+        other = cells.select((i - di).alias("i"), (j - dj).alias("j"), F.col(f"{c}1").alias("near"))
+        some = cells.join(other, ["i", "j"]).where(F.col("near") - F.col(f"{c}2") <= tolerance).select(cell(i, j).alias("a"), cell(i + di, j + dj).alias("b"))
+        links = some if links is None else links.unionByName(some)
+    for turn in (1, -1):  # up and to the right, down and to the right
+        pairs = cells.select("i", "j").join(cells.select((i - 1).alias("i"), (j - turn).alias("j")), ["i", "j"])
+        here = places.join(pairs, ["i", "j"]).select("i", "j", (F.col("x") + tolerance).alias("by"), F.lit(1).alias("kind"), (turn * F.col("y") + tolerance).alias("v"))
+        there = places.select((i - 1).alias("i"), (j - turn).alias("j"), "x", "y").join(pairs, ["i", "j"]).select("i", "j", F.col("x").alias("by"), F.lit(0).alias("kind"), (turn * F.col("y")).alias("v"))
+        passed = F.min(F.when(F.col("kind") == 0, F.col("v"))).over(Window.partitionBy("i", "j").orderBy("by", "kind"))
+        met = here.unionByName(there).withColumn("least", passed).where("kind = 1 AND least <= v").select("i", "j").distinct()
+        links = links.unionByName(met.select(cell(i, j).alias("a"), cell(i + 1, j + turn).alias("b")))
+    roots = components(links).select("node.i", "node.j", "root")
+    known = cells.join(roots, ["i", "j"], "left").select("i", "j", F.coalesce("root", cell(i, j)).alias("root"), "least")
+    least = known.groupBy("root").agg(F.min("least").alias("__least"))
+    first = known.join(least, "root").select(F.col("i").alias("__i"), F.col("j").alias("__j"), F.struct(F.col("__least.x").alias("lon"), F.col("__least.y").alias("lat")).alias(name))
+    return df.withColumns({"__i": at[0], "__j": at[1]}).join(first, ["__i", "__j"], "left").drop("__i", "__j")
+
+
+def dedupe_near(df: DataFrame, tolerance: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """One row for each group of near-equal points (see near_equal_groups): the first by longitude, latitude and then all columns. Rows without a coordinate all stay."""
+    grouped = near_equal_groups(df, tolerance, lon, lat, "__place")
+    first = F.min(F.struct(F.col(lon).alias("__lon"), F.col(lat).alias("__lat"), F.struct(*df.columns).alias("row"))).alias("first")
+    one = grouped.where("__place IS NOT NULL").groupBy("__place").agg(first).select("first.row.*")
+    return one.unionByName(grouped.where("__place IS NULL").select(*df.columns))
+
+
 def distinct_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct()
 

@@ -10,18 +10,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import K_B, MU_B, flux_density, lande_g, positive_phase
+from ..sources.shared import written
+from .ordering import FEW, MOST, before_parts, in_parts
 
 
 def _fields(df: DataFrame, keys: Sequence[str], added: str) -> T.StructType:
     return T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(added).fields])
 
 
-def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, max_freq: int = 10, n: int = 10) -> DataFrame:
+def _flat(keys: Sequence[str], rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    """Rows of one group's arrays with its keys."""
+    n = len(next(iter(columns.values())))
+    return pa.table({**{k: pa.array([rows[k][0].as_py()] * n, rows.schema.field(k).type) for k in keys}, **columns})
+
+
+def _power_fft(rows: DataFrame, keys: Sequence[str], lanes: int = 64) -> DataFrame:
+    """The discrete transform of each key's `size` numbers re, im at j (missing ones are 0), size a power of two: rows (keys, size, j, re, im) again.
+
+    Decimated: the numbers whose places leave one remainder are transformed by themselves, about the root of `size` of them; these transforms, turned by their remainder's factors, are transformed
+    across remainders, `lanes` frequencies in a group. So no group is larger than about lanes x the root of `size`.
+    """
+    schema = _fields(rows, keys, "size long, r long, q long, re double, im double")
+    parts = lambda size: (1 << ((size.bit_length() - 1) // 2), size >> ((size.bit_length() - 1) // 2))
+
+    def within(table: pa.Table) -> pa.Table:
+        size, r = table["size"][0].as_py(), table["r"][0].as_py()
+        s, m = parts(size)
+        z = np.zeros(m, complex)
+        z[table["j"].to_numpy() // s] = table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        q = np.arange(m)
+        z = np.fft.fft(z) * np.exp(-2j * np.pi * ((r * q) % size) / size)
+        return _flat(keys, table, size=np.full(m, size), r=np.full(m, r), q=q, re=z.real, im=z.imag)
+
+    def across(table: pa.Table) -> pa.Table:
+        size = table["size"][0].as_py()
+        s, m = parts(size)
+        q, r = table["q"].to_numpy(), table["r"].to_numpy()
+        own = np.unique(q)
+        z = np.zeros((s, len(own)), complex)
+        z[r, np.searchsorted(own, q)] = table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        z = np.fft.fft(z, axis=0)
+        j = own[None, :] + m * np.arange(s)[:, None]
+        return _flat(keys, table, size=np.full(j.size, size), j=j.ravel(), re=z.real.ravel(), im=z.imag.ravel())
+
+    # the remainder's divisor is the power of two of half the size's exponent
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor((F.length(F.bin("size")) - 1) / 2).cast("int"))
+    first = rows.select(*keys, "size", "j", "re", "im", (F.col("j") % half).alias("r")).groupBy(*keys, "r").applyInArrow(within, schema)
+    second = first.withColumn("lane", F.floor(F.col("q") / lanes)).groupBy(*keys, "lane")
+    return second.applyInArrow(across, _fields(rows, keys, "size long, j long, re double, im double"))
+
+
+def _wide_spectrum(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Half spectra (keys, freq, re, im) of long runs given as (keys, j, n, v), of any length n: the chirp transform, that is a circular convolution by three transforms of a power of two, each over many tasks. Runs have less than 3e9 rows."""
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(2 * F.col("n") - 2)).cast("int"))
+    rows = rows.withColumn("size", size)
+    turn = lambda sign: (lambda j, n: sign * math.pi * ((j * j) % (2 * n)) / n)
+    minus, plus = turn(-1.0)(F.col("j"), F.col("n")), turn(1.0)(F.least("j", F.col("size") - F.col("j")), F.col("n"))
+    given = rows.select(*keys, F.lit("a").alias("what"), "size", "j", (F.col("v") * F.cos(minus)).alias("re"), (F.col("v") * F.sin(minus)).alias("im"))
+    chirps = rows.where("j = 0").select(*keys, "n", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / 1024))).alias("block"))
+    chirps = chirps.select(*keys, "n", "size", F.explode(F.sequence(F.col("block") * 1024, F.col("block") * 1024 + 1023)).alias("j")).where("j < size AND least(j, size - j) < n")
+    chirps = chirps.select(*keys, F.lit("b").alias("what"), "size", "j", F.cos(plus).alias("re"), F.sin(plus).alias("im"))
+    both = _power_fft(given.unionByName(chirps), [*keys, "what"])
+    pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    pairs = both.groupBy(*keys, "size", "j").agg(*(pick(w, c).alias(f"{w}{c}") for w in "ab" for c in ("re", "im")))
+    # the inverse transform is that of the conjugate
+    product = pairs.select(*keys, "size", "j", (F.col("are") * F.col("bre") - F.col("aim") * F.col("bim")).alias("re"), (-(F.col("are") * F.col("bim") + F.col("aim") * F.col("bre"))).alias("im"))
+    back = written(_power_fft(product, keys), "spectrum")
+    lengths = written(rows.where("j = 0").select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "n"), "lengths")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    z = back.join(F.broadcast(lengths), same).where(F.col("j") <= F.floor(F.col("n") / 2))
+    c, s, scale = F.cos(minus), F.sin(minus), F.col("size") * F.sqrt("n")
+    return z.select(*keys, F.col("j").alias("freq"), ((F.col("re") * c + F.col("im") * s) / scale).alias("re"), ((F.col("re") * s - F.col("im") * c) / scale).alias("im"))
+
+
+def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, max_freq: int = 10, n: int = 10, most: int = 1 << 18) -> DataFrame:
     """The strongest n bins below max_freq of the orthonormal real transform of each group: freq, re, im, mag, phase in [0, 2 pi), amp_ratio to the largest of all bins.
 
-    A group is one measurement run, evenly spaced in `order`, a column or several; it is sorted in its task. Missing values count as 0. A zero signal has missing ratios.
+    A group is one measurement run, evenly spaced in `order`, a column or several. Missing values count as 0. A zero signal has missing ratios. Runs of at most `most` rows are sorted and
+    transformed in a task each; longer ones are numbered in parts and transformed over many tasks, whatever their length (see _wide_spectrum).
     """
 
     by = [order] if isinstance(order, str) else list(order)
@@ -41,18 +110,42 @@ def fourier_by_group(df: DataFrame, keys: Sequence[str], order: str | Sequence[s
         return pa.Table.from_arrays([*columns, pa.array(mag[some] / top if top > 0 else [None] * len(some), pa.float64())], schema=None, names=[*keys, "freq", "re", "im", "mag", "phase", "amp_ratio"])
 
     schema = _fields(df, keys, "freq int, re double, im double, mag double, phase double, amp_ratio double")
-    return df.select(*dict.fromkeys([*keys, *by, value])).groupBy(*keys).applyInArrow(run, schema)
-
-
-def dft_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, freqs: Sequence[int]) -> DataFrame:
-    """The same transform at given frequencies, as plain sums: rows (keys, freq, re, im, mag, phase)."""
+    rows, several = in_parts(df.select(*dict.fromkeys([*keys, *by, value])), keys, by, most)
+    short = rows.where("__part = 0").drop("__part").groupBy(*keys).applyInArrow(run, schema)
+    if not several:
+        return short
+    long = _placed(rows.where("__part > 0"), keys, by, value)
     w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.coalesce(value, F.lit(0.0)).alias("v"), (F.row_number().over(w.orderBy(*order)) - 1).alias("j"), F.count(F.lit(1)).over(w).alias("n"))
+    bins = written(_wide_spectrum(long, keys).withColumn("mag", F.hypot("re", "im")), "bins")
+    top = bins.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.max("mag").alias("__top"))
+    some = bins.where(F.col("freq") < max_freq).join(top, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    some = some.withColumn("__rn", F.row_number().over(w.orderBy(F.desc("mag"), "freq"))).where(F.col("__rn") <= n)
+    ratio = F.when(F.col("__top") > 0, F.col("mag") / F.col("__top"))
+    return short.unionByName(some.select(*keys, F.col("freq").cast("int").alias("freq"), "re", "im", "mag", positive_phase(F.atan2("im", "re")).alias("phase"), ratio.alias("amp_ratio")))
+
+
+def _placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Written rows (keys, j, n, v) of keys in parts, which in_parts made: place from 0, length of the run, value (0 for missing)."""
+    at = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) - 1
+    rows = before_parts(rows, keys, {"__before": F.count(F.lit(1))})
+    v = F.col(value).cast("double")
+    rows = written(rows.select(*keys, (at + F.col("__before")).cast("long").alias("j"), F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v).alias("v")), "placed")
+    lengths = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(lengths, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]).select(*keys, "j", "n", "v")
+
+
+def dft_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, freqs: Sequence[int], most: int = MOST) -> DataFrame:
+    """The same transform at given frequencies, as plain sums: rows (keys, freq, re, im, mag, phase). Runs of more than `most` rows are numbered in parts."""
+    rows, several = in_parts(df.select(*dict.fromkeys([*keys, *order, value])), keys, order, most)
+    w = Window.partitionBy(*keys)
+    placed = rows.where("__part = 0").select(*keys, F.coalesce(value, F.lit(0.0)).alias("v"), (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("j"), F.count(F.lit(1)).over(w).alias("n"))
+    if several:
+        placed = placed.unionByName(_placed(rows.where("__part > 0"), keys, order, value))
     angle = lambda k: 2 * math.pi * k * F.col("j") / F.col("n")
     sums = [s for k in freqs for s in (F.sum(F.col("v") * F.cos(angle(k))).alias(f"c{k}"), F.sum(-F.col("v") * F.sin(angle(k))).alias(f"s{k}"))]
-    out = rows.groupBy(*keys).agg(F.sqrt(F.count(F.lit(1))).alias("root"), *sums)
+    out = placed.groupBy(*keys).agg(F.sqrt(F.count(F.lit(1))).alias("root"), *sums)
     bins = F.array(*(F.struct(F.lit(k).alias("freq"), (F.col(f"c{k}") / F.col("root")).alias("re"), (F.col(f"s{k}") / F.col("root")).alias("im")) for k in freqs))
-    flat = out.select(*keys, F.explode(bins).alias("x")).select(*keys, "x.*")
+    flat = out.select(*keys, F.explode(bins).alias("__bin")).select(*keys, "__bin.*")
     return flat.withColumns({"mag": F.hypot("re", "im"), "phase": positive_phase(F.atan2("im", "re"))})
 
 
@@ -203,50 +296,107 @@ def magnetization(h, d, t, j, c, n) -> np.ndarray:
     return np.where(h == 0, 0.0, np.sign(h) * root) + 0 * (h + d + t + j + c + n)
 
 
-def brillouin_fit(df: DataFrame, keys: Sequence[str], rules: Mapping[float, Sequence[str]], start: Mapping[str, float], temperature: str = "t", h: str = "h", m: str = "m", d: str = "d") -> DataFrame:
+_UPPER = ("jj", "jc", "jn", "cc", "cn", "nn")
+_STATE = "qj double, qc double, qn double, tj double, tc double, tn double, damp double, rss double, " + ", ".join(f"g{p} double" for p in "jcn") + ", " + ", ".join(f"a{p} double" for p in _UPPER) + ", points long, done boolean"
+
+
+def brillouin_fit(df: DataFrame, keys: Sequence[str], rules: Mapping[float, Sequence[str]], start: Mapping[str, float], temperature: str = "t", h: str = "h", m: str = "m", d: str = "d", turns: int = 200) -> DataFrame:
     """Fits J, C and n of the model to M(H) per group, varying at each temperature only what `rules` say, from the values of `start`: j, j_err, c, c_err, n, n_err, red_chi2, points.
 
-    Rows of equal field are one mean with its weight first, which gives the same least squares, so a group in the fit is as large as its number of distinct fields.
-    Levenberg-Marquardt on parameters scaled by their starts; errors from the covariance scaled by the reduced chi-square; a fixed parameter has error 0.
+    Levenberg-Marquardt on parameters scaled by their starts, all groups in step: a turn is one pass over the written rows, in which each row's residual and derivatives become the sums J'J, J'r and r'r of its
+    group, added up before they are shuffled, so a group of any size is many tasks' work; then each group takes or refuses its trial, until all have converged. Errors come from the covariance scaled by
+    the reduced chi-square; a fixed parameter has error 0. `keys` include the temperature; rows with a missing field, magnetization or factor are left out.
     """
-    whole = df.groupBy(*keys, h, d).agg(F.avg(m).alias("mean_m"), F.count(m).alias("w"), F.coalesce(F.var_pop(m) * F.count(m), F.lit(0.0)).alias("within"))
-    schema = _fields(df, keys, "j double, j_err double, c double, c_err double, n double, n_err double, red_chi2 double, points long")
-
-    def run(table: pa.Table) -> pa.Table:
-        x, dd, y, w = (table[k].to_numpy(zero_copy_only=False).astype(float) for k in (h, d, "mean_m", "w"))
-        t = float(table[temperature][0].as_py())
-        free = [p for p in ("j", "c", "n") if p in rules.get(t, ("j", "c", "n"))]
-        size = np.array([start[p] or 1.0 for p in free])
-        at = lambda q: {**start, **dict(zip(free, q * size, strict=True))}
-
-        def rest(q):
-            p = at(q)
-            return (_model(x, y, dd, t, p["j"], p["c"], p["n"]) - y) * np.sqrt(w)
-
-        q, damp = np.array([start[p] / s for p, s in zip(free, size, strict=True)]), 1e-3
-        r = rest(q)
-        for _ in range(200):
-            jac = np.stack([(rest(q + e) - rest(q - e)) / 2e-6 for e in np.eye(len(q)) * 1e-6], axis=1)
-            a, g = jac.T @ jac, jac.T @ r
-            step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-30)), -g, rcond=None)[0]
-            tried = rest(q + step)
-            if tried @ tried < r @ r:
-                done = r @ r - tried @ tried <= 1e-14 * (r @ r)
-                q, r, damp = q + step, tried, max(damp / 5, 1e-12)
-                if done:
-                    break
-            else:
-                damp *= 4
-                if damp > 1e12:
-                    break
-        points = int(w.sum())
-        chi2 = (float(r @ r) + float(np.sum(table["within"].to_numpy(zero_copy_only=False)))) / max(1, points - len(q))
-        error = dict(zip(free, np.sqrt(np.maximum(np.diag(np.linalg.pinv(a)) * chi2, 0)) * size, strict=True))
-        p = at(q)
-        out = [v for k in ("j", "c", "n") for v in (float(p[k]), float(error.get(k, 0.0)))]
-        return pa.Table.from_arrays([*(pa.array([table[k][0].as_py()], table.schema.field(k).type) for k in keys), *(pa.array([v]) for v in out), pa.array([chi2]), pa.array([points])], names=[*keys, "j", "j_err", "c", "c_err", "n", "n_err", "red_chi2", "points"])
-
-    return whole.groupBy(*keys).applyInArrow(run, schema)
+    names, size = ("j", "c", "n"), {p: start[p] or 1.0 for p in ("j", "c", "n")}
+    held = [k for k in keys if k not in (temperature,)]
+    own = [*held, temperature]
+    rows = written(df.where(F.col(h).isNotNull() & F.col(m).isNotNull() & F.col(d).isNotNull() & F.col(temperature).isNotNull()).select(*held, F.col(temperature), F.col(h).cast("double").alias("__h"), F.col(m).cast("double").alias("__m"), F.col(d).cast("double").alias("__d")), "points")
+    column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, dd, t = (column(b, c) for c in ("__h", "__m", "__d", temperature))
+            q = {p: column(b, f"t{p}") for p in names}
+            rest = lambda moved=None, by=0.0: _model(x, y, dd, t, *((q[p] + (by if p == moved else 0.0)) * size[p] for p in names)) - y  # noqa: E731, B023
+            r, slope = rest(), {p: (rest(p, 1e-6) - rest(p, -1e-6)) / 2e-6 for p in names}
+            out = [r * r, *(slope[p] * r for p in names), *(slope[u[0]] * slope[u[1]] for u in _UPPER)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in own), *(pa.array(c) for c in out)], names=[*own, "s_rss", *(f"s_g{p}" for p in names), *(f"s_a{u}" for u in _UPPER)])
+
+    sums = ["s_rss", *(f"s_g{p}" for p in names), *(f"s_a{u}" for u in _UPPER)]
+    summed = T.StructType([*(rows.schema[k] for k in own), *(T.StructField(c, T.DoubleType()) for c in sums)])
+    whole = T.StructType([*(rows.schema[k] for k in own), *T.StructType.fromDDL(_STATE).fields])
+
+    def solved(a: np.ndarray, g: np.ndarray, free: np.ndarray, damp: float) -> np.ndarray:
+        out = np.zeros(3)
+        if free.any():
+            some = a[np.ix_(free, free)]
+            out[free] = np.linalg.lstsq(some + damp * np.diag(np.maximum(np.diag(some), 1e-30)), -g[free], rcond=None)[0]
+        return out
+
+    def matrix(r: dict, of: str) -> np.ndarray:
+        a = np.zeros((3, 3))
+        for (i, k), u in zip(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), _UPPER, strict=True):
+            a[i, k] = a[k, i] = r[f"{of}a{u}"]
+        return a
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Takes or refuses each group's trial, and makes the next one."""
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                free = np.array([p in rules.get(float(r[temperature]), names) for p in names])
+                first, better = r["rss"] is None, r["rss"] is None or r["s_rss"] < r["rss"]
+                new = {k: r[k] for k in own}
+                if better:
+                    new |= {f"q{p}": r[f"t{p}"] for p in names} | {"rss": r["s_rss"]} | {f"g{p}": r[f"s_g{p}"] for p in names} | {f"a{u}": r[f"s_a{u}"] for u in _UPPER}
+                    damp = 1e-3 if first else max(r["damp"] / 5, 1e-12)
+                    done = not free.any() or r["s_rss"] == 0 or (not first and r["rss"] - r["s_rss"] <= 1e-14 * r["rss"])
+                else:
+                    new |= {c: r[c] for c in ("qj", "qc", "qn", "rss", *(f"g{p}" for p in names), *(f"a{u}" for u in _UPPER))}
+                    damp = r["damp"] * 4
+                    done = damp > 1e12
+                step = solved(matrix(new, ""), np.array([new[f"g{p}"] for p in names]), free, damp)
+                done = done or all(abs(x) <= 1e-12 * abs(new[f"q{p}"]) for p, x in zip(names, step, strict=True))  # a step too small to tell
+                new |= {f"t{p}": new[f"q{p}"] + float(x) for p, x in zip(names, step, strict=True)} | {"damp": damp, "points": r["n_rows"], "done": bool(done)}
+                out.append(new)
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(whole))
+
+    begin = {p: start[p] / size[p] for p in names}
+    groups = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("points"))
+    state = groups.select(*own, *(F.lit(begin[p]).alias(f"q{p}") for p in names), *(F.lit(begin[p]).alias(f"t{p}") for p in names), F.lit(None).cast("double").alias("damp"), F.lit(None).cast("double").alias("rss"), *(F.lit(None).cast("double").alias(x) for x in (*(f"g{p}" for p in names), *(f"a{u}" for u in _UPPER))), "points", F.lit(False).alias("done"))
+    state = written(state, "fit")
+    few = state.count() <= FEW
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(own)]
+    finished = state.where("done")
+    for _ in range(turns):
+        open_ = state.where("NOT done")
+        if open_.isEmpty():
+            break
+        trial = open_.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(own)), "tj", "tc", "tn")
+        given = rows.join(F.broadcast(trial) if few else trial, same()).select(*rows.columns, "tj", "tc", "tn")
+        told = given.mapInArrow(derive, summed).groupBy(*own).agg(*(F.sum(c).alias(c) for c in sums))
+        told = told.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(own)), *sums)
+        tried = open_.join(told, same()).select(*open_.columns, *sums).withColumn("n_rows", F.col("points"))
+        after = written(tried.mapInArrow(decide, whole), "fit")
+        finished, state = finished.unionByName(after.where("done")), after
+    out = _fields(df, keys, "j double, j_err double, c double, c_err double, n double, n_err double, red_chi2 double, points long")
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for r in b.to_pylist():
+                free = np.array([p in rules.get(float(r[temperature]), names) for p in names])
+                chi2 = r["rss"] / max(1, r["points"] - int(free.sum()))
+                error = np.zeros(3)
+                if free.any():
+                    error[free] = np.sqrt(np.maximum(np.diag(np.linalg.pinv(matrix(r, "")[np.ix_(free, free)])) * chi2, 0))
+                row = {k: r[k] for k in keys} | {"red_chi2": chi2, "points": r["points"]}
+                for p, e in zip(names, error, strict=True):
+                    row |= {p: r[f"q{p}"] * size[p], f"{p}_err": float(e) * abs(size[p])}
+                done.append(row)
+            yield pa.RecordBatch.from_pylist(done, schema=to_arrow_schema(out))
+
+    return finished.unionByName(state.where("NOT done")).mapInArrow(tell, out)
 
 
 def saturation(df: DataFrame) -> DataFrame:

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from . import clean
+from .neighbors import nearest_rows
 
 
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 77) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,8 @@ def recipe_features(df: DataFrame) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="skip").transform(df)
+    """Adds the features as a vector. A missing feature fails the job: rows are not left out in silence; fill or drop them before."""
+    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="error").transform(df)
 
 
 def _search(estimator, grid: list, evaluator, df: DataFrame, folds: int, seed: int) -> CrossValidatorModel:
@@ -62,76 +63,51 @@ def _precision(label: str) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="precisionByLabel", metricLabel=1.0)
 
 
-def fit_logistic(df: DataFrame, features: str = "features", label: str = "label", c_values: Sequence[float] = (0.01, 0.1, 1.0, 10.0), penalties: Sequence[float] = (0.0, 1.0), folds: int = 5, seed: int = 77) -> CrossValidatorModel:
-    """Logistic regression by precision over penalty (0: L2, 1: L1) and C; regParam = 1 / (C n), features not standardized."""
+def fit_logistic(df: DataFrame, features: str = "features", label: str = "label", c_values: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0), penalties: Sequence[float] = (0.0, 0.5, 1.0), free: bool = True, folds: int = 5, seed: int = 77) -> CrossValidatorModel:
+    """Logistic regression by precision over penalty (0: L2, 1: L1, between: both) and C, and with `free` no penalty; regParam = 1 / (C n), features not standardized."""
     n = df.count()
     model = LogisticRegression(featuresCol=features, labelCol=label, standardization=False, maxIter=100)
     grid = ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in c_values]).addGrid(model.elasticNetParam, list(penalties)).build()
+    grid += [{model.regParam: 0.0, model.elasticNetParam: 0.0}] if free else []
     return _search(model, grid, _precision(label), df, folds, seed)
 
 
 def fit_linear_svc(df: DataFrame, features: str = "features", label: str = "label", c_values: Sequence[float] = (0.01, 0.1, 1.0), folds: int = 5, seed: int = 77) -> CrossValidatorModel:
-    """Linear support vectors by precision over C. The loss is the hinge; the squared hinge is not offered by Spark."""
+    """Linear support vectors with the hinge loss by precision over C. For the squared hinge see svm.fit_squared_hinge."""
     n = df.count()
     model = LinearSVC(featuresCol=features, labelCol=label, standardization=False, maxIter=50)
     grid = ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in c_values]).build()
     return _search(model, grid, _precision(label), df, folds, seed)
 
 
-def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: str, vector: str = "v", metric: str = "euclidean", weights: str = "uniform", block: int = 2_000, others: bool = False) -> DataFrame:
-    """Votes of the k nearest training rows for each query row: rows (key, vote). Ties by the smaller label; of equally near rows those with the smaller key.
-
-    The stated query rows are taken in blocks of at most `block` rows, each sent to all training rows, which keep their k best per task before the merge;
-    training rows are not sent anywhere. Both tables need `key`; vectors are arrays of one length. With `others` a row does not vote on itself.
-    """
-    blocks = max(1, -(-query.count() // block))
-    out = None
-    for b in range(blocks):
-        some = query.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).alias("__q"), F.col(vector).alias("__qv"))
-        diff = F.zip_with(vector, "__qv", lambda x, y: x - y)
-        size = F.aggregate(diff, F.lit(0.0), lambda s, x: s + (F.abs(x) if metric == "manhattan" else x * x).cast("double"))
-        pairs = train.select(F.col(key).alias("__t"), label, vector).crossJoin(F.broadcast(some))
-        pairs = pairs.where(F.col("__t") != F.col("__q")) if others else pairs
-        near = pairs.select("__q", label, "__t", (size if metric == "manhattan" else F.sqrt(size)).alias("__d"))
-        best = near.withColumn("__rn", F.row_number().over(Window.partitionBy("__q").orderBy("__d", "__t"))).where(F.col("__rn") <= k)
-        weight = F.lit(1.0) if weights == "uniform" else F.when(F.col("__d") == 0, 1e12).otherwise(1 / F.col("__d"))
-        votes = best.groupBy("__q", label).agg(F.sum(weight).alias("w"))
-        win = votes.groupBy("__q").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(label).alias("vote"))).alias("x")).select(F.col("__q").alias(key), "x.vote")
-        out = win if out is None else out.unionByName(win)
-    return out
+def _weight(weights: Column) -> Column:
+    return F.when(weights == "uniform", F.lit(1.0)).when(F.col("__d") == 0, 1e12).otherwise(1 / F.col("__d"))
+
 
+def knn_classify(train: DataFrame, query: DataFrame, k: int, key: str, label: str, vector: str = "v", metric: str = "euclidean", weights: str = "uniform", others: bool = False) -> DataFrame:
+    """Votes of the k nearest training rows for each query row: rows (key, vote), of the exact neighbours that nearest_rows finds. Ties by the smaller label. With `others` a row does not vote on itself."""
+    best = nearest_rows(train, query, k, key, vector, metric, [label], key if others else None)
+    votes = best.groupBy("__q", label).agg(F.sum(_weight(F.lit(weights))).alias("w"))
+    win = votes.groupBy("__q").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(label).alias("vote"))).alias("x"))
+    return win.select(F.col("__q").alias(key), "x.vote")
 
-def knn_grid(train: DataFrame, query: DataFrame, key: str, label: str, fold: str, vector: str = "v", ks: Sequence[int] = (3, 5, 7), weights: Sequence[str] = ("uniform", "distance"), metrics: Sequence[str] = ("euclidean", "manhattan"), block: int = 2_000) -> DataFrame:
-    """Cross-validated search over neighbours, weights and metric: rows (metric, weights, k, accuracy), accuracy over the stated query rows, each of which is
-    voted on by the training rows of the other folds (column `fold` of both tables). One pass over the training rows for each metric and block of queries."""
-    blocks, out = max(1, -(-query.count() // block)), None
+
+def knn_grid(train: DataFrame, query: DataFrame, key: str, label: str, fold: str, vector: str = "v", ks: Sequence[int] = (3, 5, 7), weights: Sequence[str] = ("uniform", "distance"), metrics: Sequence[str] = ("euclidean", "manhattan"), positive: int | str | None = None) -> DataFrame:
+    """Cross-validated search over neighbours, weights and metric: rows (metric, weights, k, accuracy), over the stated query rows, each of which is voted on by the
+    training rows of the other folds (column `fold` of both tables). With `positive` also precision: the share of rows voted so whose label it is; missing where none are."""
+    out, own = None, query.select(F.col(key).alias("__q"), F.col(label).alias("__ql"))
+    right, said = F.col("x.vote") == F.col("__ql"), F.col("x.vote") == F.lit(positive)
+    measures = [F.avg(right.cast("double")).alias("accuracy"), *([F.avg(F.when(said, right.cast("double"))).alias("precision")] if positive is not None else [])]
     for metric in metrics:
-        best = None
-        for b in range(blocks):
-            some = query.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).alias("__q"), F.col(vector).alias("__qv"), F.col(label).alias("__ql"), F.col(fold).alias("__qf"))
-            diff = F.zip_with(vector, "__qv", lambda x, y: x - y)
-            size = F.aggregate(diff, F.lit(0.0), lambda s, x: s + (F.abs(x) if metric == "manhattan" else x * x).cast("double"))
-            pairs = train.select(F.col(key).alias("__t"), label, vector, fold).join(F.broadcast(some), F.col(fold) != F.col("__qf"))
-            near = pairs.select("__q", "__ql", label, "__t", (size if metric == "manhattan" else F.sqrt(size)).alias("__d"))
-            kept = near.withColumn("__rn", F.row_number().over(Window.partitionBy("__q").orderBy("__d", "__t"))).where(F.col("__rn") <= max(ks))
-            best = kept if best is None else best.unionByName(kept)
+        best = nearest_rows(train, query, max(ks), key, vector, metric, [label], fold).join(own, "__q")
         tries = best.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks)))).where("__rn <= k").withColumn("weights", F.explode(F.array(*(F.lit(w) for w in weights))))
-        weight = F.when(F.col("weights") == "uniform", F.lit(1.0)).when(F.col("__d") == 0, 1e12).otherwise(1 / F.col("__d"))
-        votes = tries.groupBy("weights", "k", "__q", "__ql", label).agg(F.round(F.sum(weight), 9).alias("w"))
+        votes = tries.groupBy("weights", "k", "__q", "__ql", label).agg(F.round(F.sum(_weight(F.col("weights"))), 9).alias("w"))
         win = votes.groupBy("weights", "k", "__q", "__ql").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col(label).alias("vote"))).alias("x"))
-        told = win.groupBy("weights", "k").agg(F.avg((F.col("x.vote") == F.col("__ql")).cast("double")).alias("accuracy")).select(F.lit(metric).alias("metric"), "weights", "k", "accuracy")
+        told = win.groupBy("weights", "k").agg(*measures).select(F.lit(metric).alias("metric"), "weights", "k", "accuracy", *(["precision"] if positive is not None else []))
         out = told if out is None else out.unionByName(told)
     return out
 
 
-def knn_approx(train: DataFrame, query: DataFrame, key: str, vector: str = "v", radius: float = 1.0, bucket: float = 2.0, tables: int = 4) -> DataFrame:
-    """Pairs (query key, train key, distance) within a radius by random projections, for tables too large for knn_classify. Some pairs may be missed."""
-    lsh = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=5)
-    a, b = (t.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("vec")) for t in (query, train))
-    joined = lsh.fit(b).approxSimilarityJoin(a, b, radius, distCol="distance")
-    return joined.select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias("train"), "distance")
-
-
 def fit_random_forest(df: DataFrame, features: str = "features", label: str = "label", trees: Sequence[int] = (20, 50), depths: Sequence[int] = (5, 10), folds: int = 5, seed: int = 77) -> CrossValidatorModel:
     """Random-forest regression by RMSE over trees and depth."""
     model = RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed)
@@ -155,12 +131,5 @@ def feature_weights(model, names: Sequence[str], spark) -> DataFrame:
         model = model.bestModel
     if isinstance(model, PipelineModel):
         model = model.stages[-1]
-    values = model.featureImportances if hasattr(model, "featureImportances") else [abs(x) for x in model.coefficients.toArray()]
+    values = model.featureImportances if hasattr(model, "featureImportances") else [abs(x) for x in getattr(model.coefficients, "toArray", lambda: model.coefficients)()]
     return spark.createDataFrame([(n, float(values[i])) for i, n in enumerate(names)], "feature string, weight double")
-
-
-def pipeline(features: Sequence[str], model, settings: Mapping[str, object] | None = None) -> Pipeline:
-    """An assembler and a model as one estimator."""
-    for k, v in (settings or {}).items():
-        model = model.copy({model.getParam(k): v})
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), model])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import fits
+from ..operators.ordering import numbered
 from .registry import query
 from .tables import cte, table
 
@@ -25,16 +26,20 @@ def _runs(spark, d):
 
 def _angles(spark, d):
     """Runs with an even angle in [0, 2 pi): theta = 2 pi j / n."""
-    from pyspark.sql import Window
+    rows = numbered(_runs(spark, d), ["run"], ["ts", "event_id"], "j")
+    return rows.join(rows.groupBy("run").agg(F.count(F.lit(1)).alias("__n")), "run").withColumn("theta", 2 * math.pi * F.col("j") / F.col("__n"))
 
-    w = Window.partitionBy("run")
-    return _runs(spark, d).withColumn("theta", 2 * math.pi * (F.row_number().over(w.orderBy("ts", "event_id")) - 1) / F.count(F.lit(1)).over(w))
 
+_PHASE = "CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END"
 
-@query(f"WITH {_dft('range(0, 10)')}, m AS (SELECT run, freq, re, im, sqrt(re * re + im * im) AS mag FROM s) SELECT run, cast(freq AS int) AS freq, round(re, 6) AS re, round(im, 6) AS im, round(mag, 6) AS mag FROM m QUALIFY row_number() OVER (PARTITION BY run ORDER BY mag DESC) <= 4")
+
+@query(f"""WITH {_ORDERED}, k AS (SELECT run, unnest(range(0, n // 2 + 1)) AS freq FROM (SELECT DISTINCT run, n FROM o)),
+    s AS (SELECT run, freq, sum(v * cos(2 * pi() * j * freq / n)) / sqrt(count(*)) AS re, -sum(v * sin(2 * pi() * j * freq / n)) / sqrt(count(*)) AS im FROM o JOIN k USING (run) GROUP BY run, freq),
+    m AS (SELECT *, sqrt(re * re + im * im) AS mag FROM s), t AS (SELECT *, max(mag) OVER (PARTITION BY run) AS top FROM m)
+    SELECT run, cast(freq AS int) AS freq, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, round(mag, 6) AS mag, round({_PHASE}, 5) + 0.0 AS phase, round(mag / top, 6) AS amp_ratio FROM t WHERE freq < 10 QUALIFY row_number() OVER (PARTITION BY run ORDER BY mag DESC) <= 4""")
 def fourier_by_group(spark, d):
     out = fits.fourier_by_group(_runs(spark, d), ["run"], ["ts", "event_id"], "v", max_freq=10, n=4)
-    return out.select("run", "freq", *(F.round(c, 6).alias(c) for c in ("re", "im", "mag")))
+    return out.select("run", "freq", *((F.round(c, 5 if c == "phase" else 6) + 0.0).alias(c) for c in ("re", "im", "mag", "phase", "amp_ratio")))
 
 
 @query(f"WITH {_dft('[1, 2, 5]')} SELECT run, cast(freq AS int) AS freq, round(re, 7) AS re, round(im, 7) AS im, round(sqrt(re * re + im * im), 7) AS mag, round(CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END, 7) AS phase FROM s")
@@ -43,12 +48,14 @@ def dft_at(spark, d):
     return out.select("run", "freq", *(F.round(c, 7).alias(c) for c in ("re", "im", "mag", "phase")))
 
 
-@query(f"""WITH {_ORDERED}, s AS (SELECT run, avg(v) AS m, 2 * avg(v * sin(2 * 2 * pi() * j / n)) AS a2, 2 * avg(v * cos(2 * 2 * pi() * j / n)) AS b2, 2 * avg(v * sin(4 * 2 * pi() * j / n)) AS a4, 2 * avg(v * cos(4 * 2 * pi() * j / n)) AS b4 FROM o GROUP BY run)
-    SELECT run, round(m, 6) AS mean, round(sqrt(a2 * a2 + b2 * b2) / m, 6) AS amp_2, round(sqrt(a4 * a4 + b4 * b4) / m, 6) AS amp_4 FROM s""")
+@query(f"""WITH {_ORDERED}, s AS (SELECT run, count(*) AS n, sum(v * v) AS vv, avg(v) AS m, 2 * avg(v * sin(2 * 2 * pi() * j / n)) AS a2, 2 * avg(v * cos(2 * 2 * pi() * j / n)) AS b2, 2 * avg(v * sin(4 * 2 * pi() * j / n)) AS a4, 2 * avg(v * cos(4 * 2 * pi() * j / n)) AS b4 FROM o GROUP BY run),
+    c AS (SELECT *, a2 * a2 + b2 * b2 AS r2, a4 * a4 + b4 * b4 AS r4, (vv - n * m * m - n / 2 * (a2 * a2 + b2 * b2 + a4 * a4 + b4 * b4)) / (n - 5) AS chi2 FROM s)
+    SELECT run, n, round(m, 6) AS mean, round(sqrt(chi2 / n), 6) AS mean_err, round(chi2, 4) AS red_chi2, {', '.join(f'''round(sqrt(r{f}) / m, 6) AS amp_{f}, round(sqrt(chi2 / n * (r{f} / m ** 4 + 2 / m ** 2)), 6) AS amp_{f}_err, round(CASE WHEN atan2(b{f}, a{f}) < 0 THEN atan2(b{f}, a{f}) + 2 * pi() ELSE atan2(b{f}, a{f}) END, 5) AS phase_{f}, round(sqrt(2 * chi2 / n / r{f}), 5) AS phase_{f}_err''' for f in (2, 4))} FROM c""")
 def harmonic_fit(spark, d):
-    """On even angles the sines and cosines are orthogonal, so SQL can give the coefficients as means."""
+    """On even angles the sines and cosines are orthogonal, so SQL can give coefficients, errors and chi-square as means."""
     out = fits.harmonic_fit(_angles(spark, d), ["run"], "theta", "v", (2, 4))
-    return out.select("run", *(F.round(c, 6).alias(c) for c in ("mean", "amp_2", "amp_4")))
+    digits = {"red_chi2": 4} | {f"phase_{f}{e}": 5 for f in (2, 4) for e in ("", "_err")}
+    return out.select("run", "n", *(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c not in ("run", "n")))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM lineitem GROUP BY l_returnflag")

@@ -69,3 +69,21 @@ def points_in_polygons(spark, d):
     ring = F.array(*(F.struct(((F.col("i") + a) * 100000.0).alias("x"), ((F.col("j") + b) * 100000.0).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))))
     polygons = square.select((F.col("i") * 1000 + F.col("j")).alias("poly_id"), ring.alias("ring"))
     return spatial.points_in_polygons(props, polygons).select("prop_id", "poly_id")
+
+
+_OCTAGON = [(1.0, 0.4), (0.4, 1.0), (-0.4, 1.0), (-1.0, 0.4), (-1.0, -0.4), (-0.4, -1.0), (0.4, -1.0), (1.0, -0.4)]
+
+
+def _in_octagon(size: str) -> str:
+    return f"abs(dx) < {size} AND abs(dy) < {size} AND abs(dx) + abs(dy) < 1.4 * {size}"
+
+
+@query(f"""WITH {_POINTS}, c AS (SELECT prop_id AS poly_id, x_m AS cx, y_m AS cy, 30000.0 + prop_id % 7 * 20000 AS size FROM properties_m WHERE prop_id % 40 = 0), q AS (SELECT prop_id, poly_id, size, p.x_m - cx AS dx, p.y_m - cy AS dy FROM properties_m p JOIN c ON abs(p.x_m - cx) < size AND abs(p.y_m - cy) < size)
+    SELECT prop_id, poly_id FROM q WHERE {_in_octagon('size')} AND (NOT ({_in_octagon('size * 0.6')}) OR {_in_octagon('size * 0.3')})""")
+def points_in_rings(spark, d):
+    """Properties in octagons with a hole that has an island, of 30 to 150 km around every fortieth property: polygons of three rings, off the grid of cells."""
+    props, _ = _points(spark, d)
+    ring = lambda k: F.array(*(F.struct((F.col("x_m") + a * k * F.col("size")).alias("x"), (F.col("y_m") + b * k * F.col("size")).alias("y")) for a, b in _OCTAGON))
+    polygons = props.where("prop_id % 40 = 0").withColumn("size", 30000.0 + F.col("prop_id") % 7 * 20000)
+    polygons = polygons.select(F.col("prop_id").alias("poly_id"), F.array(*(ring(k) for k in (1.0, 0.6, 0.3))).alias("rings"))
+    return spatial.points_in_polygons(props, polygons, 10_000.0).select("prop_id", "poly_id")

@@ -79,10 +79,21 @@ def snap_to_targets(spark, d):
     return clean.snap_to_targets(table(spark, d, "runs").select("event_id", "v", "deg"), "deg", (0, 90, 180, 270, 360), 2.0)
 
 
-@query(f"WITH {PROPS} SELECT count(*) AS n, round(sum(lon), 4) AS lon_sum FROM (SELECT min(lon) AS lon FROM properties GROUP BY round(lon, 1), round(lat, 1))")
+@query(f"""WITH {PROPS}, r AS (SELECT *, row_number() OVER (PARTITION BY round(lon, 1), round(lat, 1) ORDER BY lon, lat, prop_id) AS k FROM properties) SELECT prop_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM r WHERE k = 1""")
 def dedupe_points(spark, d):
     one = clean.dedupe_points(table(spark, d, "properties").select("lon", "lat", "prop_id"), digits=1)
-    return one.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lon"), 4).alias("lon_sum"))
+    return one.select("prop_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"""WITH RECURSIVE {PROPS}, w AS (SELECT prop_id, lon, lat, cast(round(lon * 500) AS bigint) AS i, cast(round(lat * 800) AS bigint) AS j FROM properties WHERE nation = 3),
+    l AS (SELECT a.prop_id AS a, b.prop_id AS b FROM w a JOIN w b ON abs(a.i - b.i) <= 150 AND abs(a.j - b.j) <= 240),
+    reach(a, b) AS (SELECT prop_id, prop_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+    g AS (SELECT a, min((lon, lat)) AS place FROM reach JOIN w ON w.prop_id = b GROUP BY a)
+    SELECT a AS prop_id, round(place[1], 6) AS lon, round(place[2], 6) AS lat FROM g""")
+def near_equal_places(spark, d):
+    """The least place of each property's group: places of one nation that steps of 0.3 degrees in either coordinate join. SQL compares all pairs in whole steps of the grid that the places lie on."""
+    found = clean.near_equal_groups(table(spark, d, "properties").where("nation = 3"), 0.3001)
+    return found.select("prop_id", F.round("place.lon", 6).alias("lon"), F.round("place.lat", 6).alias("lat"))
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
@@ -95,12 +106,12 @@ def address_hash(spark, d):
     return clean.address_hash(table(spark, d, "customer"), ["c_name", "c_nationkey"]).select("c_custkey", "address_id")
 
 
-@query("SELECT least(100, count(*)) AS n, greatest(0, count(*) - 100) AS others FROM customer")
+@query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, 1 AS times FROM customer")
 def sample_and_rest(spark, d):
-    """A sampling operator: sizes of a sample of 100 and of what it leaves."""
-    rows = table(spark, d, "customer")
-    n = clean.sample_n(rows, "c_custkey", 100, seed=7).agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(clean.drop_n(rows, "c_custkey", 100, seed=7).agg(F.count(F.lit(1)).alias("others"))))
+    """A sampling operator: the 100 rows of a sample and those that it leaves are the table, each row once."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    both = clean.sample_n(rows, "c_custkey", 100, seed=7).unionByName(clean.drop_n(rows, "c_custkey", 100, seed=7))
+    return both.groupBy("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal")).agg(F.count(F.lit(1)).cast("int").alias("times"))
 
 
 @query(f"WITH {PROPS} SELECT prop_id, substr(geoid, 1, 2) AS state_id FROM properties WHERE substr(geoid, 1, 2) = '04'")

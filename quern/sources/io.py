@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
+#: Splits with a preamble that are sent to all tasks; more are joined by a shuffle.
+MOST_HEADS = 100_000
+
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A delimited file with a header, by an explicit schema; dirty columns are best read as text. A header that differs from the schema fails."""
@@ -44,10 +49,23 @@ def read_tagged_files(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_instrument(spark: SparkSession, path: str, schema: str, skip: int = 39, name_pattern: str = r"MvH(\d+)K", tag: str = "t", whole_path: bool = False) -> DataFrame:
-    """Comma-separated tables below a preamble of `skip` lines and a header line; columns empty in all files are dropped; `tag` is a whole number of the file's name."""
-    whole = _named(spark.read, whole_path).text(path, wholetext=True).select("value", _name(whole_path).alias("file_name"))
-    lines = whole.select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where((F.col("pos") > skip) & (F.trim("line") != ""))
-    rows = lines.select(F.regexp_extract("file_name", name_pattern, 1).try_cast("int").alias(tag), F.from_csv("line", schema).alias("row")).select(tag, "row.*")
+    """Comma-separated tables below a preamble of `skip` lines and a header line; columns empty in all files are dropped; `tag` is a whole number of the file's name.
+
+    Files are read in splits, a line a row. Lines are counted by file and split; only splits in which a preamble can stand, the first of a file and those before which it has not more than `skip`
+    lines, have their lines numbered. Empty columns are found when this is called, by one count over all rows.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    lines = _named(spark.read, whole_path).text(path).select("value", _name(whole_path).alias("file_name"), *place)
+    counts = lines.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block")) - F.col("__n")
+    heads = written(counts.select("__file", "__block", before.alias("__before")).where(F.col("__before") <= skip), "heads")
+    heads = F.broadcast(heads) if heads.count() <= MOST_HEADS else heads
+    ordered = lines.withColumn("__id", F.monotonically_increasing_id())  # ascends with the lines of a split
+    at = F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__id")) + F.col("__before") - 1
+    first = ordered.join(heads, ["__file", "__block"]).withColumn("__at", at).where(F.col("__at") > skip).select("value", "file_name")
+    rest = lines.join(heads, ["__file", "__block"], "left_anti").select("value", "file_name")
+    kept = first.unionByName(rest).where(F.trim("value") != "")
+    rows = kept.select(F.regexp_extract("file_name", name_pattern, 1).try_cast("int").alias(tag), F.from_csv("value", schema).alias("row")).select(tag, "row.*")
     filled = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).first()
     return rows.drop(*(c for c in rows.columns if not filled[c]))
 

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
-from quern.operators import aggs, calendar_dim, clean, fits, joins, ml, spatial, windows
+from quern.operators import aggs, calendar_dim, clean, components, fits, joins, ml, neighbors, ordering, spatial, svm, windows
 from quern.plans import fit_queries
 from quern.sources import io
 
@@ -223,3 +223,271 @@ def test_quantiles_equal_numpy(spark):
     got = aggs.quantiles(df, ["a", "b", "c"], qs)
     assert np.allclose(got["a"], np.quantile(wide, qs), rtol=1e-12) and np.allclose(got["b"], np.quantile(ties, qs)) and got["c"] == [None] * 6
     assert aggs.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_quantiles_end_on_infinite_and_tiny_values(spark):
+    inf, qs = math.inf, [0.0, 0.25, 0.5, 0.75, 1.0]
+    cases = {"a": [1.0, 2.0, inf], "b": [-inf, -inf, inf], "c": [inf, inf, inf], "d": [-inf, 0.0, 5e-324], "e": [-1.7e308, 0.0, 1.7e308], "f": [float("nan"), 7.0, None]}
+    df = spark.createDataFrame([tuple(v[i] for v in cases.values()) for i in range(3)], ", ".join(f"{c} double" for c in cases))
+    got = aggs.quantiles(df, list(cases), qs)
+    assert got["a"] == [1.0, 1.5, 2.0, inf, inf] and got["c"] == [inf] * 5 and got["f"] == [7.0] * 5
+    assert got["b"][:3] == [-inf, -inf, -inf] and got["b"][4] == inf and math.isnan(got["b"][3])
+    assert got["d"] == [-inf, -inf, 0.0, 5e-324 * 0.5, 5e-324] and got["e"] == [-1.7e308, -0.85e308, 0.0, 0.85e308, 1.7e308]
+    assert {r.column: r["max"] for r in aggs.describe(df, ["a", "b"]).collect()} == {"a": inf, "b": inf}
+    assert rows(windows.score_category(df, "a").select("a", "category")) == [(1.0, 1), (2.0, 5), (inf, 6)]
+
+
+def test_histogram_by_number_of_bins(spark):
+    rng = np.random.default_rng(2)
+    v = [float(x) for x in rng.normal(size=500)]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,), (math.inf,)], "a double")
+    counts, edges = np.histogram(v, 7)
+    got = sorted(aggs.histogram(df, "a", 7).collect(), key=lambda r: r.bin)
+    assert [r.n for r in got] == counts.tolist() and np.allclose([r.lo for r in got] + [got[-1].hi], edges)
+    assert [tuple(r) for r in aggs.histogram(spark.createDataFrame([(3.0,)] * 4, "a double"), "a", 2).collect()] == [(1, 3.0, 3.5, 4)]
+    assert aggs.histogram(df.limit(0), "a", 4).count() == 0
+
+
+def brute_neighbors(train, query, k, metric, skip):
+    out = []
+    for q, g, v in query:
+        far = sorted((float(np.abs(np.subtract(v, w)).sum() if metric == "manhattan" else np.sqrt((np.subtract(v, w) ** 2).sum())), t) for t, h, w in train if not (skip and g is not None and g == h))
+        out += [(q, t, round(d, 9)) for d, t in far[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_nearest_rows_are_exact(spark, metric):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 5, (6, 3))
+    train = [(i, i % 5 if i % 11 else None, [float(x) for x in centers[i % 6] + rng.normal(0, 0.3, 3)]) for i in range(600)]
+    train[100:200] = [(i, 1, train[7][2]) for i in range(100, 200)]  # one place a hundred times: ties by key
+    query = [(i, g, v) for i, g, v in train if i % 9 == 0] + [(1000, 1, [0.0, 0.0, 0.0]), (1001, None, train[7][2])]
+    schema = "k long, g int, v array<double>"
+    a = spark.createDataFrame([*train, (None, 1, [0.0] * 3), (700, 1, None), (701, 1, [None, 1.0, 2.0])], schema).repartition(3)
+    b = spark.createDataFrame([*query, (1002, 1, None)], schema)
+    for skip, sizes in ((None, {}), ("g", {}), ("g", {"crowd": 5, "block": 3, "pivots": 9})):
+        got = neighbors.nearest_rows(a, b, 7, "k", metric=metric, apart=skip, **sizes)
+        assert sorted((r["__q"], r["__t"], round(r["__d"], 9)) for r in got.collect()) == brute_neighbors(train, query, 7, metric, skip)
+    assert neighbors.nearest_rows(a.limit(0), b, 7, "k").count() == 0 and neighbors.nearest_rows(a, b.limit(0), 7, "k").count() == 0
+    few = neighbors.nearest_rows(a.where("k < 3"), b, 7, "k")
+    assert few.count() == 3 * len(query)
+
+
+def test_rings_are_left_out(spark):
+    """On clustered rows most pairs are never compared."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(0, 20, (30, 8))
+    rows_ = spark.createDataFrame([(i, [float(x) for x in centers[i % 30] + rng.normal(0, 1, 8)]) for i in range(3000)], "__t long, __v array<double>")
+    _, index = neighbors.build(rows_, "euclidean", crowd=20)
+    asked = rows_.where("__t % 50 = 0").select(F.col("__t").alias("__q"), F.col("__v").alias("__qv"), F.lit(4.0).alias("__kth"))
+    sent = neighbors._probes(asked, index, 16, bounded=True).groupBy("__bin").count().collect()
+    assert sum(r["count"] * int(index.count[r["__bin"]]) for r in sent) < 0.35 * 60 * 3000
+
+
+def test_numbers_of_large_keys(spark):
+    rng = random.Random(7)
+    data = [(rng.choice(("a", "a", "a", None, "b")), rng.choice((None, *range(9))), i) for i in range(400)]
+    df = spark.createDataFrame([*data, ("few", 1, 400)], "k string, t int, i int").repartition(4)
+    want = rows(ordering.numbered(df, ["k"], ["t", "i"]))
+    assert [r[3] for r in want if r[0] == "few"] == [0]
+    assert sorted(r[3] for r in want if r[0] is None) == list(range(sum(d[0] is None for d in data)))
+    assert rows(ordering.numbered(df, ["k"], ["t", "i"], most=20)) == want
+    assert ordering.numbered(df.limit(0), ["k"], ["t", "i"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [64, 97, 250, 1021])
+def test_long_runs_in_many_tasks_equal_one(spark, n):
+    rng = np.random.default_rng(n)
+    v = [float(x) for x in rng.normal(2, 1, n)]
+    v[3] = None
+    df = spark.createDataFrame([("long", n, i, x) for i, x in enumerate(v)] + [("short", 2, i, float(i % 3)) for i in range(9)] + [(None, 1, i, 1.0) for i in range(5)], "g string, x int, o int, v double").repartition(4)
+    near = {(r.g, r.freq): r for r in fits.fourier_by_group(df, ["g", "x"], "o", "v").collect()}
+    got = {(r.g, r.freq): r for r in fits.fourier_by_group(df, ["g", "x"], "o", "v", most=20).collect()}
+    assert near.keys() == got.keys() and sum(k[0] == "long" for k in got) == 10
+    for k, r in got.items():
+        assert np.allclose([r.re, r.im, r.mag, r.amp_ratio], [near[k].re, near[k].im, near[k].mag, near[k].amp_ratio], atol=1e-9)
+        assert r.mag < 1e-9 or math.isclose(math.cos(r.phase - near[k].phase), 1, abs_tol=1e-9)
+    few = {(r.g, r.freq): (r.re, r.im) for r in fits.dft_at(df, ["g", "x"], ["o"], "v", [0, 1, 4], most=20).collect()}
+    for r in fits.dft_at(df, ["g", "x"], ["o"], "v", [0, 1, 4]).collect():
+        assert np.allclose(few[r.g, r.freq], (r.re, r.im), atol=1e-9)
+
+
+def test_a_run_of_a_million_rows_is_several_tasks(spark):
+    n = 1_000_003  # a prime
+    df = spark.range(n).select(F.lit("x").alias("g"), F.col("id").alias("o"), (F.sin(2 * math.pi * 7 * F.col("id") / n) * 3 + 1).alias("v"))
+    got = {r.freq: r for r in fits.fourier_by_group(df, ["g"], "o", "v", most=1 << 18).collect()}
+    assert math.isclose(got[7].mag, 1.5 * math.sqrt(n), rel_tol=1e-9) and got[7].amp_ratio == 1.0
+    assert math.isclose(got[0].re, math.sqrt(n), rel_tol=1e-9) and got[3].mag < 1e-5
+    parts, _ = ordering.in_parts(df, ["g"], ["o"], 1 << 18)
+    assert parts.select("__part").distinct().count() > 1
+
+
+def test_brillouin_fit_of_a_large_group(spark):
+    """10^6 distinct fields at one temperature; several groups, of which some vary a part of the parameters, in step."""
+    made = spark.range(1_000_000).repartition(4).select(F.lit(2.0).alias("t"), ((F.col("id") - 500_000) * 0.14).alias("h"), F.lit(0.3).alias("d"), F.lit(3.5).alias("j"), F.lit(5e-4).alias("c"), F.lit(1.2e22).alias("n"))
+    few = spark.createDataFrame([(t, float(h), 0.3, 3.5, 5e-4, 1.2e22) for t in (5.0, 10.0) for h in range(-70000, 70001, 7000)], made.schema)
+    df = fits.solve_magnetization(made.unionByName(few)).withColumn("m", F.col("m") + F.when(F.col("t") == 5.0, F.pmod(F.xxhash64("h"), F.lit(1000)) / 1000 - 0.5).otherwise(0.0))
+    got = {r.t: r for r in fits.brillouin_fit(df, ["t"], {2.0: ["j", "c", "n"], 5.0: ["j", "c"], 10.0: ["j"]}, {"j": 3.3, "c": 5e-4, "n": 1.2e22}).collect()}
+    assert np.allclose([got[2.0].j, got[2.0].c, got[2.0].n], [3.5, 5e-4, 1.2e22], rtol=1e-5) and got[2.0].points == 1_000_000
+    assert math.isclose(got[10.0].j, 3.5, rel_tol=1e-6) and got[10.0].c_err == got[10.0].n_err == got[5.0].n_err == 0
+    assert got[5.0].j_err > 0 and abs(got[5.0].j - 3.5) < 6 * got[5.0].j_err
+    assert fits.brillouin_fit(df.limit(0), ["t"], {}, {"j": 3.3, "c": 5e-4, "n": 1.2e22}).count() == 0
+
+
+def dense_squared_hinge(x, y, c):
+    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(500):
+        gap = 1 - y * (x @ w)
+        on = gap > 0
+        g = w - 2 * c * x[on].T @ (y[on] * gap[on])
+        if np.linalg.norm(g) < 1e-12:
+            break
+        step, t = np.linalg.solve(np.eye(len(w)) + 2 * c * x[on].T @ x[on], -g), 1.0
+        f = lambda v: v @ v / 2 + c * (np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
+        while f(w + t * step) > f(w) + 1e-4 * t * (g @ step) and t > 1e-10:
+            t /= 2
+        w = w + t * step
+    return w
+
+
+@pytest.mark.parametrize("dense", [255, 1])
+def test_squared_hinge_equals_a_dense_solve(spark, monkeypatch, dense):
+    monkeypatch.setattr(svm, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    label = (x @ [1.0, -2.0, 0.3] + rng.normal(0, 0.7, 300) + 0.4 > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, label, strict=True))] + [(999, None, 1.0, 1.0, 1)], "k int, a double, b double, c double, y int").repartition(3)
+    for c in (1e-3, 1.0, 100.0) if dense > 1 else (1.0,):
+        model = svm.fit_squared_hinge(df, ["a", "b", "c"], "y", "k", (c,), folds=1)
+        assert np.allclose([*model.coefficients, model.intercept], dense_squared_hinge(x, 2.0 * label - 1, c), atol=1e-6)
+    if dense > 1:
+        model = svm.fit_squared_hinge(df, ["a", "b", "c"], "y", "k")
+        assert [s[0] for s in model.search] == [1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0] and all(len(s[2]) == 5 for s in model.search)
+        said = model.transform(df.where("a IS NOT NULL").withColumn("x", F.array("a", "b", "c"))).agg(F.avg(F.when(F.col("prediction") == 1, F.col("y"))).alias("p"), F.avg("y").alias("all")).first()
+        assert said.p > 0.8 > said["all"]
+        assert np.allclose(model.coefficients, dense_squared_hinge(x, 2.0 * label - 1, model.c)[:-1], atol=1e-6)
+
+
+def join_tasks(df):
+    """Tasks with rows of the stage that makes pairs: partitions of the joined rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_crowded_cells_are_several_tasks(spark):
+    """One split on each side, one crowded cell: the pairs are made in more than one task."""
+    left = spark.range(50).select(F.col("id").alias("p"), (F.col("id") * 10.0).alias("x_m"), F.lit(0.0).alias("y_m")).coalesce(1)
+    right = spark.range(3000).select(F.col("id").alias("f"), (F.col("id") % 100 * 5.0).alias("x_m"), F.lit(7.0).alias("y_m")).coalesce(1)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = spatial.radius_join(left, right, 5e4, crowd=300)
+        assert join_tasks(pairs) > 1 and pairs.count() == 150_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    both = spatial.radius_join(left, right, 5e4, crowd=20)  # crowded on both sides
+    assert both.count() == both.distinct().count() == 150_000
+
+
+def test_nearest_is_brute_force(spark):
+    rng = np.random.default_rng(8)
+    a = rng.uniform(-2e5, 2e5, (150, 2))
+    b = np.concatenate([rng.uniform(-2e5, 2e5, (100, 2)), rng.normal(0, 800, (300, 2)), np.tile(a[5] + (30.0, 40.0), (20, 1)), [a[9] + (3e4, 4e4)]])
+    left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)] + [(900, None, 1.0)], "p int, x_m double, y_m double")
+    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)] + [(901, None, 1.0)], "f int, x_m double, y_m double")
+    want = {900: (None, None)}
+    for i, at in enumerate(a):
+        far = np.sqrt(((b - at) ** 2).sum(axis=1))
+        want[i] = (int(far.argmin()), round(float(far.min()), 6)) if far.min() <= 5e4 else (None, None)
+    for halvings in (0, 3, 8):
+        got = spatial.nearest(left, right, 5e4, "p", "f", halvings).collect()
+        assert {r.p: (r.f, r.distance_m and round(r.distance_m, 6)) for r in got} == want
+    assert all(r.f is None for r in spatial.nearest(left, right.limit(0), 5e4, "p", "f").collect())
+
+
+def test_holes_and_islands(spark):
+    def circle(r, n=60, cx=0.3, cy=0.7):
+        return [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k in range(n)]
+
+    shapes = {"ring": [circle(90), circle(50), circle(20)], "plain": [circle(70, cx=40.0)], "none": [[], None], "null": None, "square": [[(-100.0, -100.0), (100.0, -100.0), (100.0, 100.0), (-100.0, 100.0)], [(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0), (-50.0, 50.0)]]}
+    rng = random.Random(2)
+    at = [(i, rng.uniform(-130, 130), rng.uniform(-130, 130)) for i in range(1500)] + [(2000 + i, float(10 * (i % 23) - 110), float(10 * (i // 23) - 110)) for i in range(23 * 23)]
+
+    def odd(rings, x, y):
+        out = False
+        for ring in rings or []:
+            for (x1, y1), (x2, y2) in zip(ring or [], (ring or [])[1:] + (ring or [])[:1], strict=True):
+                out ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return out
+
+    want = sorted((i, k) for i, x, y in at for k, rings in shapes.items() if odd(rings, x, y))
+    poly = spark.createDataFrame(list(shapes.items()), "poly_id string, rings array<array<struct<x: double, y: double>>>")
+    pts = spark.createDataFrame(at, "p int, x_m double, y_m double")
+    for cell, crowd in ((5.0, 100_000), (5.0, 4), (300.0, 100_000)):
+        assert sorted(tuple(r) for r in spatial.points_in_polygons(pts, poly, cell, crowd).select("p", "poly_id").collect()) == want
+    big = spark.createDataFrame([("big", [circle(50 * math.sqrt(4 / math.pi), 400)])], poly.schema)
+    cells, runs = spatial.polygon_cover(big, 1.0)  # 10^4 cells inside
+    assert cells.count() < 800 and runs.count() < 400
+
+
+def test_near_equal_points_are_brute_force(spark):
+    rng = random.Random(11)
+    for tol in (0.25, 1.0):
+        at = [(rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(90)] + [(3 + 0.2 * k, 8 + 0.2 * k) for k in range(12)] + [(-8 + 0.2 * k, -8 - 0.2 * k) for k in range(12)]
+        at += at[:5]
+        group = list(range(len(at)))
+        for _ in at:
+            for a, (x, y) in enumerate(at):
+                for b, (u, v) in enumerate(at):
+                    if abs(x - u) <= tol and abs(y - v) <= tol:
+                        group[a] = group[b] = min(group[a], group[b])
+        least = {}
+        for k, g in enumerate(group):
+            least[g] = min(least.get(g, at[k]), at[k])
+        df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(at)] + [(500, None, 1.0), (501, None, 1.0)], "k int, lon double, lat double").repartition(3)
+        got = clean.near_equal_groups(df, tol).collect()
+        assert {r.k: r.place and tuple(r.place) for r in got} == {k: least[g] for k, g in enumerate(group)} | {500: None, 501: None}
+        assert sorted(r.k for r in clean.dedupe_near(df, tol).where("lon IS NOT NULL").collect()) == sorted(min(k for k, p in enumerate(at) if p == x) for x in least.values())
+        assert clean.dedupe_near(df, tol).where("lon IS NULL").count() == 2
+    assert clean.near_equal_groups(df.limit(0), 1.0).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(300).select(((F.col("id") * 11) % 301).alias("a"), ((F.col("id") * 11 + 11) % 301).alias("b")).union(spark.createDataFrame([(400, 401), (401, 402), (402, 400), (9, 9)], "a long, b long"))
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {k: 0 for k in range(301)} | {400: 400, 401: 400, 402: 400}
+    assert components.components(links.where("a = b")).count() == 0
+
+
+def test_instrument_files_over_several_splits(spark, tmp_path):
+    (tmp_path / "MvH5K.dat").write_text("\n".join(f"line {i}" for i in range(39)) + "\nT,H,X,M\n" + "\n".join(f"5.0,{i},,{i / 2}" for i in range(4000)) + "\n")
+    (tmp_path / "MvH2K.dat").write_text("\r\n".join("long " * 40 for i in range(39)) + "\r\nT,H,X,M\r\n2.0,1,,7\r\n\r\n2.0,2,,8")
+    (tmp_path / "MvH9K.dat").write_text("too short\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 20
+        got = rows(io.read_instrument(spark, f"file://{tmp_path}", "temp double, h double, x double, m double"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted([(5, 5.0, float(i), i / 2) for i in range(4000)] + [(2, 2.0, 1.0, 7.0), (2, 2.0, 2.0, 8.0)], key=repr)
+
+
+def test_models_beat_a_constant(spark):
+    """Each model finds a signal that is there: better than the mean, or than calling all rows positive."""
+    df = spark.range(240).select("id", ((F.col("id") * 37) % 100 / 100).alias("a"), ((F.col("id") * 61) % 100 / 100).alias("b"))
+    df = df.withColumn("noise", (F.xxhash64("id") % 100) / 1000).withColumn("label", 3 * F.col("a") - F.col("b") * F.col("b") + F.col("noise"))
+    data = ml.assemble(df, ["a", "b"]).cache()
+    train, test = ml.split(data, "id")
+    spread = test.agg(F.stddev_pop("label")).first()[0]
+    for model in (ml.fit_random_forest(train, trees=(10,), depths=(5,), folds=2), ml.fit_gbt(train, trees=20, rate=0.1), ml.fit_gbt(train, draws=2, folds=2)):
+        assert aggs.rmse(model.transform(test), "label", "prediction").first().rmse < 0.5 * spread
+    yes = data.withColumn("label", (F.col("label") > 1.2).cast("double"))
+    share = yes.agg(F.avg("label")).first()[0]
+    for model in (ml.fit_logistic(yes, c_values=(1.0, 100.0), penalties=(0.0,), folds=2), ml.fit_linear_svc(yes, c_values=(1.0, 100.0), folds=2)):
+        told = aggs.precision_kpi(model.transform(yes).withColumn("hat", F.col("prediction").cast("int")), "label", "hat").first()
+        assert told.precision > share + 0.2
+    with pytest.raises(Exception, match="null"):
+        ml.assemble(df.withColumn("a", F.when(F.col("id") > 3, F.col("a"))), ["a", "b"]).collect()
