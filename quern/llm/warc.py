@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .scratch import Scratch, width
 from .textcut import steps
 
@@ -64,7 +65,7 @@ def page_record(page_id, url: str | None, html: str, digest: str, refers_to) ->
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 1000, roll: int = 1 << 30) -> DataFrame:
-    """Writes a record per page to gzip archives in `folder`, a member each, and returns (not yet run) rows of file and bytes.
+    """Writes a record per page to gzip archives in `folder`, a member each, and returns (not yet run) rows of file, bytes and pages (records of pages).
 
     Pages need page_id, url and html; other columns are ignored. Null html is an empty payload. Of pages with equal payloads of at least
     `least` bytes the one with the largest page_id is the response and the others are revisits without payload; rows that
@@ -77,7 +78,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, roll: int = 1 <
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = open_folder(folder)
         store.create_dir(top, recursive=True)
-        sink = None
+        sink, n = None, 0
         for batch in steps(batches, "html"):
             for r in batch.to_pylist():
                 if sink is None:
@@ -85,15 +86,16 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, roll: int = 1 <
                     sink = store.open_output_stream(f"{top}/{name}", compression=None)
                     sink.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 sink.write(page_record(r["page_id"], r["url"], r["html"], r["digest"], r["refers_to"]))
+                n += 1
                 if sink.tell() >= roll:
                     size, _ = sink.tell(), sink.close()
-                    yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "bytes": size}])
-                    sink = None
+                    yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "bytes": size, "pages": n}])
+                    sink, n = None, 0
         if sink is not None:
             size, _ = sink.tell(), sink.close()
-            yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "bytes": size}])
+            yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "bytes": size, "pages": n}])
 
-    return refer_repeats(rows, least).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "file string, bytes long")
+    return refer_repeats(rows, least).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "file string, bytes long, pages long")
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -102,33 +104,46 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 class Window:
-    """Bytes of a file from any offset on, read ahead as they are wanted."""
+    """Bytes of a file from any offset on, read ahead as they are wanted. Passed bytes are cut off once a read."""
 
     def __init__(self, file, start: int, ahead: int = 1 << 20):
-        self.file, self.start, self.ahead, self.data, self.done = file, start, ahead, b"", False
+        self.file, self.start, self.ahead, self.data, self.at, self.done = file, start, ahead, bytearray(), 0, False
         file.seek(start)
 
     def more(self) -> bool:
         got = b"" if self.done else self.file.read(self.ahead)
         self.done = not got
+        if self.at:
+            del self.data[: self.at]
+            self.at = 0
         self.data += got
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.data, self.start = self.data[n:], self.start + n
+    def held(self) -> int:
+        return len(self.data) - self.at
 
+    def find(self, what: bytes) -> int:
+        at = self.data.find(what, self.at)
+        return at - self.at if at >= 0 else -1
 
-def decode_member(w: Window, at: int, probe: bool) -> tuple[bytes, int] | None:
-    """The content of the gzip member at offset `at` of the window and the offset after it; None if it is not a WARC record.
+    def piece(self, k: int, n: int) -> bytes:
+        return bytes(self.data[self.at + k : self.at + k + n])
+
+    def skip(self, n: int) -> None:
+        self.at, self.start = self.at + n, self.start + n
+
+
+def decode_member(w: Window, probe: bool) -> tuple[bytes, int] | None:
+    """The content of the gzip member at the window's place and the bytes it takes; None if it is not a WARC record.
 
     With `probe` a member is given up as soon as its first bytes do not decode to a record's first line.
     """
-    unpack, out, k = zlib.decompressobj(31), [], at
+    unpack, out, k = zlib.decompressobj(31), [], 0
     size = 0
     while not unpack.eof:
-        if k >= len(w.data) and not w.more():
+        if k >= w.held() and not w.more():
             return None
-        piece = w.data[k : k + 65536]
+        piece = w.piece(k, 65536)
         try:
             got = unpack.decompress(piece)
         except zlib.error:
@@ -148,29 +163,30 @@ def records(file, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]
     """Records that begin in [start, end) of an archive, whole even where they end beyond.
 
     The range is searched for the gzip magic; a place counts as a member's start when what it holds decodes to a record's headers. From the
-    first such place on, each member begins where the last one ended.
+    first such place on, each member begins where the last one ended, and one that is no record there is damage: ValueError.
     """
-    w = Window(file, start)
+    w, in_step = Window(file, start), start == 0
     while w.start < end:
-        at = w.data.find(MAGIC)
-        while at < 0:
-            keep = min(len(w.data), len(MAGIC) - 1)
-            w.drop(len(w.data) - keep)
-            if w.start >= end or not w.more():
+        if not in_step:
+            while (at := w.find(MAGIC)) < 0:
+                w.skip(max(0, w.held() - len(MAGIC) + 1))
+                if w.start >= end or not w.more():
+                    return
+            w.skip(at)
+            if w.start >= end:
                 return
-            at = w.data.find(MAGIC)
-        w.drop(at)
-        if w.start >= end:
-            return
-        got = decode_member(w, 0, probe=True)
+        got = decode_member(w, probe=not in_step)
         if got is None:
-            w.drop(1)
+            if in_step:
+                raise ValueError(f"no whole record at byte {w.start}: the archive is damaged or cut off")
+            w.skip(1)
             continue
+        in_step = True
         content, after = got
         head, _, rest = content.partition(b"\r\n\r\n")
         headers = _headers(head)
         yield headers, rest[: int(headers.get("content-length", 0))]
-        w.drop(after)
+        w.skip(after)
 
 
 def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20, payloads: bool = True) -> DataFrame:
@@ -178,14 +194,16 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20, paylo
 
     `files` has the columns file and bytes. Each task takes ranges of `split` bytes of any file and owns the records that start in its range.
     A revisit has no payload here; its length and digest are those its headers tell. A response whose payload does not have the digest
-    of its headers fails the job. Records of other types are left out.
+    of its headers fails the job, and so do a member that is reached in step and is no record, and a file that is shorter than told. Records of other types are left out.
+    Where `files` has the column pages, records are counted by file before any is returned, and a file with fewer or more than told is an error: so a record that is damaged
+    at the very place where a range begins, which no range reaches in step, is not lost in silence. What was read is written once for that.
     """
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     dealt = ranges.repartition(width(spark), "file", "start")
     kept = ["payload"] * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), *(("payload", pa.binary()) for _ in kept)])
+        schema = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), *(("payload", pa.binary()) for _ in kept)])
         for batch in batches:
             for r in batch.to_pylist():
                 store, path = open_folder(r["file"])
@@ -200,7 +218,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20, paylo
                         if kind == "response" and hashlib.sha1(payload).hexdigest() != told:
                             raise ValueError(f"{headers['warc-record-id']} in {r['file']}: its payload does not have the digest of its headers")
                         number = lambda name: None if (x := headers.get(name, "").strip("<>").removeprefix(PAGE)) in ("", "None") else int(x)
-                        out.append({"page_id": number("warc-record-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "payload_bytes": len(payload) if kind == "response" else int(_headers(http)["content-length"]), "payload_digest": told, "refers_to": number("warc-refers-to"), **({"payload": payload if kind == "response" else None} if kept else {})})
+                        out.append({"file": r["file"], "page_id": number("warc-record-id"), "url": headers.get("warc-target-uri"), "record_type": kind, "payload_bytes": len(payload) if kind == "response" else int(_headers(http)["content-length"]), "payload_digest": told, "refers_to": number("warc-refers-to"), **({"payload": payload if kind == "response" else None} if kept else {})})
                         held += len(payload) if kept else 200
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -208,7 +226,14 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = 8 << 20, paylo
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return dealt.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
+    found = dealt.mapInArrow(run, "file string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
+    if "pages" not in files.columns:
+        return found.drop("file")
+    found = written(found, "records")
+    wrong = files.join(found.groupBy("file").count(), "file", "left").where("pages <> coalesce(count, 0)").select("file", "pages", F.coalesce("count", F.lit(0)).alias("n")).first()
+    if wrong:
+        raise ValueError(f"{wrong['file']} holds {wrong['n']} readable records of pages, not {wrong['pages']}: it is damaged")
+    return found.drop("file")
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> tuple[Scratch, DataFrame]:

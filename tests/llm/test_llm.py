@@ -433,6 +433,39 @@ def test_archives_split_anywhere(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_damaged_archives_fail(spark):
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "".join(rng.choice("abcdefgh <>") for _ in range(3000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    _, files = warc.archive(spark, pages)
+    (name, size, n), *_ = [(r.file, r.bytes, r.pages) for r in files.collect()]
+    store, path = warc.open_folder(name)
+    with store.open_input_file(path) as f:
+        whole = f.read()
+    assert n == 60 and size == len(whole)
+    places = [m.start() for m in re.finditer(re.escape(warc.MAGIC), whole)]
+
+    def read(data, split, counted=True):
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(data)
+        told = files if counted else files.drop("pages")
+        return warc.read_warc(spark, told, split=split, payloads=False).count()
+
+    assert read(whole, 5000) == 60
+    for at in (places[9] + 20, places[30] + 700):
+        broken = whole[:at] + bytes(40) + whole[at + 40 :]
+        for split in (1 << 20, 5000, places[9], places[30]):
+            with pytest.raises(Exception, match="damaged|no whole record|digest"):
+                read(broken, split)
+    for cut in (places[40], places[40] + 5, len(whole) - 3):
+        for split in (1 << 20, 5000):
+            with pytest.raises(Exception, match="damaged|no whole record"):
+                read(whole[:cut], split)
+    with pytest.raises(Exception, match="no whole record"):
+        read(whole[: places[9] + 20] + bytes(40) + whole[places[9] + 60 :], 1 << 20, counted=False)
+    with pytest.raises(Exception, match="damaged"):
+        read(whole[: places[20]] + whole[places[21] :], 1 << 20)  # a record gone, the rest in step
+
+
 # 10: language
 
 
