@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .aggs import quantiles
+from .ordering import MOST, before_parts, in_parts
 
 
 def demag_amplitudes(df: DataFrame, keys: Sequence[str] = ("act", "t", "h"), angle: str = "deg", keep: float | None = 180.0) -> DataFrame:
@@ -38,39 +40,31 @@ def first_second_ratio(df: DataFrame, keys: Sequence[str], order: str, value: st
     return two.groupBy(*keys).agg(F.try_divide(second, first).alias("ratio"))
 
 
-def control_limits(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 5, k: float = 3.0, parts: int = 64) -> DataFrame:
-    """Mean, limits mean +- k sd / sqrt(n) over the last n rows, and an alert where the value leaves them; rows with fewer than n before and at them drop out.
+def control_limits(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 5, k: float = 3.0, most: int = MOST) -> DataFrame:
+    """Mean, limits mean +- k sd / sqrt(n) over the last n rows, and an alert where the value leaves them; rows with fewer than n before and at them drop out. `row` numbers a key's rows from 1.
 
-    Few keys are not few tasks: a key's rows are cut at `parts` quantiles of the first column of `order` (a number, date or time), numbered in each part from the count of the
-    parts before, and the n - 1 rows before a part are copied into it.
+    Keys of at most `most` rows are windows. Larger ones are numbered in parts and cut at every `most` rows, and the n - 1 rows before a cut are copied behind it, so that one key is many tasks.
     """
-    first = F.col(order[0])
-    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)])).first()[0] if parts > 1 else None
-    part = F.lit(0)
-    for c in sorted(set(cuts or ())):
-        part = part + F.coalesce((F.lit(c) < first).cast("int"), F.lit(0))
-    rows = df.withColumn("__part", part)
-    own = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
-    counts = df.select(*own, part.alias("__p")).groupBy(*(f"__k{i}" for i in range(len(keys))), "__p").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*(f"__k{i}" for i in range(len(keys)))).orderBy("__p")) - F.col("__n"))
-
-    def at(here: DataFrame, *more: Column) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
-        return here.join(counts, [*same, *more]).drop(*(f"__k{i}" for i in range(len(keys))))
-
-    rows = at(rows, F.col("__part") == F.col("__p")).drop("__p")
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) + F.col("__before"))
-    last = rows.where(F.col("row") > F.col("__before") + F.col("__n") - (n - 1)).drop("__n", "__before", "__part")
-    last = last.withColumn("__next", F.explode(F.sequence("row", F.col("row") + n - 2))) if n > 1 else None
-    rows = rows.drop("__n", "__before").withColumn("__copy", F.lit(False))
-    if last is not None:
-        last = at(last, F.col("__next") == F.col("__before")).drop("__next", "__n", "__before").withColumnRenamed("__p", "__part")
-        rows = rows.unionByName(last.withColumn("__copy", F.lit(True)))
-    frame = Window.partitionBy(*keys, "__part").orderBy("row").rowsBetween(-(n - 1), 0)
-    out = rows.withColumns({"center": F.avg(value).over(frame), "__half": k * F.stddev_samp(value).over(frame) / (float(n) ** 0.5)})
-    out = out.withColumns({"upper": F.col("center") + F.col("__half"), "lower": F.col("center") - F.col("__half")})
-    out = out.withColumn("alert", (F.col(value) > F.col("upper")) | (F.col(value) < F.col("lower")))
-    return out.where(~F.col("__copy") & (F.col("row") >= n)).drop("__half", "__copy", "__part")
+
+    def told(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+        frame = Window.partitionBy(*part).orderBy("row").rowsBetween(-(n - 1), 0)
+        out = rows.withColumns({"center": F.avg(value).over(frame), "__half": k * F.stddev_samp(value).over(frame) / (float(n) ** 0.5)})
+        out = out.withColumns({"upper": F.col("center") + F.col("__half"), "lower": F.col("center") - F.col("__half")})
+        return out.withColumn("alert", (F.col(value) > F.col("upper")) | (F.col(value) < F.col("lower"))).where(F.col("row") >= n)
+
+    most = max(most, n)
+    rows, several = in_parts(df, keys, order, most)
+    small = rows.where("__part = 0").withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    small = told(small, keys).drop("__half", "__part")
+    if not several:
+        return small
+    at = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    large = before_parts(rows.where("__part > 0"), keys, {"__before": F.count(F.lit(1))})
+    large = written(large.withColumn("row", (at + F.col("__before")).cast("long")).drop("__part", "__before"), "numbered")
+    cut = F.floor((F.col("row") - 1) / most)
+    behind = F.when((F.col("row") - 1) % most >= most - (n - 1), F.array(cut, cut + 1)).otherwise(F.array(cut))
+    cuts = large.withColumn("__own", cut).withColumn("__cut", F.explode(behind))
+    return small.unionByName(told(cuts, [*keys, "__cut"]).where("__own = __cut").drop("__half", "__own", "__cut"))
 
 
 def score_category(df: DataFrame, value: str, k: int = 10, name: str = "category") -> DataFrame:

@@ -108,18 +108,29 @@ def brillouin_fit(spark, d):
     return fits.saturation(fits.brillouin_fit(made, ["t"], rules, {"j": 3.4, "c": 0.0005, "n": 1.2e22}))
 
 
-@query()
+def _solves(h: str = "h", m: str = "m"):
+    """Whether a magnetization is the model's own at it, by column expressions apart from the solver."""
+    off = F.abs(sc.model_magnetization(h, m, "d", "t", "j", "c", "n") - F.col(m))
+    return off <= 1e-8 * (1 + F.abs(m))
+
+
+@query("""WITH g AS (SELECT p_brand, 2.5 + avg(p_retailprice) % 100 / 100 AS j, cast([2, 5, 10, 15][cast(min(p_size) AS int) % 4 + 1] AS double) AS t FROM part GROUP BY p_brand)
+    SELECT p_brand, t, round(j, 6) AS j, cast(k AS int) AS k, k * 10000.0::double AS h, true AS solved, true AS between, true AS flux FROM g, (SELECT unnest(range(0, 10)) AS k)""")
 def extrapolate(spark, d):
-    params = _fields(spark, d).select("t", "d", "j", "c", "n").distinct().withColumns({"j_err": F.lit(0.05), "c_err": F.lit(1e-5), "n_err": F.lit(1e20)})
-    return fits.extrapolate(params)
+    """Curves of parameters that differ by brand: each point solves the model, lies between the curves of parameters plus and minus their errors, and has its flux density."""
+    groups = table(spark, d, "part").groupBy("p_brand").agg((2.5 + F.avg("p_retailprice") % 100 / 100).alias("j"), F.min("p_size").alias("size"))
+    params = groups.selectExpr("p_brand", "j", "cast(array(2, 5, 10, 15)[cast(size AS int) % 4] AS double) AS t", "0.3D AS d", "0.0005D AS c", "1.2e22D AS n", "0.05D AS j_err", "1e-5D AS c_err", "1e20D AS n_err")
+    out = fits.extrapolate(params)
+    inside = (F.col("m_min") <= F.col("m")) & (F.col("m") <= F.col("m_max")) & (F.abs(F.col("m_err") - F.greatest(F.col("m_max") - F.col("m"), F.col("m") - F.col("m_min"))) <= 1e-9)
+    flux = F.abs(F.col("b") - (F.col("h") + 4 * math.pi * 0.7 * F.col("m"))) <= 1e-6
+    return out.select("p_brand", "t", F.round("j", 6).alias("j"), F.round(F.col("h") / 10000).cast("int").alias("k"), F.round("h", 3).alias("h"), _solves().alias("solved"), inside.alias("between"), flux.alias("flux"))
 
 
 @query("SELECT p_partkey, true AS solved, cast(sign((p_partkey % 21 - 10) * 7000) AS int) AS direction FROM part")
 def magnetization_residual(spark, d):
     """Puts the solved magnetization into the model again: both sides agree, and it points as the field does."""
     made = fits.solve_magnetization(_fields(spark, d))
-    off = F.abs(sc.model_magnetization("h", "m", "d", "t", "j", "c", "n") - F.col("m"))
-    return made.select("p_partkey", (off <= 1e-8 * (1 + F.abs("m"))).alias("solved"), F.signum("m").cast("int").alias("direction"))
+    return made.select("p_partkey", _solves().alias("solved"), F.signum("m").cast("int").alias("direction"))
 
 
 @query(f"""SELECT cast([2, 5, 10, 15][p_partkey % 4 + 1] AS double) AS t, 3.5::double AS j, 0.0005::double AS c, 1.2::double AS n, round(1.2e22 * 4 * {sc.MU_B!r}, 3) AS m0, count(*) AS points, true AS close FROM part GROUP BY 1""")
@@ -129,10 +140,10 @@ def recovered_parameters(spark, d):
     return out.select("t", F.round("j", 4).alias("j"), F.round("c", 7).alias("c"), F.round(F.col("n") / 1e22, 4).alias("n"), F.round("m0", 3).alias("m0"), "points", (F.col("red_chi2") < 1e-6).alias("close"))
 
 
-@query("SELECT cast([2, 5, 10, 15][p_partkey % 4 + 1] AS double) AS t, 10::bigint AS points, 0.0::double AS at_zero, true AS between, 90000.0::double AS last FROM part GROUP BY 1")
+@query("SELECT cast([2, 5, 10, 15][p_partkey % 4 + 1] AS double) AS t, 10::bigint AS points, 0.0::double AS at_zero, true AS solved, true AS between, 90000.0::double AS last FROM part GROUP BY 1")
 def extrapolated_fit(spark, d):
-    """Curves of the fitted parameters: nothing at field zero, and the curve between those of parameters plus and minus their errors."""
+    """Curves of the fitted parameters: nothing at field zero, every point a solution of the model, and the curve between those of parameters plus and minus their errors."""
     found = brillouin_fit(spark, d).withColumn("d", F.lit(0.3)).withColumns({"j_err": F.lit(0.05), "c_err": F.lit(1e-5), "n_err": F.lit(1e20)})
     grid = fits.extrapolate(found)
     inside = (F.col("m_min") <= F.col("m")) & (F.col("m") <= F.col("m_max")) & (F.col("m_err") >= 0)
-    return grid.groupBy("t").agg(F.count(F.lit(1)).alias("points"), F.max(F.when(F.col("h") == 0, F.col("m"))).alias("at_zero"), F.every(inside).alias("between"), F.round(F.max("h"), 3).alias("last"))
+    return grid.groupBy("t").agg(F.count(F.lit(1)).alias("points"), F.max(F.when(F.col("h") == 0, F.col("m"))).alias("at_zero"), F.every(_solves()).alias("solved"), F.every(inside).alias("between"), F.round(F.max("h"), 3).alias("last"))

@@ -104,10 +104,10 @@ def test_control_limits_do_not_depend_on_parts(spark):
     rng = random.Random(3)
     data = [(rng.choice(("a", "a", "a", None, "b")), rng.choice((None, *range(40))), i, rng.choice((None, 1.0, rng.random()))) for i in range(300)]
     df = spark.createDataFrame([*data, ("few", 1, 300, 2.0)], "k string, t int, i int, v double")
-    want = rows(windows.control_limits(df, ["k"], ["t", "i"], "v", parts=1))
+    want = rows(windows.control_limits(df, ["k"], ["t", "i"], "v"))
     assert len(want) == sum(max(0, sum(d[0] == k for d in data) - 4) for k in ("a", None, "b"))
-    for parts in (2, 64):
-        assert rows(windows.control_limits(df, ["k"], ["t", "i"], "v", parts=parts)) == want
+    for most in (5, 33, 100):
+        assert rows(windows.control_limits(df, ["k"], ["t", "i"], "v", most=most)) == want
     assert windows.control_limits(df.limit(0), ["k"], ["t", "i"], "v").count() == 0
 
 
