@@ -24,7 +24,7 @@ PASSAGES = ((24, 3, 1), (48, 4, 2))
 #: Latent dimensions kept, drawn for finding them, and draws that a term takes part in.
 RANK, DRAWN, SHARE = 224, 288, 8
 #: Cosine from which a passage and a piece of an item are looked at, and share of the piece's weight that the passage has to hold then.
-LEAST_COSINE, LEAST_HELD = 0.5, 0.4
+LEAST_COSINE, LEAST_HELD = 0.4, 0.3
 #: Share of an item's words found in order that is a leak if the answer is there too, and that is one anyway.
 LIKELY, SURE = 0.6, 0.8
 #: Share of an item's words that have to be found among its rarest ones for a comparison without regard to vectors.
@@ -242,7 +242,7 @@ class Search:
         near = (item[last] == item[whole]) & (row[place[last]] == row[place[whole]]) & (place[last] - place[whole] < self.spans[item[whole]])
         return item[whole[near]], place[whole[near]], place[last[near]]
 
-    def leaks(self, text: pa.Array) -> list[list[dict]]:
+    def leaks(self, text: pa.Array, exact: bool = False) -> list[list[dict]]:
         of, per_row = self.items.codes(text)
         out: list[list[dict]] = [[] for _ in range(len(text))]
         if not len(of) or not len(self.queries):
@@ -300,7 +300,7 @@ class Search:
                     regions.append((r, i, start - int(self.sizes[i]), start + blocks * STEP + int(self.sizes[i])))
                     cosines[r, i] = max(cosines.get((r, i), -1.0), float(near[x]))
         word_row = np.repeat(np.arange(len(per_row)), per_row)
-        for i, a, b in zip(*(x.tolist() for x in self.rare_places(of, word_row)), strict=True):
+        for i, a, b in zip(*(x.tolist() for x in self.rare_places(of, word_row)), strict=True) if exact else ():
             span = int(self.spans[i])
             regions.append((int(word_row[a]), i, b - span + 1, a + span))
         for r, i, lo, hi in _united(regions):
@@ -332,15 +332,15 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int64()), ("n_words", pa.int64()), ("cosine", pa.float64())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, keep_text: bool = True) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, keep_text: bool = True, exact: bool = False) -> DataFrame:
     """The rows of `docs` (without the text if not `keep_text`) with `leaks` in place of a column so named: the benchmark items that the text holds, with how many words of each were found in order.
 
     A leak is a stretch of the document, one and a half times as long as the item, that starts anywhere: 80 % of the item's words are in it in order (longest common
     subsequence), or 60 % and at least half of the item's answer, its last sentence. Words are lower-cased and rid of marks at their ends.
 
-    Candidates are passages of 24 words every 8 words for short items, and of 32 every 16 for others, whose latent vector (see term_space) has a cosine of 0.5 or more with the item's
-    and that hold enough of its IDF weight; and, so that no leak is missed where the leading dimensions hold little of an item, stretches that hold
-    so many of its rarest words as any stretch with 60 % of its words has to. `cosine` is null where only the latter proposed the item.
+    Candidates are passages of 24 words every 8 words for short items, and of 32 every 16 for others, whose latent vector (see term_space) has a cosine of 0.4 or more with the item's
+    and that hold enough of its IDF weight. With `exact` also stretches that hold so many of an item's rarest words as any stretch with 60 % of its words has to, so that no leak is
+    missed where the leading dimensions hold little of an item; `cosine` is null where only these proposed the item.
 
     Only the items are sent to tasks, in blocks of at most `block_items`, each with a pass of its own. Documents are not shuffled. Null and empty
     texts and items have no leaks; repeated rows and items are told each; an empty table gives an empty one.
@@ -360,7 +360,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
         def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches, "text", 1 << 20):
                 had = batch.column("leaks").to_pylist()
-                leaks = [a + b for a, b in zip(had, search.leaks(batch.column("text")), strict=True)]
+                leaks = [a + b for a, b in zip(had, search.leaks(batch.column("text"), exact), strict=True)]
                 columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n in names}
                 yield pa.RecordBatch.from_arrays([pa.array(leaks, _LEAK) if n == "leaks" else columns[n] for n in names], names=names)
 

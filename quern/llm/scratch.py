@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,19 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is named and all runs in one process, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quern-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+from ..sources.shared import shared_dir
 
 
 class Scratch:
@@ -64,9 +51,13 @@ class Scratch:
         jvm.System.gc()
 
 
-def add_up(rows: DataFrame, key: str, blobs: dict, spread: int = 32) -> DataFrame:
-    """Sums of number arrays, kept as bytes in the columns `blobs` (with their types), by `key` (a long): rows of a task first with those of some other
-    tasks, then these sums, so that no task reads what all tasks sent."""
+#: Rows of one key that a step of add_up puts together, and its steps: enough for 16 million tasks.
+FAN_IN, LEVELS = 64, 4
+
+
+def add_up(rows: DataFrame, key: str, blobs: dict) -> DataFrame:
+    """Sums of number arrays, kept as bytes in the columns `blobs` (with their types), by `key` (a long), of which each task sends one row: those of FAN_IN neighbouring tasks first, then
+    FAN_IN of these sums, and so on, so that what one task reads does not grow with their number."""
     schema = f"{key} long, salt int, " + ", ".join(f"{c} binary" for c in blobs)
 
     def add(table: pa.Table) -> pa.Table:
@@ -75,10 +66,12 @@ def add_up(rows: DataFrame, key: str, blobs: dict, spread: int = 32) -> DataFram
             sums[c] = np.zeros(len(table[c][0].as_buffer()) // np.dtype(kind).itemsize, kind)
             for x in table[c]:
                 sums[c] += np.frombuffer(x.as_buffer(), kind)
-        return pa.Table.from_pylist([{key: table[key][0].as_py(), "salt": 0} | {c: x.tobytes() for c, x in sums.items()}], schema=pa.schema([(key, pa.int64()), ("salt", pa.int32()), *((c, pa.binary()) for c in blobs)]))
+        return pa.Table.from_pylist([{key: table[key][0].as_py(), "salt": table["salt"][0].as_py()} | {c: x.tobytes() for c, x in sums.items()}], schema=pa.schema([(key, pa.int64()), ("salt", pa.int32()), *((c, pa.binary()) for c in blobs)]))
 
-    some = rows.withColumn("salt", F.spark_partition_id() % spread).select(key, "salt", *blobs)
-    return some.groupBy(key, "salt").applyInArrow(add, schema).groupBy(key).applyInArrow(add, schema).drop("salt")
+    some = rows.withColumn("salt", F.spark_partition_id()).select(key, "salt", *blobs)
+    for level in range(LEVELS):
+        some = some.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int") if level < LEVELS - 1 else F.lit(0)).groupBy(key, "salt").applyInArrow(add, schema)
+    return some.drop("salt")
 
 
 def width(spark: SparkSession) -> int:

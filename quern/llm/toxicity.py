@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import add_up
+from .scratch import add_up, width
 from .textcut import Memo, Words, raw, steps
 
 # Letters that a mark or digit may stand for.
@@ -450,6 +450,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, most: int = 20_000) -> tu
             yield pa.RecordBatch.from_pylist([{"part": k, "texts": total[0, k : k + _PART].tobytes(), "positive": total[1, k : k + _PART].tobytes()}])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id").select("doc_id", "label", "text")
+    texts = texts.repartition(min(width(docs.sparkSession), 64))  # each task sends sums of all features: so few texts are few tasks' work
     kinds = {"texts": np.int64, "positive": np.int64}
     parts = {r["part"]: r for r in add_up(texts.mapInArrow(count, "part long, texts binary, positive binary"), "part", kinds).collect()}
     n, k = (np.concatenate([np.frombuffer(parts[p][c], np.int64) if p in parts else np.zeros(_PART, np.int64) for p in range(0, FEATURES, _PART)]) for c in ("texts", "positive"))
