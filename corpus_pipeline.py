@@ -14,32 +14,43 @@ from quern.llm.scratch import Scratch
 from quern.llm.substrings import remove_repeats
 
 
+def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that an operator's results are named as renamed, and the names to give back."""
+    back = {f"__own_{n}": n for n in names if n in docs.columns}
+    return docs.withColumnsRenamed({n: o for o, n in back.items()}), back
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows: not `und`, and with a pooled probability that is no guess."""
     model = train(docs, allowed=bucket("doc_id", 4) != 2)
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(docs.columns)
+    own, back = _apart(docs, "lang_pred", "score")
+    found = identify(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3))
+    return found.select(own.columns).withColumnsRenamed(back)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Documents without an id stay; of rows with one id one does."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Documents without an id stay; of rows with one id the one with the least hash does."""
     found = near_duplicates(docs, percent=80, words=5)
     again = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
     one = docs.join(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
-    return (one if again else one.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id IS NULL"))).select(docs.columns)
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(*docs.columns), "text")).alias("row")
+    return (one if again else one.where("doc_id IS NOT NULL").groupBy("doc_id").agg(least).select("row.*").unionByName(one.where("doc_id IS NULL").select(docs.columns))).select(docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 35 words that occur more than once. Documents of which nothing is left go."""
-    done = remove_repeats(docs, window=35)
+    own, back = _apart(docs, "n_words", "n_removed", "kept")
+    done = remove_repeats(own, window=35)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = done.where("n_words = 0 OR n_removed < n_words").withColumn("text", text)
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(own.columns).withColumnsRenamed(back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("leaks") == 0).select(docs.columns)
+    own, back = _apart(docs, "leaks")
+    found = find_leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("leaks") == 0).select(own.columns).withColumnsRenamed(back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
