@@ -29,6 +29,8 @@ LEAST_COSINE, LEAST_HELD = 0.4, 0.3
 LIKELY, SURE = 0.6, 0.8
 #: Share of an item's words that have to be found among its rarest ones for a comparison without regard to vectors.
 RARE = 0.15
+#: Rows of the sketch that are added up at once.
+CHUNK = 1_024
 #: Items that are searched for at once.
 BLOCK_ITEMS = 20_000
 
@@ -111,6 +113,7 @@ def term_space(texts: DataFrame, items: Items, seed: int = 3) -> tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, frequent, passages = np.zeros((d, drawn)), np.zeros(d, dtype=np.int64), 0
+        held = np.empty((CHUNK, drawn), np.float32)
         for batch in steps(batches, "text", 4 << 20):
             of, per_row = items.codes(batch.column("text"))
             group = _passages(per_row, LONG_SPAN)
@@ -124,10 +127,14 @@ def term_space(texts: DataFrame, items: Items, seed: int = 3) -> tuple[np.ndarra
             flat = (at[:, None] * drawn + column[term]).ravel()
             sums = np.bincount(flat, weights=(sign[term] * count[:, None]).ravel(), minlength=n * drawn).reshape(n, drawn).astype(np.float32)
             frequent += np.bincount(term, minlength=d)
-            for k in range(0, len(term), 1 << 15):
-                part = slice(k, k + (1 << 15))
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(term[part]) > 0]))
-                total[term[part][begin]] += np.add.reduceat(sums[at[part]] * count[part, None].astype(np.float32), begin, axis=0)
+            for k in range(0, len(term), CHUNK):  # rows that stay in the processor's cache until they are added up
+                part = slice(k, k + CHUNK)
+                mine, rows = term[part], held[: len(term[part])]
+                np.take(sums, at[part], axis=0, out=rows, mode="clip")
+                several = np.flatnonzero(count[part] > 1)
+                rows[several] *= count[part][several, None]
+                begin = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                total[mine[begin]] += np.add.reduceat(rows, begin, axis=0)
         for k in range(0, d, 64):
             yield pa.RecordBatch.from_pylist([{"part": k, "n": np.int64(passages).tobytes(), "df": frequent[k : k + 64].tobytes(), "sums": total[k : k + 64].tobytes()}])
 
