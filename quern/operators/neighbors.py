@@ -33,11 +33,10 @@ def _distances(rows: np.ndarray, at: np.ndarray, metric: str) -> np.ndarray:
 
 
 class Index:
-    """What every task knows of the training rows: pivots, cuts between a cell's rings, and count, least and greatest distance of each ring. At most PIVOTS x RINGS rings."""
+    """What every task knows of the training rows: pivots, and cell, count, least and greatest distance of each ring. At most PIVOTS x RINGS rings."""
 
     def __init__(self, pivots: np.ndarray, metric: str):
         self.pivots, self.metric = pivots, metric
-        self.cuts: list[list[float]] = []
         self.cell = self.count = np.zeros(0, np.int64)
         self.low = self.high = np.zeros(0)
 
@@ -78,20 +77,16 @@ def build(rows: DataFrame, metric: str, pivots: int = PIVOTS, rings: int = RINGS
 
     placed = written(rows.mapInArrow(place, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("__cell int, __r double").fields])), "cells")
     parts = max(1, min(rings, math.ceil(n / len(index.pivots) / crowd)))
-    cuts = {r["__cell"]: r["c"] for r in placed.groupBy("__cell").agg(F.percentile_approx("__r", [i / parts for i in range(1, parts)] or [1.0]).alias("c")).collect()}
-    index.cuts = [sorted(set(cuts.get(c, ()))) if parts > 1 else [] for c in range(len(index.pivots))]
-    if any(index.cuts):
-        within = F.size(F.filter(F.element_at(F.lit([c or [math.inf] for c in index.cuts]), F.col("__cell") + 1), lambda c: c < F.col("__r")))
+    if parts > 1:
+        cuts = placed.groupBy("__cell").agg(F.percentile_approx("__r", [i / parts for i in range(1, parts)]).alias("__cuts"))  # a row for each pivot
+        placed = placed.join(F.broadcast(written(cuts, "cuts")), "__cell").withColumn("__ring", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col("__r")))).drop("__cuts")
     else:
-        within = F.lit(0)
-    placed = placed.withColumn("__ring", within)
+        placed = placed.withColumn("__ring", F.lit(0))
     told = placed.groupBy("__cell", "__ring").agg(F.count(F.lit(1)).alias("n"), F.min("__r").alias("low"), F.max("__r").alias("high")).orderBy("__cell", "__ring").collect()
     index.cell, index.count = (np.array([r[c] for r in told], dtype=np.int64) for c in ("__cell", "n"))
     index.low, index.high = (np.array([r[c] for r in told], dtype=float) for c in ("low", "high"))
-    number = {(r["__cell"], r["__ring"]): i for i, r in enumerate(told)}
-    numbers = [[number.get((c, j), -1) for j in range(len(cut) + 1)] for c, cut in enumerate(index.cuts)]
-    bin_of = F.element_at(F.element_at(F.lit(numbers), F.col("__cell") + 1), F.col("__ring") + 1)
-    return placed.withColumn("__bin", bin_of.cast("int")).drop("__cell", "__ring"), index
+    numbers = rows.sparkSession.createDataFrame([(r["__cell"], r["__ring"], i) for i, r in enumerate(told)], "__cell int, __ring int, __bin int")
+    return placed.join(F.broadcast(numbers), ["__cell", "__ring"]).drop("__cell", "__ring"), index
 
 
 def _probes(query: DataFrame, index: Index, wanted: int, bounded: bool) -> DataFrame:
@@ -146,14 +141,13 @@ def _best(k: int, metric: str, keep: Sequence[str]) -> Callable[[pa.Table, pa.Ta
 
 def _compared(placed: DataFrame, probes: DataFrame, index: Index, k: int, keep: Sequence[str], crowd: int, block: int) -> DataFrame:
     """Best rows of each block for each probe. A ring is cut into blocks of about `crowd` rows and its probes into blocks of about `block`, by hash, so no group grows with the tables."""
-    sent = {r["__bin"]: r["count"] for r in probes.groupBy("__bin").count().collect()}
-    row_blocks = [max(1, math.ceil(c / (2 * crowd))) for c in index.count.tolist()]
-    ask_blocks = [max(1, math.ceil(sent.get(i, 0) / block)) for i in range(len(index.count))]
-    blocks = lambda many: F.element_at(F.lit(many), F.col("__bin") + 1)
-    rows = placed.where(F.element_at(F.lit([i in sent for i in range(len(index.count))]), F.col("__bin") + 1))
-    rows = rows.withColumns({"__tb": F.pmod(F.xxhash64("__t"), blocks(row_blocks)), "__qb": F.explode(F.sequence(F.lit(0), blocks(ask_blocks) - 1))})
-    asked = probes.withColumns({"__qb": F.pmod(F.xxhash64("__q"), blocks(ask_blocks)).cast("int"), "__tb": F.explode(F.sequence(F.lit(0).cast("long"), (blocks(row_blocks) - 1).cast("long")))})
-    rows = rows.withColumn("__tb", F.col("__tb").cast("long"))
+    sent = probes.groupBy("__bin").count().collect()  # a row for each ring at most
+    many = [(r["__bin"], math.ceil(int(index.count[r["__bin"]]) / (2 * crowd)), math.ceil(r["count"] / block)) for r in sent]
+    blocks = lambda: F.broadcast(probes.sparkSession.createDataFrame(many, "__bin int, __rows int, __asks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    rows = placed.join(blocks(), "__bin").withColumn("__tb", mine("__t", "__rows")).withColumn("__qb", every("__asks")).drop("__rows", "__asks")
+    asked = probes.join(blocks(), "__bin").withColumn("__qb", mine("__q", "__asks")).withColumn("__tb", every("__rows")).drop("__rows", "__asks")
     schema = T.StructType([T.StructField("__q", probes.schema["__q"].dataType), *(placed.schema[c] for c in ("__t", *keep)), T.StructField("__d", T.DoubleType())])
     keys = ("__bin", "__tb", "__qb")
     return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_best(k, index.metric, keep), schema)
