@@ -22,8 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has the folder deleted when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table written once in the shared folder: later steps read the same rows, and a lost executor costs a reread."""
+    """df as a table written once in the shared folder, for as long as the application runs: later steps read the same rows, and a lost executor costs a reread."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
