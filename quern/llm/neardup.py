@@ -24,6 +24,8 @@ BATCH = 16
 MISS = 1e-7
 #: Members of a bucket that are compared with each other in one place.
 CHUNK = 1024
+#: Pairs of one class that one join key holds.
+PAIRS = 8192
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -130,25 +132,42 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
-def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    known = classes.select("node", "signature")
-    return pairs.join(known.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(known.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
+def _beside(pairs: DataFrame, facts: DataFrame, value: str, scratch: Scratch) -> DataFrame:
+    """pairs (a, b), a written table, with the `value` of both nodes as xa and xb; facts have each node once.
 
-
-def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    A node of more than PAIRS pairs is several join keys, one for each PAIRS of them, and only such a node's value is sent several times.
+    """
+    sides = []
+    for own, other in (("a", "b"), ("b", "a")):
+        keys, at = [own], facts.select(F.col("node").alias(own), F.col(value).alias(f"x{own}"))
+        counts = pairs.select("a", "b").groupBy(own).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PAIRS)
+        many = scratch.table(counts.select(own, F.ceil(F.col("m") / PAIRS).cast("int").alias("salts")), "many")
+        if not many.isEmpty():
+            salt, salts = f"salt_{own}", F.coalesce("salts", F.lit(1))
+            pairs = salted_join(pairs, many, [own], [other]).withColumn(salt, F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+            at = at.join(many, own, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+            keys.append(salt)
+        sides.append((at, keys))
+    for at, keys in sides:
+        pairs = pairs.join(at, keys)
+    return pairs.select("a", "b", "xa", "xb")
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs whose signatures, compared batch by batch, leave a chance that they reach the threshold."""
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 8192):
                 part = batch.slice(k, 8192)
-                sa, sb = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(part.num_rows, -1) for c in ("sa", "sb"))
+                sa, sb = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(part.num_rows, -1) for c in ("xa", "xb"))
                 yield part.select(["a", "b"]).filter(pa.array(prune(sa, sb, least) >= 0))
 
-    return _with_signatures(pairs, classes).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _beside(pairs, classes, "signature", scratch).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +179,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "xb"}), "b")
-    return joined.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets, "shingles", scratch).mapInArrow(run, "a long, b long")
 
 
 def _full_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -194,57 +212,104 @@ def _shared(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
 
 
-def _links_across(members: DataFrame, percent: int, wide: bool) -> DataFrame:
-    """Links between members of a bucket that are in different components: enough of them to join the components that links join, no more.
+def _places(members: DataFrame) -> DataFrame:
+    """Members (key, n, node, comp) of buckets at each place (key, lo, hi) where they are compared, and i, their own chunk.
 
-    members: key, n (members of the bucket), node, comp, signature, shingles. A pair is pruned by the posterior, then its sets decide; once two components of a bucket are
-    joined their other pairs are left out, so a bucket gives fewer links than it has members. Sets are cut to 4 bytes a shingle unless `wide`, which can only
-    add links that full sets then refuse. A bucket of more than CHUNK members is cut into chunks, each compared with each other one in a place of
-    its own, so that no task gets a whole large bucket.
+    A bucket of more than CHUNK members is cut into chunks; each two of these are a place, and so is each with itself, so that no task gets a whole large bucket.
     """
-    least = least_matches(percent)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     rows = members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "comp", "signature", "shingles", F.lit(0).alias("lost") if wide else F.col("lost"))
-    parts = max(1, (members.select(F.sum(chunks).cast("long")).first()[0] or 0) // 1000)  # rows are as many as members in chunks
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts)))
-    kind = "<u8" if wide else "<u4"
+    return rows.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("chunks", "j")
+
+
+def _by_place(rows: DataFrame, n_rows: int, run, schema: str) -> DataFrame:
+    """`run` over tables of whole places, about 1,000 rows and one place more in each."""
+    part = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(max(1, n_rows // 1000)))
+    return rows.withColumn("part", part).groupBy("part").applyInArrow(run, schema)
+
+
+def _opened(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray, int]]]:
+    """The table in the order of its places and nodes, its signatures, and for each place its bounds, the rows to compare with which others, and the bucket's band."""
+    table = table.take(pa.array(np.lexsort(tuple(table[c].to_numpy() for c in ("node", "hi", "lo", "key")))))
+    place = np.column_stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
+    sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, -1)
+    i = table["i"].to_numpy()
+    edges = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
+    out = []
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(place)], strict=True):
+        lo, hi = place[a, 1:]
+        some = np.arange(a, b)
+        own, others = (some, some) if lo == hi else (some[i[a:b] == lo], some[i[a:b] == hi])
+        bands = sig[a:b].reshape(b - a, BANDS, ROWS)
+        out.append((a, b, own, others, int((bands == bands[0]).all(axis=(0, 2)).argmax())))
+    return table, sig, out
+
+
+def _alike(sig: np.ndarray, x: int, others: np.ndarray, least: np.ndarray, band: int) -> np.ndarray:
+    """Those of `others` that are not pruned against x and that meet x in no band before this one, most equal values first."""
+    m = prune(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], least)
+    hit = np.flatnonzero(m >= 0)
+    same = (sig[others[hit]] == sig[x]).reshape(len(hit), BANDS, ROWS).all(axis=2)
+    hit = hit[same.argmax(axis=1) == band]  # a pair of several buckets is compared in the first
+    return others[hit[np.argsort(-m[hit], kind="stable")]]
+
+
+def _close(places: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """Members that have at a place another one, of another component, that signatures do not rule out: whose sets may decide there.
+
+    places: as of _places, with signature. Only signatures are sent here, so unlike members of a bucket never have their sets sent. A member known to have a
+    partner is compared only with those not known to have one, so that alike members take few comparisons.
+    """
+    least = least_matches(percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        table, sig, opened = _opened(table)
+        comp, close = table["comp"].to_numpy(), np.zeros(table.num_rows, bool)
+        for a, _, own, others, band in opened:
+            both = own is others
+            for x in own.tolist():
+                with_ = others[x - a + 1 :] if both else others
+                with_ = with_[(comp[with_] != comp[x]) & ~(close[with_] & close[x])]
+                if len(with_):
+                    hit = _alike(sig, x, with_, least, band)
+                    close[hit] = True
+                    close[x] |= len(hit) > 0
+        return table.select(["key", "lo", "hi", "i", "node", "comp"]).filter(pa.array(close))
+
+    return _by_place(places, n_rows, run, "key long, lo int, hi int, i int, node long, comp long")
+
+
+def _links_across(places: DataFrame, n_rows: int, percent: int, wide: bool) -> DataFrame:
+    """Links between members of a bucket that are in different components: enough of them to join the components that links join, no more.
+
+    places: as _close gives, with signature, shingles, lost. A pair is pruned by the posterior, then its sets decide; once two components of a bucket are
+    joined their other pairs are left out, so a bucket gives fewer links than it has members. Sets are cut to 4 bytes a shingle unless `wide`, which can only
+    add links that full sets then refuse.
+    """
+    least, kind = least_matches(percent), "<u8" if wide else "<u4"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.lexsort((table["node"].to_numpy(), table["hi"].to_numpy(), table["lo"].to_numpy(), table["key"].to_numpy()))))
-        place = np.column_stack([table[c].to_numpy() for c in ("key", "lo", "hi")])
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, -1)
-        node, comp, i, lost = (table[c].to_numpy() for c in ("node", "comp", "i", "lost"))
+        table, sig, opened = _opened(table)
+        node, comp, lost = (table[c].to_numpy() for c in ("node", "comp", "lost"))
         sets = [np.frombuffer(x.as_buffer(), kind) for x in table["shingles"]]
-        edges = np.flatnonzero(np.any(place[1:] != place[:-1], axis=1)) + 1
         found: list[tuple[int, int]] = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(node)], strict=True):
-            lo, hi = place[a, 1:]
-            some = np.arange(a, b)
-            own, others = (some, some) if lo == hi else (some[i[a:b] == lo], some[i[a:b] == hi])
-            group = comp[a:b].copy()  # components as far as the links found here join them
-            bands = sig[a:b].reshape(b - a, BANDS, ROWS)
-            here = int((bands == bands[0]).all(axis=(0, 2)).argmax())  # the bucket's band
+        for a, b, own, others, band in opened:
+            group, both = comp[a:b].copy(), own is others  # components as far as the links found here join them
             for x in own.tolist():
-                with_ = others[(group[others - a] != group[x - a]) & ((others > x) | (lo != hi))]
-                if not len(with_):
-                    continue
-                m = prune(np.broadcast_to(sig[x], (len(with_), sig.shape[1])), sig[with_], least)
-                hit = np.flatnonzero(m >= 0)
-                hit = hit[(bands[x - a] == bands[with_[hit] - a]).all(axis=2).argmax(axis=1) == here]  # a pair of several buckets is compared in the first
-                for k in hit[np.argsort(-m[hit], kind="stable")].tolist():
-                    y = int(with_[k])
+                with_ = others[x - a + 1 :] if both else others
+                with_ = with_[group[with_ - a] != group[x - a]]
+                for y in _alike(sig, x, with_, least, band).tolist() if len(with_) else ():
                     if group[y - a] == group[x - a]:
                         continue
-                    both = _shared(sets[x], sets[y]) + int(min(lost[x], lost[y]))  # at least the shared values of the full sets
-                    if 100 * both >= percent * (len(sets[x]) + int(lost[x]) + len(sets[y]) + int(lost[y]) - both):
+                    shared = _shared(sets[x], sets[y]) + int(min(lost[x], lost[y]))  # at least the shared values of the full sets
+                    if 100 * shared >= percent * (len(sets[x]) + int(lost[x]) + len(sets[y]) + int(lost[y]) - shared):
                         found.append((min(node[x], node[y]), max(node[x], node[y])))
                         group[group == group[y - a]] = group[x - a]
         pairs = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+    return _by_place(places, n_rows, run, "a long, b long").distinct()
 
 
 def _narrow(sets: DataFrame) -> DataFrame:
@@ -269,8 +334,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
        with partial maxima), so copies are never paired.
     2. Classes meet in 32 buckets each, by bands of 5 values; each member is paired with its bucket's first. Signatures are compared 16 values at
        a time and a pair is pruned once the posterior chance of reaching the threshold is under 1e-7; full sets decide on the others.
-    3. In buckets whose members are in several components by then, pairs across components are pruned and compared set by set, in chunks of 1,024 members, until every
-       link that joins components is found. Nothing is capped.
+    3. In buckets whose members are in several components by then, signatures of pairs across components are compared, in chunks of 1,024 members; the sets of
+       members that have a partner left, and no others, are sent where that is, until every link that joins components is found. Nothing is capped.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are in one class. A null id is nobody's component_id unless all of
     a component's ids are null, and is not kept. Ties do not matter: sets decide. An empty table gives an empty one.
@@ -285,10 +350,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
     buckets = scratch.table(bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = scratch.table(salted_join(bands, buckets, ["key"], ["node"], "inner"), "members")
     scratch.drop(bands, buckets)
-    tried = scratch.table(_pruned(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), classes, percent), "open")
+    pairs = scratch.table(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    tried = scratch.table(_pruned(pairs, classes, percent, scratch), "open")
+    scratch.drop(pairs)
     sets_of = lambda nodes: _full_sets(nodes.join(classes.select("node", "doc"), "node"), rows, words)
     sets = scratch.table(sets_of(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()), "sets")
-    links = scratch.table(_verified(tried, sets, percent), "links")
+    links = scratch.table(_verified(tried, sets, percent, scratch), "links")
     scratch.drop(sets)
     root = components(links, scratch)
     many, sets = members.where("n > 2").select("key", "n", "node"), None
@@ -298,16 +365,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
         mixed = scratch.table(salted_join(placed, across, ["key"], ["node"], "inner"), "mixed")
         if mixed.isEmpty():
             break
+        size = mixed.agg(F.sum(F.ceil(F.col("n") / CHUNK)).cast("long")).first()[0]
+        prints = classes.select("node", "signature")
+        close = scratch.table(_close(_places(mixed.join(prints, "node")), size, percent), "close")
+        if close.isEmpty():
+            break
         if sets is None:
-            sets = scratch.table(sets_of(mixed.select("node").distinct()), "sets")
-        told = mixed.join(classes.select("node", "signature"), "node").join(sets if wide else _narrow(sets), "node")
-        found = scratch.table(_links_across(told, percent, wide), "across")
-        sure = scratch.table(_verified(found, sets, percent), "links")
+            sets = scratch.table(sets_of(close.select("node").distinct()), "sets")
+        told = close.join(prints, "node").join(sets.withColumn("lost", F.lit(0)) if wide else _narrow(sets), "node")
+        found = scratch.table(_links_across(told, close.count(), percent, wide), "across")
+        sure = scratch.table(_verified(found, sets, percent, scratch), "links")
         refused = found.count() - sure.count()
         if not sure.isEmpty():
             links = links.unionByName(sure)
             root = components(links, scratch)
-        del told, mixed, across, placed
+        del told, mixed, across, placed, close, found, sure
         if not refused:
             break
     if sets is not None:

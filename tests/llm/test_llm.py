@@ -289,7 +289,37 @@ def test_links_across_with_colliding_short_codes(spark):
     sets = {n: np.array(sorted([*shared, *(k << 32 for k in range(100 * n, 100 * n + 10))]), "<u8").tobytes() for n in (1, 2)}  # 80 of 100
     table = neardup._narrow(spark.createDataFrame(list(sets.items()), "node long, shingles binary"))
     told = table.withColumns({"key": F.lit(7).cast("long"), "n": F.lit(2).cast("long"), "comp": F.col("node"), "signature": F.lit(bytearray(4 * neardup.BANDS * neardup.ROWS))})
-    assert [tuple(r) for r in neardup._links_across(told, 80, False).collect()] == [(1, 2)]
+    assert [tuple(r) for r in neardup._links_across(neardup._places(told), 2, 80, False).collect()] == [(1, 2)]
+
+
+def test_unlike_members_of_a_bucket_send_no_sets(spark):
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 1 << 32, (5000, neardup.BANDS * neardup.ROWS), dtype=np.uint64).astype("<u4")
+    sig[:, 5:10] = sig[0, 5:10]  # one bucket, of band 1
+    sig[4000:4003, 5:] = sig[3000, 5:]  # alike, not in band 0; two of them in one component already
+    sig[77] = sig[78]
+    sig[77, 20:] = sig[79, 20:]  # meets one member in more bands than another
+    comp = {4001: 4000}
+    rows = [(7, 5000, n, comp.get(n, n), bytearray(s.tobytes())) for n, s in enumerate(sig)]
+    members = spark.createDataFrame(rows, "key long, n long, node long, comp long, signature binary").repartition(4)
+    places = neardup._places(members)
+    assert places.groupBy("key", "lo", "hi").count().agg(F.max("count")).first()[0] < 3 * neardup.CHUNK
+    close = neardup._close(places, 25_000, 80)
+    assert {r.node for r in close.select("node").distinct().collect()} == {3000, 4000, 4001, 4002, 77, 79}
+    assert close.count() <= 6 * 5  # a member goes to as many places as there are chunks
+
+
+def test_pairs_of_hot_nodes_are_dealt_to_several_keys(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 3)
+    pairs = [(1, k) for k in range(2, 40)] + [(k, 50) for k in range(2, 12)] + [(60, 61)]
+    facts = spark.createDataFrame([(k, str(k)) for k in range(70)], "node long, value string")
+    table = spark.createDataFrame(pairs, "a long, b long")
+    scratch = Scratch(spark, "test")
+    got = neardup._beside(scratch.table(table, "pairs"), facts, "value", scratch)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, str(a), str(b)) for a, b in pairs)
+    monkeypatch.setattr(neardup, "PAIRS", 1000)
+    got = neardup._beside(scratch.table(table, "pairs"), facts, "value", scratch)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, str(a), str(b)) for a, b in pairs)
 
 
 @pytest.mark.parametrize("words", [2, 5])
