@@ -15,6 +15,8 @@ from .textcut import raw, steps
 
 #: Bytes that are labelled in one go, and bytes of the text on both sides of them that the network reads before it gets there.
 WINDOW, MARGIN = 128, 16
+#: Bytes of a stretch that the network is fitted to; no more than both margins.
+STRETCH = 32
 #: Windows that are read at once.
 BATCH = 1024
 #: Byte that stands for what is before and after a text.
@@ -112,19 +114,15 @@ class ByteGRU:
             grad[f"{s}x"] = onehot.T @ dx.reshape(-1, 3 * width)
         return loss, grad
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = 300, batch: int = 192, length: int = 32, rate: float = 0.02, seed: int = 11) -> ByteGRU:
-        """Adam over stretches of `length` bytes from anywhere in the texts, their ends with what is outside too: of a class drawn at random one of its texts, of that one a place."""
+    def fit(self, stretches: np.ndarray, labels: np.ndarray, rounds: int = 300, batch: int = 192, rate: float = 0.02, seed: int = 11) -> ByteGRU:
+        """Adam over stretches of bytes, a row each: of a class drawn at random one of its stretches."""
         rng = np.random.default_rng(seed)
-        flat = np.frombuffer(b"".join(bytes([OUTSIDE]) * MARGIN + t + bytes([OUTSIDE]) * (MARGIN + length) for t in texts), np.uint8)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64) + 2 * MARGIN
-        begin = np.cumsum(sizes + length) - (sizes + length)
-        of = [np.flatnonzero((labels == c) & (sizes > 2 * MARGIN)) for c in range(len(self.classes))]
+        of = [np.flatnonzero(labels == c) for c in range(len(self.classes))]
         of = [x for x in of if len(x)]
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for step in range(1, rounds + 1) if of else ():
-            text = np.array([of[c][int(u * len(of[c]))] for c, u in zip(rng.integers(0, len(of), batch).tolist(), rng.random(batch).tolist(), strict=True)])
-            place = (rng.random(batch) * np.maximum(1, sizes[text] - length + 1)).astype(np.int64)
-            _, grad = self.gradients(flat[(begin[text] + place)[:, None] + np.arange(length)], labels[text])
+            some = np.array([of[c][int(u * len(of[c]))] for c, u in zip(rng.integers(0, len(of), batch).tolist(), rng.random(batch).tolist(), strict=True)])
+            _, grad = self.gradients(stretches[some], labels[some])
             slow = rate * (1 - 0.9 * step / rounds)
             for k, g in grad.items():
                 m[k] += 0.1 * (g - m[k])
@@ -155,11 +153,28 @@ class ByteGRU:
         return out
 
 
-def train(docs: DataFrame, allowed, per_class: int = 300, hidden: int = 16) -> ByteGRU | None:
+def stretches(picked: DataFrame, each: int) -> DataFrame:
+    """`each` stretches of STRETCH bytes, one after another, from anywhere in each whole text (text, key, lang), their ends with what is outside too. The key decides where they begin;
+    empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            data, offsets = raw(batch.column("text"))
+            drawn = []
+            for a, b, key in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("key").to_pylist(), strict=True):
+                at = a - MARGIN + np.random.default_rng(key & (1 << 64) - 1).integers(0, b - a + 2 * MARGIN - STRETCH + 1, each)[:, None] + np.arange(STRETCH)
+                inside = (at >= a) & (at < b)
+                drawn.append(np.where(inside, data[np.clip(at, a, b - 1)], np.uint8(OUTSIDE)).tobytes() if b > a else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(drawn, pa.binary())], names=["key", "lang", "drawn"])
+
+    return picked.select("key", "lang", "text").mapInArrow(run, "key long, lang string, drawn binary")
+
+
+def train(docs: DataFrame, allowed, per_class: int = 300, hidden: int = 16, most: int = 200_000) -> ByteGRU | None:
     """Fits the network to rows of `docs` that `allowed` (a condition) admits and whose lang is not null.
 
-    The fit uses a bounded sample of rows: about `per_class` documents of each language, by a hash of the id; stretches are drawn from their whole texts.
-    None if there are no such rows.
+    The fit uses a bounded sample of rows: about `per_class` documents of each language, by a hash of the id. Tasks draw up to 64 stretches of 32 bytes from each of these whole texts, and only these
+    are collected: about `most` of them, or one a document where there are more languages than that allows. None if there are no such rows.
     """
     known = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -169,9 +184,9 @@ def train(docs: DataFrame, allowed, per_class: int = 300, hidden: int = 16) -> B
     share = F.create_map(*(x for c in classes for x in (F.lit(c), F.lit(per_class / counts[c]))))
     fraction = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     picked = known.where(fraction < F.try_element_at(share, F.col("lang"))).select("lang", "text", F.xxhash64("doc_id").alias("key"))
-    rows = sorted(picked.collect(), key=lambda r: (r["key"], r["lang"], r["text"]))
-    labels = np.array([classes.index(r["lang"]) for r in rows], dtype=np.int64)
-    return ByteGRU(classes, hidden).fit([r["text"].encode() for r in rows], labels)
+    rows = sorted(tuple(r) for r in stretches(picked, min(64, max(1, most // (per_class * len(classes))))).collect())
+    labels = np.array([classes.index(lang) for _, lang, x in rows for _ in range(len(x) // STRETCH)], dtype=np.int64)
+    return ByteGRU(classes, hidden).fit(np.frombuffer(b"".join(x for _, _, x in rows), np.uint8).reshape(-1, STRETCH), labels)
 
 
 def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:

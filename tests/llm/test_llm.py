@@ -518,6 +518,19 @@ def test_damaged_archives_fail(spark):
 # 10: language
 
 
+def test_stretches_are_drawn_from_whole_texts(spark):
+    texts = ["", "a", "bc" * 9, "".join(chr(200 + k % 300) for k in range(5000))]
+    picked = spark.createDataFrame([(k - 2, "x", t) for k, t in enumerate(texts)], "key long, lang string, text string").repartition(3)
+    got = {r.key + 2: bytes(r.drawn) for r in langid.stretches(picked, 400).collect()}
+    again = {r.key + 2: bytes(r.drawn) for r in langid.stretches(picked.coalesce(1), 400).collect()}
+    assert got == again and [len(got[k]) for k in range(4)] == [0] + [400 * langid.STRETCH] * 3
+    for k, t in enumerate(texts[1:], 1):
+        whole = bytes(langid.MARGIN) + t.encode() + bytes(langid.MARGIN)
+        places = [whole.find(got[k][i : i + langid.STRETCH]) for i in range(0, len(got[k]), langid.STRETCH)]
+        assert min(places) >= 0 and (k < 3 or max(places) > 0.9 * len(whole))
+    assert langid.stretches(picked.limit(0), 4).count() == 0
+
+
 def test_gradients_are_right():
     net = langid.ByteGRU(["a", "b", "c"], hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
