@@ -219,8 +219,13 @@ def _places(members: DataFrame) -> DataFrame:
     """
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("chunks", "j")
+    return _dealt(members.withColumn("chunks", chunks).withColumn("i", mine).withColumn("js", F.sequence(F.lit(0), F.col("chunks") - 1)).drop("chunks"))
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of chunk i at a place (key, lo, hi) for each of their `js`, the chunks they are compared with."""
+    rows = members.withColumn("j", F.explode("js"))
+    return rows.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j")).drop("js", "j")
 
 
 def _by_place(rows: DataFrame, n_rows: int, run, schema: str) -> DataFrame:
@@ -256,7 +261,7 @@ def _alike(sig: np.ndarray, x: int, others: np.ndarray, least: np.ndarray, band:
 
 
 def _close(places: DataFrame, n_rows: int, percent: int) -> DataFrame:
-    """Members that have at a place another one, of another component, that signatures do not rule out: whose sets may decide there.
+    """Members (key, node, comp, i) that have at a place another one, of another component, that signatures do not rule out, and js, the chunks where: there sets may decide.
 
     places: as of _places, with signature. Only signatures are sent here, so unlike members of a bucket never have their sets sent. A member known to have a
     partner is compared only with those not known to have one, so that alike members take few comparisons.
@@ -277,13 +282,15 @@ def _close(places: DataFrame, n_rows: int, percent: int) -> DataFrame:
                     close[x] |= len(hit) > 0
         return table.select(["key", "lo", "hi", "i", "node", "comp"]).filter(pa.array(close))
 
-    return _by_place(places, n_rows, run, "key long, lo int, hi int, i int, node long, comp long")
+    found = _by_place(places, n_rows, run, "key long, lo int, hi int, i int, node long, comp long")
+    other = F.when(F.col("i") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    return found.groupBy("key", "node").agg(F.min("comp").alias("comp"), F.min("i").alias("i"), F.collect_list(other).alias("js"))
 
 
 def _links_across(places: DataFrame, n_rows: int, percent: int, wide: bool) -> DataFrame:
     """Links between members of a bucket that are in different components: enough of them to join the components that links join, no more.
 
-    places: as _close gives, with signature, shingles, lost. A pair is pruned by the posterior, then its sets decide; once two components of a bucket are
+    places: as of _dealt, with signature, shingles, lost. A pair is pruned by the posterior, then its sets decide; once two components of a bucket are
     joined their other pairs are left out, so a bucket gives fewer links than it has members. Sets are cut to 4 bytes a shingle unless `wide`, which can only
     add links that full sets then refuse.
     """
@@ -373,7 +380,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, id_col:
         if sets is None:
             sets = scratch.table(sets_of(close.select("node").distinct()), "sets")
         told = close.join(prints, "node").join(sets.withColumn("lost", F.lit(0)) if wide else _narrow(sets), "node")
-        found = scratch.table(_links_across(told, close.count(), percent, wide), "across")
+        n_close = close.agg(F.sum(F.size("js")).cast("long")).first()[0]
+        found = scratch.table(_links_across(_dealt(told), n_close, percent, wide), "across")
         sure = scratch.table(_verified(found, sets, percent, scratch), "links")
         refused = found.count() - sure.count()
         if not sure.isEmpty():
