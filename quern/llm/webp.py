@@ -643,8 +643,6 @@ def _choose(samples: np.ndarray, sizes: np.ndarray, begin: np.ndarray, of: np.nd
     kind = costs.argmin(axis=0)
     coded = [planes[k][b : b + n] for k, b, n in zip(kind.tolist(), begin.tolist(), sizes.tolist(), strict=True)]
     heads: list[list[tuple[int, int]]] = [[(1, 1), (SUBTRACT_GREEN, 2)] for _ in range(images)]
-    for i in np.flatnonzero((kind == BY_LEFT) | (kind == BY_ABOVE)).tolist():
-        heads[i] += [(1, 1), (PREDICT, 2), (7, 3), (0, 1), *_ONLY(int(kind[i])), *_ONLY(0), *_ONLY(0), *_ONLY(255), *_ONLY(0)]  # tiles of 512: one in each 512 rows
     few = (counts[PLAIN] > 0).sum(axis=1) < _PALETTE_FROM
     for i in np.flatnonzero(few).tolist():
         mine = samples[begin[i] : begin[i] + sizes[i]]
@@ -660,6 +658,9 @@ def _choose(samples: np.ndarray, sizes: np.ndarray, begin: np.ndarray, of: np.nd
         if cost < costs[:, i].min():
             kind[i], coded[i] = BY_PALETTE, green
             heads[i] += tokens
+    # after the palettes, which take the place of a predictor
+    for i in np.flatnonzero((kind == BY_LEFT) | (kind == BY_ABOVE)).tolist():
+        heads[i] += [(1, 1), (PREDICT, 2), (7, 3), (0, 1), *_ONLY(int(kind[i])), *_ONLY(0), *_ONLY(0), *_ONLY(255), *_ONLY(0)]  # tiles of 512: one in each 512 rows
     return kind, coded, heads
 
 

@@ -203,6 +203,26 @@ def test_media_round_trip(spark, odd):
     assert media.read_pixels(stored.where("doc_id = 6")).first().width == 64
 
 
+def test_media_of_long_runs(spark, tmp_path):
+    """Strips of few letters in long runs: a predictor beats plain samples and a packed palette beats the predictor, whose place it takes."""
+    rng = random.Random(7)
+    runs = ["".join(rng.choice("abcdefgh"[: 2 + k % 7]) * rng.randint(1, 900) for _ in range(2 + k % 24)) for k in range(60)]
+    texts = [None, "", "a" * 63, "a" * 64, "a" * 65, "b" * 8191, "b" * 8193, "a" * 257 + "b" * 711 + "c" * 1754 + "d" * 30, "\0" * 70, "é" * 5000 + "\n" * 5000, *runs]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    want = []
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    got = queries.QUERIES["op5_media"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()) == want
+    strips = [s for f in media.encode_payloads([t.encode() + bytes(-len(t) % 64) for t in runs]) for s in webp.streams_of(f)]
+    assert any(t[0] == webp.INDEX for s in strips for t in webp.read_head(webp.Bits(s))[3])
+    for s in strips:
+        assert [t[0] for t in webp.read_head(webp.Bits(s))[3]] in ([webp.SUBTRACT_GREEN], [webp.SUBTRACT_GREEN, webp.PREDICT], [webp.SUBTRACT_GREEN, webp.INDEX])
+
+
 def test_pixels_of_all_strips(spark):
     text = "".join(chr(97 + k * k % 23) for k in range(20_000))
     r = media.read_pixels(media.store_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
