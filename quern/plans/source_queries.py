@@ -81,11 +81,19 @@ def lookup(spark, d):
     return io.read_lookup(spark, path)
 
 
+def _rounded(c: str):
+    """A number rounded to a whole one, as text as the SQL has it: with the sign of a negative zero, without an exponent below 1e16; nothing where it is missing."""
+    size, sign = F.round(F.abs(c)), F.when(F.col(c).cast("string").startswith("-"), "-").otherwise("")
+    plain = F.when(size < 1e16, size.cast("decimal(17,1)").cast("string"))
+    other = F.when(F.isnan(size), "nan").when(size == float("inf"), "inf").otherwise(F.regexp_replace(size.cast("string"), r"(\.0)?E", "e+"))
+    return F.when(F.col(c).isNull(), "").otherwise(F.concat(sign, F.coalesce(plain, other)))
+
+
 @query("""SELECT s_name AS "table", concat('nation ', s_nationkey) AS universe, concat('balance ', round(s_acctbal)) AS description FROM supplier""")
 def table_metadata(spark, d):
     """Survey metadata: files that are arrays of at most 1,000 objects."""
     path = _folder(spark, "metadata")
-    one = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("nation "), "s_nationkey").alias("universe"), F.concat(F.lit("balance "), F.round("s_acctbal")).alias("description"), F.lit("v.html").alias("variables"))
+    one = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("nation "), F.coalesce(F.col("s_nationkey").cast("string"), F.lit(""))).alias("universe"), F.concat(F.lit("balance "), _rounded("s_acctbal")).alias("description"), F.lit("v.html").alias("variables"))
     arrays = table(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000).alias("part")).agg(F.to_json(F.collect_list(one)).alias("value"))
     arrays.repartition("part").write.partitionBy("part").text(path)
     return io.read_table_metadata(spark, path).select("table", "universe", "description")
