@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
 from quern.operators import aggs, calendar_dim, clean, components, fits, joins, ml, neighbors, ordering, spatial, svm, windows
-from quern.plans import fit_queries
+from quern.plans import fit_queries, spatial_queries
+from quern.plans.tables import table
 from quern.sources import io
 
 
@@ -389,6 +390,48 @@ def test_crowded_cells_are_several_tasks(spark):
     assert both.count() == both.distinct().count() == 150_000
 
 
+def shuffled_rows(spark, job):
+    """Rows that a job's stages write to shuffles."""
+    jvm = spark.sparkContext._gateway.jvm
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    job()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_radius_totals_pair_places(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-4, 5, (200, 2)) * 2e4, rng.integers(-4, 5, (300, 2)) * 2e4 + (3e3, 4e3)  # several rows of a place on both sides
+    b[0] = a[0] + (3e4, 4e4)  # exactly at the radius
+    left = spark.createDataFrame([(i % 190 or None, float(x), float(y)) for i, (x, y) in enumerate(a)] + [(500, None, 1.0), (501, 9e6, 0.0)], "p int, x_m double, y_m double")
+    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)] + [(500, None, 1.0)], "f int, x_m double, y_m double")
+    want = {}
+    for i, at in enumerate(a):
+        far = np.sqrt(((b - at) ** 2).sum(axis=1))
+        n, total = want.get(i % 190 or None, (0, 0.0))
+        if (far <= 5e4).any():
+            want[i % 190 or None] = (n + int((far <= 5e4).sum()), total + float(far[far <= 5e4].sum()))
+    got = {r.p: (r.n, r.distance_m) for r in spatial.radius_totals(left, right, 5e4, "p").collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and math.isclose(got[k][1], d, rel_tol=1e-12) for k, (n, d) in want.items())
+    assert spatial.radius_totals(left, right.limit(0), 5e4, "p").count() == 0
+
+
+def test_crowded_places_of_a_radius_are_not_repeated(spark, tmp_path):
+    """20,000 properties of one place and 20,000 fires of another in its reach: the query's shuffles hold rows of either side a few times, not once for every part of the other side."""
+    spark.range(20_000).select((F.col("id") * 20_000 + 2243).alias("c_custkey"), F.lit(1).alias("c_nationkey")).write.parquet(f"file://{tmp_path}/customer.parquet")
+    orders = spark.range(20_000).select((F.col("id") * 60_000 + 20_002).alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit("2024-01-01").cast("timestamp").alias("o_orderdate"))
+    orders.write.parquet(f"file://{tmp_path}/orders.parquet")
+    n = []
+    assert shuffled_rows(spark, lambda: n.extend(spatial_queries.radius_join(spark, f"file://{tmp_path}").select("n", "km").distinct().collect())) < 100_000
+    fires = table(spark, f"file://{tmp_path}", "fires").where("type = 0 AND confidence = 'h'").count()
+    assert len(n) == 1 and n[0].n == fires > 10_000
+
+
 def test_nearest_is_brute_force(spark):
     rng = np.random.default_rng(8)
     a = rng.uniform(-2e5, 2e5, (150, 2))
