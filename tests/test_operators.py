@@ -473,6 +473,35 @@ def test_holes_and_islands(spark):
     assert cells.count() < 800 and runs.count() < 400
 
 
+def test_places_and_shapes_are_tested_once(spark, monkeypatch):
+    """Rows of a place and polygons of equal rings: each pair of rows is in the result, but cells and shuffles do not grow with the rows that are equal."""
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+    shapes = [[square(0.3, 0.2, 30.0 + 10 * k), square(0.3, 0.2, 12.0)] for k in range(5)]
+    at = [(13.7 * k - 61, 9.1 * k - 40) for k in range(10)]
+    inside = {(i, k) for i, (x, y) in enumerate(at) for k in range(5) if 12 < max(abs(x - 0.3), abs(y - 0.2)) < 30 + 10 * k}
+    kind = "poly_id int, rings array<array<struct<x: double, y: double>>>"
+    poly = spark.createDataFrame([(k, rings) for k, rings in enumerate(shapes)], kind)
+    pts = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(at)], "at int, x_m double, y_m double")
+    many = spark.range(1000).crossJoin(poly).select((F.col("id") * 5 + F.col("poly_id")).alias("poly_id"), "rings")
+    rows_of = spark.range(200).crossJoin(pts).select((F.col("id") * 10 + F.col("at")).alias("p"), F.create_map(F.lit("k"), F.lit(1)).alias("m"), "x_m", "y_m")
+    got = []
+    query = lambda: got.extend(spatial.points_in_polygons(rows_of, many, 5.0).groupBy(F.expr("p % 10").alias("i"), F.expr("poly_id % 5").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p", "poly_id").alias("d")).collect())
+    monkeypatch.setattr(spatial, "GATHERED", 100)  # places are several parts, and so are shapes
+    assert shuffled_rows(spark, lambda: [c.count() for c in spatial.polygon_cover(many, 5.0)]) < 60_000
+    query()
+    assert {(r.i, r.k) for r in got} == inside and all(r.n == r.d == 200_000 for r in got)
+    assert spatial.points_in_polygons(pts.drop("at"), poly, 5.0).columns == ["x_m", "y_m", "poly_id"]
+    assert rows(spatial.points_in_polygons(pts.drop("at"), poly, 5.0)) == sorted(((*at[i], k) for i, k in inside), key=repr)
+
+
+def test_polygons_without_an_id_and_equal_rows(spark):
+    pts = spark.createDataFrame([(1, 0.5, 0.5)] * 3 + [(None, 0.5, 0.5), (2, 25.0, 25.0), (3, 90.0, 0.0)], "p int, x_m double, y_m double")
+    ring = [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)]
+    poly = spark.createDataFrame([(None, ring), (7, ring), (7, ring), (8, None), (None, [])], "poly_id int, ring array<struct<x: double, y: double>>")
+    for cell in (5.0, 500.0):  # inside a run, and in cells with an outline
+        assert rows(spatial.points_in_polygons(pts, poly, cell).select("p", "poly_id")) == sorted(((p, k) for p in (1, 1, 1, None, 2) for k in (None, 7, 7)), key=repr)
+
+
 def test_near_equal_points_are_brute_force(spark):
     rng = random.Random(11)
     for tol in (0.25, 1.0):
